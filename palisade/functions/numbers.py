@@ -37,3 +37,10 @@ def thousands(c) -> Column:
 
 def percent_text(c, decimals: int) -> Column:
     return F.format_string(f"%.{decimals}f%%", col(c).cast("double"))
+
+
+def pct1_text(part, whole) -> Column:
+    """The percentage with one decimal and a percent sign, from the counts."""
+    a, b = col(part).cast("bigint"), col(whole).cast("bigint")
+    tenths = F.coalesce(int_div(a * 2000 + b, b * 2), F.lit(0).cast("bigint"))
+    return F.format_string("%d.%d%%", int_div(tenths, F.lit(10).cast("bigint")), F.pmod(tenths, F.lit(10).cast("bigint")))

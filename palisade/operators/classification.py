@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.numbers import pct2, percent_text, share, thousands
+from ..functions.numbers import pct1_text, pct2, percent_text, share, thousands
 from . import metrics
 
 
@@ -48,14 +48,15 @@ OTHER_ADVICE = "Good balance of security and user experience"
 
 
 def action_impact(logs: DataFrame) -> DataFrame:
-    action, rate = F.col("action"), percent_text("percentage", 1)
+    action, rate = F.col("action"), pct1_text("count", "total")
     advice = (
         F.when(action == "BLOCK", F.concat(rate, F.lit(BLOCK_ADVICE)))
         .when(action == "ALLOW", F.concat(rate, F.lit(ALLOW_ADVICE)))
         .when(action == "COUNT", F.lit(COUNT_ADVICE))
         .otherwise(F.lit(OTHER_ADVICE))
     )
-    return order_fixed(logs).select(
+    counts = order_fixed(logs).withColumn("total", metrics.total_rows(logs))
+    return counts.select(
         "ord", "action", "count", "percentage", labels.lookup(action, IMPACTS).alias("impact"), advice.alias("recommendation")
     )
 

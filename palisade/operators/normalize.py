@@ -21,15 +21,12 @@ def request_field(name: str) -> Column:
 def normalize_logs(decoded: DataFrame, default_time: Column | None = None) -> DataFrame:
     """One row per valid record. Rows whose time is missing or unreadable keep a
     null time (see `split_rejects`) unless a default is given."""
-    acl = records.first_filled(field("$.webaclId"), field("$.webAclId"))
-    when = times.normalize_timestamp(field("$.timestamp"))
-    headers = field("$.httpRequest.headers", schemas.HEADERS)
     variant = lambda path: field(path, "variant")
-    columns = {
-        "timestamp": when if default_time is None else F.coalesce(when, default_time),
-        "web_acl_id": arns.acl_id(acl),
+    taken = {
+        "timestamp": field("$.timestamp"),
+        "web_acl_id": records.first_filled(field("$.webaclId"), field("$.webAclId")),
         "web_acl_name": records.first_filled(field("$.webaclName"), field("$.webAclName")),
-        "action": labels.norm_action(field("$.action")),
+        "action": field("$.action"),
         "client_ip": request_field("clientIp"),
         "country": request_field("country"),
         "uri": request_field("uri"),
@@ -45,16 +42,24 @@ def normalize_logs(decoded: DataFrame, default_time: Column | None = None) -> Da
         "labels": variant("$.labels"),
         "ja3_fingerprint": field("$.ja3Fingerprint"),
         "ja4_fingerprint": field("$.ja4Fingerprint"),
-        "user_agent": records.user_agent(headers),
-        "request_headers": headers,
+        "request_headers": field("$.httpRequest.headers", schemas.HEADERS),
         "response_code_sent": field("$.responseCodeSent", "int"),
         "http_source_name": field("$.httpSourceName"),
         "http_source_id": field("$.httpSourceId"),
         "raw_log": F.col("record_text"),
     }
-    kept = [F.col(c) for c in ("source", "path") if c in decoded.columns]
-    valid = decoded.where(F.col("decode_status") == "valid")
-    return valid.select(*[c.alias(n) for n, c in columns.items()], *kept)
+    kept = [c for c in ("source", "path") if c in decoded.columns]
+    valid = decoded.where(F.col("decode_status") == "valid").select(*[c.alias(n) for n, c in taken.items()], *kept)
+    when = times.normalize_timestamp("timestamp")
+    derived = valid.withColumns(
+        {
+            "timestamp": when if default_time is None else F.coalesce(when, default_time),
+            "web_acl_id": arns.acl_id("web_acl_id"),
+            "action": labels.norm_action("action"),
+            "user_agent": records.user_agent("request_headers"),
+        }
+    )
+    return derived.select(*schemas.LOG_COLUMNS, *kept)
 
 
 def split_rejects(logs: DataFrame) -> tuple[DataFrame, DataFrame]:

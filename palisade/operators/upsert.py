@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arns
+from ..functions.numbers import col
 
 
 def latest_per_key(rows: DataFrame, key: str, order: list[str], first: dict[str, str] | None = None) -> DataFrame:
@@ -46,12 +47,12 @@ def acl_rows(config: DataFrame) -> DataFrame:
     )
 
 
-def rule_key(acl: str = "web_acl_id", name: str = "name") -> Column:
-    return F.concat_ws("_", F.col(acl), F.coalesce(F.col(name), F.lit("unknown")))
+def rule_key(acl="web_acl_id", name="name") -> Column:
+    return F.concat_ws("_", col(acl), F.coalesce(col(name), F.lit("unknown")))
 
 
-def resource_key(acl: str = "web_acl_id", arn: str = "resource_arn") -> Column:
-    return F.concat_ws("_", F.col(acl), F.col(arn))
+def resource_key(acl="web_acl_id", arn="resource_arn") -> Column:
+    return F.concat_ws("_", col(acl), col(arn))
 
 
 def logging_rows(dump: DataFrame) -> DataFrame:

@@ -41,18 +41,20 @@ def _get(variant: Column, path: str, kind: str = "string") -> Column:
 
 
 def _finish(df: DataFrame, outer: Column, text: Column, parsed: Column, source: Column, skipped: Column, **meta: Column) -> DataFrame:
+    """Add the decoded columns. They come out of a one-row generator: a filter on
+    the status then stays above the parsing instead of being copied into it,
+    parse by parse, when predicates are pushed down."""
     ok = parsed.isNotNull() & _is_object(text)
     names = {"export_time": "string", "export_ptr": "string", "event_id": "string", "ingestion_time": "bigint"}
-    return df.withColumns(
-        {
-            "record": F.when(ok, parsed),
-            "record_text": F.when(ok, text),
-            "source": source,
-            **{n: meta.get(n, F.lit(None).cast(t)) for n, t in names.items()},
-            "envelope_ok": outer.isNotNull(),
-            "decode_status": F.when(ok, "valid").when(skipped, "skipped").otherwise("invalid"),
-        }
-    )
+    columns = {
+        "record": F.when(ok, parsed),
+        "record_text": F.when(ok, text),
+        "source": source,
+        **{n: meta.get(n, F.lit(None).cast(t)) for n, t in names.items()},
+        "envelope_ok": outer.isNotNull(),
+        "decode_status": F.when(ok, "valid").when(skipped, "skipped").otherwise("invalid"),
+    }
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def decode_lines(df: DataFrame) -> DataFrame:

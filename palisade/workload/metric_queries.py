@@ -370,7 +370,7 @@ SELECT CAST(list_position(['BLOCK', 'ALLOW', 'COUNT', 'CAPTCHA', 'CHALLENGE'], a
   CASE action WHEN 'BLOCK' THEN 'High Security' WHEN 'ALLOW' THEN 'Low Security' WHEN 'COUNT' THEN 'Monitoring Only' ELSE 'Medium Security' END AS impact,
   CASE action WHEN 'BLOCK' THEN r || '{cl.BLOCK_ADVICE}' WHEN 'ALLOW' THEN r || '{cl.ALLOW_ADVICE}' WHEN 'COUNT' THEN '{cl.COUNT_ADVICE}' ELSE '{cl.OTHER_ADVICE}' END AS recommendation
 FROM (SELECT *, CAST(h // 10 AS VARCHAR) || '.' || CAST(h % 10 AS VARCHAR) || '%' AS r
-  FROM (SELECT *, (CAST(round(percentage * 100) AS BIGINT) + 5) // 10 AS h FROM ({actions_sql('v_logs')})))
+  FROM (SELECT *, (count * 2000 + total) // (2 * total) AS h FROM ({actions_sql('v_logs')}), (SELECT count(*) AS total FROM v_logs)))
 WHERE action IN ('BLOCK', 'ALLOW', 'COUNT', 'CAPTCHA', 'CHALLENGE')""")
 def action_impact(s, d):
     return cl.action_impact(v.logs(s, d))

@@ -115,7 +115,7 @@ def rules(spark: SparkSession, d: str) -> DataFrame:
     return (
         table(spark, d, "part").withColumn("n", n)
         .select(acl.alias("web_acl_id"), name.alias("name"), F.col("p_size").alias("priority"), statement.alias("statement"),
-                pick(RULE_ACTION_TEXTS, key % 7).alias("action"))
+                pick(RULE_ACTION_TEXTS, key % 7).alias("action"), key.alias("position"))
         .withColumn("rule_id", upsert.rule_key())
         .withColumn("rule_type", labels.rule_type("statement"))
     )
