@@ -1,0 +1,65 @@
+"""Streams over landed files, run to the end of what has landed."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import metrics, normalize, sinks
+from ..session import scratch_path
+from ..streaming import logs as st
+from . import views as v
+from .ingest_queries import FIELDS, NORM
+from .registry import n_sql, pct2_sql, query
+
+N = "CAST(count(*) AS BIGINT)"
+
+
+def landed(s, d) -> str:
+    path = scratch_path(s, "landed")
+    sinks.write_raw(v.raw_logs(s, d).repartition(4), path)
+    return path
+
+
+def stored(df):
+    return normalize.normalize_logs(df).select(*FIELDS)
+
+
+@query("stream_logs", NORM)
+def stream_logs(s, d):
+    source = st.stream_logs(s, landed(s, d), stored, files_per_batch=2, glob="part-*")
+    return s.read.parquet(st.run_to_end(lambda path, state: st.write_available(source, path, state), s, "streamed"))
+
+
+@query("stream_append", f"SELECT {N} AS rows, CAST(0 AS BIGINT) AS first_id, {N} - 1 AS last_id, {N} AS ids FROM v_logs")
+def stream_append(s, d):
+    source = st.stream_logs(s, landed(s, d), lambda df: normalize.normalize_logs(df).select("timestamp", "uri", "raw_log"), files_per_batch=2, glob="part-*")
+    path = st.run_to_end(lambda p, state: st.append_numbered(source, p, state, ["timestamp", "raw_log"]), s, "numbered")
+    return s.read.parquet(path).agg(
+        metrics.ROWS.alias("rows"), F.min("log_id").alias("first_id"), F.max("log_id").alias("last_id"), F.countDistinct("log_id").alias("ids")
+    )
+
+
+CLOSED = f"""SELECT date_trunc('hour', timestamp) AS hour, {N} AS total_requests, {n_sql("action = 'BLOCK'")} AS blocked, {n_sql("action = 'ALLOW'")} AS allowed,
+  {pct2_sql(n_sql("action = 'BLOCK'"), 'count(*)')} AS block_rate_percent FROM v_norm WHERE timestamp IS NOT NULL GROUP BY 1
+  HAVING hour + INTERVAL 3 HOUR <= (SELECT max(timestamp) FROM v_norm)"""
+
+
+@query("stream_hourly", CLOSED)
+def stream_hourly(s, d):
+    """Hours the watermark has passed equal the batch result."""
+    source = st.stream_logs(s, landed(s, d), lambda df: normalize.normalize_logs(df).select("timestamp", "action"), glob="part-*")
+    path = st.run_to_end(lambda p, state: st.write_available(st.hourly_counts(source), p, state), s, "hourly-stream")
+    return s.read.parquet(path)
+
+
+@query("stream_upsert_config", """SELECT rule_id, web_acl_id, CASE WHEN priority > 25 THEN 'CHANGED' ELSE rule_type END AS rule_type FROM v_rules""")
+def stream_upsert_config(s, d):
+    """Two dumps of the rules, the second with changed types, landing in any order."""
+    rules = v.rules(s, d).select("rule_id", "web_acl_id", "rule_type", "priority").withColumn("version", F.lit(1))
+    changed = rules.where(F.col("priority") > 25).withColumns({"rule_type": F.lit("CHANGED"), "version": F.lit(2)})
+    path = scratch_path(s, "dumps")
+    rules.unionByName(changed).repartition(3).write.json(path)
+    source = s.readStream.schema("rule_id string, web_acl_id string, rule_type string, priority int, version int").option("maxFilesPerTrigger", 1).json(path)
+    out = st.run_to_end(lambda p, state: st.upsert_stream(source, p, state, "rule_id", ["version"]), s, "rules")
+    versions = s.read.parquet(out)
+    return s.read.parquet(f"{out}/version={versions.agg(F.max('version')).first()[0]}").select("rule_id", "web_acl_id", "rule_type")
