@@ -31,7 +31,11 @@ def migrate_acl_ids(logs: DataFrame) -> DataFrame:
 
 def retain(logs: DataFrame, as_of: datetime, days: int) -> DataFrame:
     """Rows of the last `days` days; zero or less keeps all."""
-    return logs if days <= 0 else logs.where(F.col("timestamp") >= F.lit(as_of - timedelta(days=days)))
+    if days <= 0:
+        return logs
+    cutoff = F.lit(as_of - timedelta(days=days))
+    kept = logs.where(F.col("timestamp") >= cutoff)
+    return kept.where(F.col("dt") >= F.to_date(cutoff)) if "dt" in logs.columns else kept
 
 
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -78,10 +78,8 @@ def hit_rate_band(logs: DataFrame) -> DataFrame:
 
 def executive_kpis(logs: DataFrame, acls: DataFrame, logging: DataFrame, resources: DataFrame) -> DataFrame:
     """Eight labelled figures as (ord, metric, value) rows."""
-    both = metrics.summary(logs).select(
-        "*", *[metrics.coverage(acls, logging, resources).select(c).scalar().alias(c) for c in (
-            "total_web_acls", "total_protected_resources", "logging_coverage_percent")]
-    )
+    cover = metrics.as_row(metrics.coverage(acls, logging, resources)).alias("c")
+    both = metrics.summary(logs).select("*", cover).select("*", "c.*")
     # Labels, in report order.
     figures = [
         ("Total Requests Analyzed", thousands("total_requests")),
@@ -133,8 +131,6 @@ def chart_series(logs: DataFrame) -> DataFrame:
 
 def optimized_rule_order(logs: DataFrame, n: int = 10) -> DataFrame:
     """The n most hit rules with the priority their rank suggests."""
-    from pyspark.sql import Window
-
     best = metrics.top(metrics.rule_effectiveness(logs), "hit_count", n, "rule_id", "rule_type")
     rank = F.row_number().over(Window.orderBy(F.desc("hit_count"), "rule_id", F.asc_nulls_last("rule_type")))
     return best.select(
@@ -146,9 +142,9 @@ def posture_score(logs: DataFrame, acls: DataFrame, logging: DataFrame, resource
     """Score from 0 to 100. Penalties use the rounded rates. The share of rules
     without hits is over rules seen in the logs, which all have hits."""
     counts = logs.agg(metrics.ROWS.alias("n"), metrics.acted("BLOCK").alias("b"))
-    facts = counts.select(
-        pct2("b", "n").alias("block_rate"),
-        *[metrics.coverage(acls, logging, resources).select(c).scalar().alias(c) for c in ("logging_coverage_percent", "total_protected_resources")],
+    cover = metrics.as_row(metrics.coverage(acls, logging, resources)).alias("c")
+    facts = counts.select(pct2("b", "n").alias("block_rate"), cover).select(
+        "block_rate", "c.logging_coverage_percent", "c.total_protected_resources"
     )
     cover, rate, guarded = F.col("logging_coverage_percent"), F.col("block_rate"), F.col("total_protected_resources")
     penalty = (

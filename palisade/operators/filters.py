@@ -32,5 +32,7 @@ def blocked(logs: DataFrame, also: str | None = None) -> DataFrame:
 
 
 def in_window(logs: DataFrame, start, end) -> DataFrame:
-    """Both bounds included, as the named windows are."""
-    return logs.where(F.col("timestamp").between(F.lit(start), F.lit(end)))
+    """Both bounds included, as the named windows are. A table stored by day
+    (column dt) is pruned to the days of the window."""
+    found = logs.where(F.col("timestamp").between(F.lit(start), F.lit(end)))
+    return found.where(F.col("dt").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))) if "dt" in logs.columns else found

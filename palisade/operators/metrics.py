@@ -22,23 +22,31 @@ def acted(action: str) -> Column:
     return count_when(F.col("action") == action)
 
 
-def summary(logs: DataFrame) -> DataFrame:
-    """Totals, counts per action, block rate, distinct clients and countries and
-    the time range, in one scan: rows are first reduced to (client, country)."""
-    per_client = logs.groupBy("client_ip", "country").agg(
+def _per_client(logs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows reduced to (client, country): one scan, combined before the shuffle.
+    The distinct counts that follow expand these rows, not the log."""
+    return logs.groupBy(*keys, "client_ip", "country").agg(
         ROWS.alias("n"),
         *[acted(a).alias(a) for a in labels.ACTIONS],
         F.min("timestamp").alias("first"),
         F.max("timestamp").alias("last"),
     )
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    totals = per_client.agg(
-        total("n").alias("total_requests"),
-        total("BLOCK").alias("blocked_requests"),
-        total("ALLOW").alias("allowed_requests"),
-        total("COUNT").alias("counted_requests"),
-        total("CAPTCHA").alias("captcha_requests"),
-        total("CHALLENGE").alias("challenge_requests"),
+
+
+def _total(name: str) -> Column:
+    return F.coalesce(F.sum(name), F.lit(0)).cast("bigint")
+
+
+def summary(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Totals, counts per action, block rate, distinct clients and countries and
+    the time range."""
+    totals = _per_client(logs, keys).groupBy(*keys).agg(
+        _total("n").alias("total_requests"),
+        _total("BLOCK").alias("blocked_requests"),
+        _total("ALLOW").alias("allowed_requests"),
+        _total("COUNT").alias("counted_requests"),
+        _total("CAPTCHA").alias("captcha_requests"),
+        _total("CHALLENGE").alias("challenge_requests"),
         F.countDistinct("client_ip").alias("unique_client_ips"),
         F.countDistinct(F.when(F.col("country") != UNKNOWN_COUNTRY, F.col("country"))).alias("unique_countries"),
         F.min("first").alias("start_time"),
@@ -50,13 +58,9 @@ def summary(logs: DataFrame) -> DataFrame:
 def batch_summary(logs: DataFrame) -> DataFrame:
     """Summary of one parsed batch; here the unknown-country mark counts as a
     country, and empty texts do not count."""
-    per_client = logs.groupBy("client_ip", "country").agg(
-        ROWS.alias("n"), acted("BLOCK").alias("b"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
-    )
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    return per_client.agg(
-        total("n").alias("total_entries"),
-        total("b").alias("blocked"),
+    return _per_client(logs, ()).agg(
+        _total("n").alias("total_entries"),
+        _total("BLOCK").alias("blocked"),
         F.countDistinct(F.nullif("client_ip", F.lit(""))).alias("unique_ips"),
         F.countDistinct(F.nullif("country", F.lit(""))).alias("unique_countries"),
         F.min("first").alias("start_time"),
@@ -74,6 +78,11 @@ def total_rows(logs: DataFrame) -> Column:
     return logs.agg(ROWS).scalar()
 
 
+def as_row(one: DataFrame) -> Column:
+    """A one-row frame as a scalar struct: one subquery for all its columns."""
+    return one.select(F.struct(*one.columns)).scalar()
+
+
 def with_share(groups: DataFrame, count: str, name: str) -> DataFrame:
     """Share of each group in the sum of all."""
     total = groups.agg(F.sum(count).cast("bigint")).scalar()
@@ -181,8 +190,8 @@ def resources_by_type(resources: DataFrame) -> DataFrame:
     return resources.groupBy("resource_type").agg(ROWS.alias("count"))
 
 
-def bot_counts(logs: DataFrame) -> DataFrame:
-    return logs.agg(
+def bot_counts(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return logs.groupBy(*keys).agg(
         F.count("ja3_fingerprint").alias("requests_with_ja3"), F.count("ja4_fingerprint").alias("requests_with_ja4")
     )
 

@@ -9,11 +9,11 @@ the joins that bring them together reuse that partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.numbers import col, pct1_text, percent_text, thousands
+from ..functions.numbers import col, pct1_text, pct2, percent_text, thousands
 from ..operators import classification, inventory, metrics
 
 ACL = "web_acl_id"
@@ -94,31 +94,9 @@ def second(c) -> Column:
     return F.coalesce(F.date_format(col(c), "yyyy-MM-dd HH:mm:ss"), F.lit("N/A"))
 
 
-def per_acl_summary(logs: DataFrame) -> DataFrame:
-    """The summary figures per ACL, reduced to (ACL, client, country) first."""
-    per_client = logs.groupBy(ACL, "client_ip", "country").agg(
-        metrics.ROWS.alias("n"), *[metrics.acted(a).alias(a) for a in labels.ACTIONS],
-        F.count("ja3_fingerprint").alias("ja3"), F.count("ja4_fingerprint").alias("ja4"),
-        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
-    )
-    known = F.when(F.col("country") != "-", F.col("country"))
-    total = lambda c: F.sum(c).cast("bigint")
-    # distinct counts one at a time, each from its own reduced pairs
-    clients = per_client.where(F.col("client_ip").isNotNull()).groupBy(ACL).agg(F.countDistinct("client_ip").alias("unique_client_ips"))
-    countries = per_client.where(known.isNotNull()).groupBy(ACL).agg(F.countDistinct("country").alias("unique_countries"))
-    sums = per_client.groupBy(ACL).agg(
-        total("n").alias("total_requests"), *[total(a).alias(a) for a in labels.ACTIONS],
-        total("ja3").alias("ja3"), total("ja4").alias("ja4"), F.min("first").alias("start_time"), F.max("last").alias("end_time"),
-    )
-    joined = sums.join(clients, ACL, "left").join(countries, ACL, "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("unique_client_ips", "unique_countries")})
-
-
 def prompt_per_acl(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources: DataFrame, logging: DataFrame,
                    template: str = DEFAULT_TEMPLATE) -> DataFrame:
     """One filled prompt per ACL with its length and estimated tokens."""
-    from ..functions.numbers import pct2
-
     by = (ACL,)
     parts = [
         first_text(metrics.rule_effectiveness(logs, by), desc_by("hit_count", "rule_id", "rule_type"), LIMITS["rules"], "rules_json", as_json),
@@ -128,21 +106,20 @@ def prompt_per_acl(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources
         first_text(metrics.blocked_ips(logs, by), desc_by("block_count", "ip", "country"), LIMITS["ips"], "ips_json", as_json),
         first_text(metrics.attack_types(logs, by), desc_by("count", "attack_type"), len(labels.ATTACKS_BY_RULE) + 1, "attacks_json", as_json),
     ]
-    base = acls.join(per_acl_summary(logs), ACL, "left")
+    base = acls.join(metrics.summary(logs, by), ACL, "left").join(metrics.bot_counts(logs, by), ACL, "left")
     for part in parts:
         base = base.join(part, ACL, "left")
-    cover = metrics.coverage(acls, logging, resources)
-    rate = pct2("BLOCK", "total_requests")
-    shares = F.array(*[F.struct(F.lit(a).alias("action"), F.col(a).alias("count"), pct2(F.col(a), F.col("total_requests")).alias("percentage")) for a in labels.ACTIONS])
+    acted = dict(zip(labels.ACTIONS, ("blocked_requests", "allowed_requests", "counted_requests", "captcha_requests", "challenge_requests")))
+    shares = F.array(*[F.struct(F.lit(a).alias("action"), F.col(c).alias("count"), pct2(c, "total_requests").alias("percentage")) for a, c in acted.items()])
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     empty = F.lit("[]")
     values = {
         "web_acl_name": F.col("name"),
         "time_period": F.concat(second("start_time"), F.lit(" to "), second("end_time")),
         "web_acl_overview": as_json(F.struct("name", "scope", "capacity", labels.default_action_label("default_action").alias("default_action"))),
         "summary_metrics": as_json(F.struct(
-            F.coalesce("total_requests", F.lit(0)).alias("total_requests"), F.coalesce("BLOCK", F.lit(0)).alias("blocked_requests"),
-            F.coalesce("ALLOW", F.lit(0)).alias("allowed_requests"), F.coalesce(rate, F.lit(0.0)).alias("block_rate_percent"),
-            F.coalesce("unique_client_ips", F.lit(0)).alias("unique_client_ips"), F.coalesce("unique_countries", F.lit(0)).alias("unique_countries"),
+            zero("total_requests"), zero("blocked_requests"), zero("allowed_requests"),
+            F.coalesce("block_rate_percent", F.lit(0.0)).alias("block_rate_percent"), zero("unique_client_ips"), zero("unique_countries"),
         )),
         "action_distribution": as_json(F.filter(shares, lambda s: s["count"] > 0)),
         "rule_effectiveness": F.coalesce("rules_json", empty),
@@ -151,8 +128,8 @@ def prompt_per_acl(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources
         "geographic_distribution": F.coalesce("geo_json", empty),
         "top_blocked_ips": F.coalesce("ips_json", empty),
         "attack_types": F.coalesce("attacks_json", empty),
-        "bot_analysis": as_json(F.struct(F.coalesce("ja3", F.lit(0)).alias("requests_with_ja3"), F.coalesce("ja4", F.lit(0)).alias("requests_with_ja4"))),
-        "web_acl_coverage": as_json(F.struct(*[cover.select(c).scalar().alias(c) for c in cover.columns])),
+        "bot_analysis": as_json(F.struct(zero("requests_with_ja3"), zero("requests_with_ja4"))),
+        "web_acl_coverage": as_json(metrics.as_row(metrics.coverage(acls, logging, resources))),
     }
     return sized(base.select(ACL, "name", fill(template, values).alias("prompt")))
 
@@ -162,8 +139,6 @@ def prompt_per_acl(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources
 def listed(df: DataFrame, order: list, limit: int, line: Column, empty: str) -> Column:
     """Lines of the first rows of a frame as one scalar text. `line` may use
     `position`. Only `limit` rows are ever gathered."""
-    from pyspark.sql import Window
-
     best = df.orderBy(*order).limit(limit)
     lines = best.withColumn("position", F.row_number().over(Window.orderBy(*order))).select("position", line.alias("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda r: r["line"]), "\n")
@@ -171,8 +146,6 @@ def listed(df: DataFrame, order: list, limit: int, line: Column, empty: str) ->
 
 
 def json_list(df: DataFrame, order: list, limit: int) -> Column:
-    from pyspark.sql import Window
-
     best = df.orderBy(*order).limit(limit)
     ranked = best.withColumn("position", F.row_number().over(Window.orderBy(*order)))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct(*df.columns).alias("row")))), lambda r: r["row"])
@@ -186,15 +159,12 @@ IP_ORDER = desc_by("block_count", "ip", "country")
 
 def legacy_values(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources: DataFrame, logging: DataFrame) -> tuple[DataFrame, dict, dict]:
     """One row of figures, the {{x}} texts and the {x} JSON texts over it."""
-    from ..functions.numbers import pct2
-
     cover = metrics.coverage(acls, logging, resources)
     cost = inventory.cost_metrics(acls, rules, logging)
     score = classification.posture_score(logs, acls, logging, resources)
     facts = metrics.summary(logs).select(
-        "*", *[cover.select(c).scalar().alias(c) for c in cover.columns], score.select("score").scalar().alias("score"),
-        *[cost.select(c).scalar().alias(c) for c in ("total_rules", "estimated_capacity_wcu", "managed_rule_groups", "logging_enabled_web_acls")],
-    )
+        "*", metrics.as_row(cover).alias("cover"), metrics.as_row(cost).alias("cost"), score.select("score").scalar().alias("score")
+    ).select("*", "cover.*", "cost.*")
     effectiveness = metrics.rule_effectiveness(logs)
     geo = metrics.geo_distribution(logs)
     ips = metrics.blocked_ips(logs)
@@ -237,14 +207,14 @@ def legacy_values(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources:
         "rule_block_analysis": rules_json,
         "traffic_distribution": geo_json,
         "geo_distribution": geo_json,
-        "cost_metrics": as_json(F.struct("total_rules", "estimated_capacity_wcu", "managed_rule_groups", "logging_enabled_web_acls")),
+        "cost_metrics": as_json(F.col("cost")),
         "attack_patterns": attacks_json,
         "blocked_patterns": attacks_json,
         "top_blocked_requests": ips_json,
         "waf_config": acls_json,
         "logging_config": json_list(logging.select(ACL, "destination_arn", "destination_type", "sampling_rate"), [ACL, "destination_type"], LIMITS["rules"]),
         "protected_resources": json_list(resources.select(ACL, "resource_arn", "resource_type"), [ACL, "resource_arn"], LIMITS["rules"]),
-        "rule_coverage": as_json(F.struct(*cover.columns)),
+        "rule_coverage": as_json(F.col("cover")),
         "incident_history": json_list(metrics.hourly_patterns(logs), ["hour"], LIMITS["hours"]),
         "legitimate_traffic_baseline": as_json(F.struct("allowed_requests", "start_time", "end_time", "total_requests",
                                                         pct2("allowed_requests", "total_requests").alias("allowed_percent"))),

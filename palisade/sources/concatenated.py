@@ -47,34 +47,29 @@ def scan_concatenated(spark: SparkSession, paths: str | list[str], glob: str = "
     ).where(F.col("text") != "")
 
     in_block = Window.partitionBy("path", "block").orderBy("line")
-    edges = lines.withColumns({"head": F.substring("text", 1, 1), "tail": F.expr("right(text, 1)")})
-    opens = F.col("before").isNull() | ~(
-        F.col("before").isin("{", "[", ",", ":") | F.col("head").isin("}", "]", ",", ":")
-    )
-    blocks = edges.groupBy("path", "block").agg(
-        F.min_by("head", "line").alias("head"), F.max_by("tail", "line").alias("tail")
-    )
     by_file = Window.partitionBy("path").orderBy("block")
-    before_block = blocks.select("path", "block", F.lag("tail").over(by_file).alias("tail_before"))
-
+    opens = ~(F.col("before").isin("{", "[", ",", ":") | F.col("head").isin("}", "]", ",", ":"))
     cut = (
-        edges.withColumn("before", F.lag("tail").over(in_block))
-        .withColumn("first", F.row_number().over(in_block) == 1)
-        .join(before_block, ["path", "block"])
-        .withColumn("before", F.when(F.col("first"), F.col("tail_before")).otherwise(F.col("before")))
-        .withColumn("starts", F.when(opens, 1).otherwise(0))
-        .withColumn("parts", _pieces(F.col("text")))
-        .withColumn("in_line", F.col("starts") + F.size("parts") - 1)
+        lines.withColumns({"head": F.substring("text", 1, 1), "tail": F.expr("right(text, 1)"), "parts": _pieces(F.col("text"))})
+        .withColumn("before", F.lag("tail").over(in_block))
+        # null on the first line of a block, where the block before decides
+        .withColumn("starts", F.when(opens, 1).otherwise(F.when(F.col("before").isNotNull(), 0)))
+        .withColumn("in_line", F.coalesce("starts", F.lit(0)) + F.size("parts") - 1)
         .withColumn("through", F.sum("in_line").over(in_block))
     )
-    sizes = cut.groupBy("path", "block").agg(F.sum("in_line").alias("values"))
-    offsets = sizes.select(
-        "path", "block",
-        F.coalesce(F.sum("values").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+    # one small row per block: what it begins and ends with and how many values start in it
+    blocks = cut.groupBy("path", "block").agg(
+        F.min_by("head", "line").alias("head"), F.max_by("tail", "line").alias("tail"), F.sum("in_line").alias("inside")
+    )
+    opening = blocks.withColumn("before", F.lag("tail").over(by_file)).withColumn(
+        "opening", F.when(F.col("before").isNull() | opens, 1).otherwise(0)
     )
+    earlier = F.sum(F.col("inside") + F.col("opening")).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = opening.select("path", "block", "opening", F.coalesce(earlier, F.lit(0)).alias("offset"))
+    # number of the value the first part of a line belongs to
+    first = F.col("offset") + F.col("opening") + F.col("through") - F.col("in_line") + F.coalesce("starts", F.lit(0))
     placed = cut.join(offsets, ["path", "block"]).select(
-        "path", "block", "line", (F.col("offset") + F.col("through") - F.col("in_line") + F.col("starts")).alias("base"),
-        F.posexplode("parts").alias("nth", "part"),
+        "path", "block", "line", first.alias("base"), F.posexplode("parts").alias("nth", "part")
     )
     values = placed.groupBy("path", (F.col("base") + F.col("nth")).alias("position")).agg(
         F.array_sort(F.collect_list(F.struct("block", "line", "nth", "part"))).alias("lines")

@@ -8,12 +8,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.filters import in_window
+
 
 def scan_range(logs: DataFrame, start, end, order: list[str], pattern: str | None = None,
                text: str = "message", limit: int | None = None) -> DataFrame:
     """Events with start <= timestamp <= end that contain the pattern, the first
     `limit` of them in time order."""
-    found = logs.where(F.col("timestamp").between(F.lit(start), F.lit(end)))
+    found = in_window(logs, start, end)
     if pattern:
         found = found.where(F.col(text).contains(pattern))
     return found.orderBy(*order).limit(limit) if limit else found
