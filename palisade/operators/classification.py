@@ -141,7 +141,7 @@ def optimized_rule_order(logs: DataFrame, n: int = 10) -> DataFrame:
 def posture_score(logs: DataFrame, acls: DataFrame, logging: DataFrame, resources: DataFrame) -> DataFrame:
     """Score from 0 to 100. Penalties use the rounded rates. The share of rules
     without hits is over rules seen in the logs, which all have hits."""
-    counts = logs.agg(metrics.ROWS.alias("n"), metrics.acted("BLOCK").alias("b"))
+    counts = logs.agg(metrics.n_rows().alias("n"), metrics.acted("BLOCK").alias("b"))
     cover = metrics.as_row(metrics.coverage(acls, logging, resources)).alias("c")
     facts = counts.select(pct2("b", "n").alias("block_rate"), cover).select(
         "block_rate", "c.logging_coverage_percent", "c.total_protected_resources"

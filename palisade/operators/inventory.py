@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import arns, labels
 from ..functions.numbers import count_when, pct2
+from .metrics import n_rows
 from .ordering import number_rows
 
-ROWS = F.count(F.lit(1))
-
 
 def per_acl(table: DataFrame, name: str) -> DataFrame:
-    return table.groupBy("web_acl_id").agg(ROWS.alias(name))
+    return table.groupBy("web_acl_id").agg(n_rows().alias(name))
 
 
 def with_count(acls: DataFrame, table: DataFrame, name: str) -> DataFrame:
@@ -70,7 +69,7 @@ def first_k(table: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
 
 def first_k_and_rest(table: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
     """The same with the number of rows left out. `rest` comes from a count per key."""
-    sizes = table.groupBy(key).agg(ROWS.alias("total"))
+    sizes = table.groupBy(key).agg(n_rows().alias("total"))
     return first_k(table, key, order, k).join(sizes, key).withColumn(
         "more", F.greatest(F.col("total") - k, F.lit(0))
     )
@@ -130,7 +129,7 @@ def logs_with_acl(logs: DataFrame, acls: DataFrame) -> DataFrame:
 def traffic_per_acl(logs: DataFrame, acls: DataFrame) -> DataFrame:
     """Counts per known ACL: reduced per ACL before the join."""
     counts = logs.groupBy("web_acl_id").agg(
-        ROWS.alias("total_requests"), count_when(F.col("action") == "BLOCK").alias("blocked_requests")
+        n_rows().alias("total_requests"), count_when(F.col("action") == "BLOCK").alias("blocked_requests")
     )
     return logs_with_acl(counts, acls)
 
@@ -164,7 +163,7 @@ def acl_complexity(acls: DataFrame, rules: DataFrame) -> DataFrame:
     """Per ACL: rules, capacity and what kinds of rules it has."""
     kind = lambda t: count_when(F.col("rule_type") == t)
     kinds = rules.groupBy("web_acl_id").agg(
-        ROWS.alias("total_rules"),
+        n_rows().alias("total_rules"),
         kind("MANAGED_RULE_GROUP").alias("managed_rule_groups"),
         (kind("RATE_BASED") > 0).alias("has_rate_limiting"),
         (kind("GEO_MATCH") > 0).alias("has_geo_blocking"),
@@ -182,27 +181,27 @@ def acl_complexity(acls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rule_type_histogram(rules: DataFrame) -> DataFrame:
-    return rules.groupBy("web_acl_id", "rule_type").agg(ROWS.alias("count"))
+    return rules.groupBy("web_acl_id", "rule_type").agg(n_rows().alias("count"))
 
 
 def rules_by_type(rules: DataFrame) -> DataFrame:
-    kinds = rules.groupBy(F.coalesce("rule_type", F.lit("UNKNOWN")).alias("rule_type")).agg(ROWS.alias("count"))
-    return kinds.withColumn("percentage", pct2(F.col("count"), rules.agg(ROWS).scalar()))
+    kinds = rules.groupBy(F.coalesce("rule_type", F.lit("UNKNOWN")).alias("rule_type")).agg(n_rows().alias("count"))
+    return kinds.withColumn("percentage", pct2(F.col("count"), rules.agg(n_rows()).scalar()))
 
 
 def rules_by_action(rules: DataFrame) -> DataFrame:
     """Share of all rules, also of those whose action is empty and not counted."""
     label = labels.rule_action_label("action").alias("rule_action")
-    kinds = rules.select(label).where(F.col("rule_action").isNotNull()).groupBy("rule_action").agg(ROWS.alias("count"))
-    return kinds.withColumn("percentage", pct2(F.col("count"), rules.agg(ROWS).scalar()))
+    kinds = rules.select(label).where(F.col("rule_action").isNotNull()).groupBy("rule_action").agg(n_rows().alias("count"))
+    return kinds.withColumn("percentage", pct2(F.col("count"), rules.agg(n_rows()).scalar()))
 
 
 def cost_metrics(acls: DataFrame, rules: DataFrame, logging: DataFrame) -> DataFrame:
     managed = F.upper(F.coalesce("rule_type", F.lit(""))).contains("MANAGED")
-    return rules.agg(ROWS.alias("total_rules"), count_when(managed).alias("managed_rule_groups")).select(
+    return rules.agg(n_rows().alias("total_rules"), count_when(managed).alias("managed_rule_groups")).select(
         "total_rules", "managed_rule_groups",
         acls.agg(F.coalesce(F.sum(F.coalesce("capacity", F.lit(0))), F.lit(0)).cast("bigint")).scalar().alias("estimated_capacity_wcu"),
-        logging.agg(ROWS).scalar().alias("logging_enabled_web_acls"),
+        logging.agg(n_rows()).scalar().alias("logging_enabled_web_acls"),
     )
 
 

@@ -15,7 +15,9 @@ from ..functions import labels
 from ..functions.numbers import count_when, pct2
 from .filters import UNKNOWN_COUNTRY, blocked, known_country, not_null
 
-ROWS = F.count(F.lit(1))
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def acted(action: str) -> Column:
@@ -26,7 +28,7 @@ def _per_client(logs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows reduced to (client, country): one scan, combined before the shuffle.
     The distinct counts that follow expand these rows, not the log."""
     return logs.groupBy(*keys, "client_ip", "country").agg(
-        ROWS.alias("n"),
+        n_rows().alias("n"),
         *[acted(a).alias(a) for a in labels.ACTIONS],
         F.min("timestamp").alias("first"),
         F.max("timestamp").alias("last"),
@@ -69,13 +71,13 @@ def batch_summary(logs: DataFrame) -> DataFrame:
 
 
 def action_distribution(logs: DataFrame) -> DataFrame:
-    counts = logs.groupBy("action").agg(ROWS.alias("count"))
+    counts = logs.groupBy("action").agg(n_rows().alias("count"))
     return with_share(counts, "count", "percentage")
 
 
 def total_rows(logs: DataFrame) -> Column:
     """Row count of the whole frame as a scalar subquery: one row, no join."""
-    return logs.agg(ROWS).scalar()
+    return logs.agg(n_rows()).scalar()
 
 
 def as_row(one: DataFrame) -> Column:
@@ -95,7 +97,7 @@ def rule_effectiveness(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
         not_null(logs, "terminating_rule_id")
         .groupBy(*keys, "terminating_rule_id", "terminating_rule_type")
         .agg(
-            ROWS.alias("hit_count"),
+            n_rows().alias("hit_count"),
             F.countDistinct("client_ip").alias("unique_ips"),
             acted("BLOCK").alias("blocks"),
             acted("ALLOW").alias("allows"),
@@ -104,7 +106,7 @@ def rule_effectiveness(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
         .withColumnsRenamed({"terminating_rule_id": "rule_id", "terminating_rule_type": "rule_type"})
     )
     if keys:
-        totals = logs.groupBy(*keys).agg(ROWS.alias("_total"))
+        totals = logs.groupBy(*keys).agg(n_rows().alias("_total"))
         rules = rules.join(totals, list(keys)).withColumn("hit_rate_percent", pct2("hit_count", "_total")).drop("_total")
     else:
         rules = rules.withColumn("hit_rate_percent", pct2(F.col("hit_count"), total_rows(logs)))
@@ -116,7 +118,7 @@ def geo_distribution(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         known_country(logs)
         .groupBy(*keys, "country")
         .agg(
-            ROWS.alias("total_requests"),
+            n_rows().alias("total_requests"),
             acted("BLOCK").alias("blocked_requests"),
             acted("ALLOW").alias("allowed_requests"),
             F.countDistinct("client_ip").alias("unique_ips"),
@@ -131,7 +133,7 @@ def blocked_ips(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         blocked(logs, also="client_ip")
         .groupBy(*keys, "client_ip", "country")
         .agg(
-            ROWS.alias("block_count"),
+            n_rows().alias("block_count"),
             F.countDistinct("terminating_rule_id").alias("unique_rules_hit"),
             F.min("timestamp").alias("first_seen"),
             F.max("timestamp").alias("last_seen"),
@@ -151,7 +153,7 @@ def top_blocked_ips(logs: DataFrame, n: int = 50) -> DataFrame:
 
 def attack_types(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Blocked requests per attack label: per rule first, labels on the few rules."""
-    per_rule = blocked(logs, also="terminating_rule_id").groupBy(*keys, "terminating_rule_id").agg(ROWS.alias("n"))
+    per_rule = blocked(logs, also="terminating_rule_id").groupBy(*keys, "terminating_rule_id").agg(n_rows().alias("n"))
     labelled = per_rule.withColumn("attack_type", labels.attack_of_rule("terminating_rule_id"))
     return labelled.groupBy(*keys, "attack_type").agg(F.sum("n").cast("bigint").alias("count"))
 
@@ -159,7 +161,7 @@ def attack_types(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def hourly_patterns(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return (
         logs.groupBy(*keys, F.hour("timestamp").alias("hour"))
-        .agg(ROWS.alias("total_requests"), acted("BLOCK").alias("blocked"), acted("ALLOW").alias("allowed"))
+        .agg(n_rows().alias("total_requests"), acted("BLOCK").alias("blocked"), acted("ALLOW").alias("allowed"))
         .withColumn("block_rate_percent", pct2("blocked", "total_requests"))
     )
 
@@ -168,7 +170,7 @@ def daily_trends(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return (
         logs.groupBy(*keys, F.to_date("timestamp").alias("date"))
         .agg(
-            ROWS.alias("total_requests"),
+            n_rows().alias("total_requests"),
             acted("BLOCK").alias("blocked"),
             acted("ALLOW").alias("allowed"),
             F.countDistinct("client_ip").alias("unique_ips"),
@@ -179,15 +181,15 @@ def daily_trends(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def coverage(acls: DataFrame, logging: DataFrame, resources: DataFrame) -> DataFrame:
     """Configured ACLs, those with logging, and resources. No ACL filter applies."""
-    return acls.agg(ROWS.alias("total_web_acls")).select(
+    return acls.agg(n_rows().alias("total_web_acls")).select(
         "total_web_acls",
         logging.agg(F.countDistinct("web_acl_id")).scalar().alias("web_acls_with_logging"),
-        resources.agg(ROWS).scalar().alias("total_protected_resources"),
+        resources.agg(n_rows()).scalar().alias("total_protected_resources"),
     ).withColumn("logging_coverage_percent", pct2("web_acls_with_logging", "total_web_acls"))
 
 
 def resources_by_type(resources: DataFrame) -> DataFrame:
-    return resources.groupBy("resource_type").agg(ROWS.alias("count"))
+    return resources.groupBy("resource_type").agg(n_rows().alias("count"))
 
 
 def bot_counts(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -197,7 +199,7 @@ def bot_counts(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def user_agents(logs: DataFrame) -> DataFrame:
-    return not_null(logs, "user_agent").groupBy("user_agent").agg(ROWS.alias("count"))
+    return not_null(logs, "user_agent").groupBy("user_agent").agg(n_rows().alias("count"))
 
 
 def top_user_agents(logs: DataFrame, n: int = 20) -> DataFrame:
@@ -210,7 +212,7 @@ def blocked_geo_summary(logs: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("blocked_requests")).alias("n"), F.col("country").alias("c")))
     return geo.agg(
         F.coalesce(F.sum("blocked_requests"), F.lit(0)).cast("bigint").alias("total_blocked"),
-        ROWS.alias("countries_with_blocks"),
+        n_rows().alias("countries_with_blocks"),
         best.alias("b"),
     ).select(
         "total_blocked", "countries_with_blocks",
@@ -221,19 +223,19 @@ def blocked_geo_summary(logs: DataFrame) -> DataFrame:
 
 def blocks_by_day_rule(logs: DataFrame) -> DataFrame:
     days = blocked(logs).groupBy(F.to_date("timestamp").alias("date"), "terminating_rule_id")
-    return days.agg(ROWS.alias("blocks"))
+    return days.agg(n_rows().alias("blocks"))
 
 
 def client_activity(logs: DataFrame) -> DataFrame:
     clients = not_null(logs, "client_ip").groupBy("client_ip")
-    return clients.agg(ROWS.alias("total_requests"), acted("BLOCK").alias("blocked_requests")).withColumn(
+    return clients.agg(n_rows().alias("total_requests"), acted("BLOCK").alias("blocked_requests")).withColumn(
         "block_rate", pct2("blocked_requests", "total_requests")
     )
 
 
 def blocked_by_country(logs: DataFrame) -> DataFrame:
     countries = known_country(logs).groupBy("country")
-    counts = countries.agg(ROWS.alias("total_requests"), acted("BLOCK").alias("blocked_requests"))
+    counts = countries.agg(n_rows().alias("total_requests"), acted("BLOCK").alias("blocked_requests"))
     return counts.where(F.col("blocked_requests") > 0).withColumn("block_rate", pct2("blocked_requests", "total_requests"))
 
 
@@ -246,7 +248,7 @@ def action_share(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def default_rule_share(logs: DataFrame, default_rule: str = "Default_Action") -> DataFrame:
     counts = logs.agg(
-        ROWS.alias("total_requests"), count_when(F.col("terminating_rule_id") == default_rule).alias("default_requests")
+        n_rows().alias("total_requests"), count_when(F.col("terminating_rule_id") == default_rule).alias("default_requests")
     )
     return counts.withColumn("default_percent", pct2("default_requests", "total_requests"))
 
@@ -254,7 +256,7 @@ def default_rule_share(logs: DataFrame, default_rule: str = "Default_Action") ->
 def hourly_filled(logs: DataFrame) -> DataFrame:
     """Requests of every hour between the first and the last, empty hours as 0."""
     hours = logs.groupBy(F.date_trunc("hour", "timestamp").alias("hour")).agg(
-        ROWS.alias("n"), acted("BLOCK").alias("b")
+        n_rows().alias("n"), acted("BLOCK").alias("b")
     )
     ends = hours.agg(F.min("hour").alias("a"), F.max("hour").alias("z")).where(F.col("a").isNotNull())
     spine = ends.select(F.explode(F.sequence("a", "z", F.expr("INTERVAL 1 HOUR"))).alias("hour"))

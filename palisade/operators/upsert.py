@@ -15,22 +15,25 @@ from ..functions import arns
 from ..functions.numbers import col
 
 
-def latest_per_key(rows: DataFrame, key: str, order: list[str], first: dict[str, str] | None = None) -> DataFrame:
-    """Last row per key in `order`. Columns named in `first` keep the value of
-    the first row instead."""
-    first = first or {}
-    rank = F.struct(*order)
-    others = [c for c in rows.columns if c != key and c not in first]
+def latest_per_key(rows: DataFrame, key: str, order: list[str], keep_first: list[str] | None = None, first_by: list[str] | None = None) -> DataFrame:
+    """Last row per key in `order`. Columns in `keep_first` keep the value of the
+    first row instead, in `first_by` order if that is another."""
+    kept = keep_first or []
+    others = [c for c in rows.columns if c != key and c not in kept]
     latest = rows.groupBy(key).agg(
-        F.max_by(F.struct(*others), rank).alias("_r"),
-        *[F.min_by(c, rank).alias(c) for c in first],
+        F.max_by(F.struct(*others), F.struct(*order)).alias("_r"),
+        *[F.min_by(c, F.struct(*(first_by or order))).alias(c) for c in kept],
     )
-    return latest.select(key, "_r.*", *first).select(*rows.columns)
+    return latest.select(key, "_r.*", *kept).select(*rows.columns)
 
 
 def upsert(old: DataFrame | None, batch: DataFrame, key: str, order: list[str], keep_first: list[str] | None = None) -> DataFrame:
-    rows = batch if old is None else old.unionByName(batch)
-    return latest_per_key(rows, key, order, {c: c for c in keep_first or []})
+    """The table after the batch. Kept columns come from the stored row where
+    there is one, so that applying a batch again changes nothing."""
+    rows = batch.withColumn("_new", F.lit(1))
+    if old is not None:
+        rows = old.withColumn("_new", F.lit(0)).unionByName(rows)
+    return latest_per_key(rows, key, order, keep_first, ["_new", *order]).drop("_new")
 
 
 def acl_rows(config: DataFrame) -> DataFrame:

@@ -152,9 +152,9 @@ def json_list(df: DataFrame, order: list, limit: int) -> Column:
     return ranked.agg(as_json(rows)).scalar()
 
 
-RULE_ORDER = desc_by("hit_count", "rule_id", "rule_type")
-GEO_ORDER = desc_by("total_requests", "country")
-IP_ORDER = desc_by("block_count", "ip", "country")
+RULE_ORDER = ("hit_count", "rule_id", "rule_type")
+GEO_ORDER = ("total_requests", "country")
+IP_ORDER = ("block_count", "ip", "country")
 
 
 def legacy_values(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources: DataFrame, logging: DataFrame) -> tuple[DataFrame, dict, dict]:
@@ -182,19 +182,19 @@ def legacy_values(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources:
         "logging_coverage": percent_text("logging_coverage_percent", 1),
         "time_range_start": F.date_format("start_time", "yyyy-MM-dd HH:mm:ss"),
         "time_range_end": F.date_format("end_time", "yyyy-MM-dd HH:mm:ss"),
-        "top_rules": listed(effectiveness, RULE_ORDER, 10, F.concat(
+        "top_rules": listed(effectiveness, desc_by(*RULE_ORDER), 10, F.concat(
             number, F.lit(". "), "rule_id", F.lit(": "), F.col("hit_count").cast("string"), F.lit(" hits (Block Rate: "),
             percent_text("block_rate_percent", 1), F.lit(")")), "No rule data available"),
-        "top_countries": listed(geo, GEO_ORDER, 10, F.concat(
+        "top_countries": listed(geo, desc_by(*GEO_ORDER), 10, F.concat(
             number, F.lit(". "), "country", F.lit(": "), F.col("total_requests").cast("string"), F.lit(" requests (Threat Score: "),
             percent_text("threat_score", 1), F.lit(")")), "No geographic data available"),
-        "top_blocked_ips": listed(ips, IP_ORDER, 20, F.concat(
+        "top_blocked_ips": listed(ips, desc_by(*IP_ORDER), 20, F.concat(
             number, F.lit(". "), "ip", F.lit(" ("), F.coalesce("country", F.lit("None")), F.lit("): "), F.col("block_count").cast("string"),
             F.lit(" blocks")), "No blocked IP data available"),
     }
-    rules_json = json_list(effectiveness, RULE_ORDER, LIMITS["rules"])
-    geo_json = json_list(geo, GEO_ORDER, LIMITS["countries"])
-    ips_json = json_list(ips, IP_ORDER, LIMITS["ips"])
+    rules_json = json_list(effectiveness, desc_by(*RULE_ORDER), LIMITS["rules"])
+    geo_json = json_list(geo, desc_by(*GEO_ORDER), LIMITS["countries"])
+    ips_json = json_list(ips, desc_by(*IP_ORDER), LIMITS["ips"])
     attacks_json = json_list(attacks, desc_by("count", "attack_type"), len(labels.ATTACKS_BY_RULE) + 1)
     config_json = json_list(rules.select(ACL, "name", "priority", "rule_type"), [ACL, "priority", "name"], LIMITS["rules"])
     acls_json = json_list(acls.select(ACL, "name", "scope", "capacity"), ["scope", "name"], LIMITS["rules"])
@@ -269,7 +269,7 @@ Rationale: the figures behind it
 def sheet_prompts(logs: DataFrame, template: str = SHEET_TEMPLATE) -> DataFrame:
     """Five focused prompts with their figures as bullet lines."""
     dash = F.lit("- ")
-    totals = logs.agg(metrics.ROWS.alias("n"), *[metrics.acted(a).alias(a) for a in ("ALLOW", "BLOCK", "COUNT")])
+    totals = logs.agg(metrics.n_rows().alias("n"), *[metrics.acted(a).alias(a) for a in ("ALLOW", "BLOCK", "COUNT")])
     whole = F.greatest(F.col("ALLOW") + F.col("BLOCK") + F.col("COUNT"), F.lit(1))
     geo_line = F.concat(dash, "country", F.lit(": "), thousands("total_requests"), F.lit(" requests, "), percent_text("threat_score", 1), F.lit(" blocked"))
     rule_line = F.concat(dash, "rule_id", F.lit(": "), thousands("hit_count"), F.lit(" hits, "), percent_text("hit_rate_percent", 1), F.lit(" hit rate, "),
@@ -280,8 +280,8 @@ def sheet_prompts(logs: DataFrame, template: str = SHEET_TEMPLATE) -> DataFrame:
     data = {
         "traffic": ("Review the traffic pattern.", F.concat(
             F.lit("- Total Requests: "), thousands("n"), F.lit("\n- Blocked Requests: "), thousands("BLOCK"), F.lit("\n- Block Rate: "), pct1_text("BLOCK", "n"),
-            F.lit("\n"), listed(metrics.geo_distribution(logs), GEO_ORDER, 10, geo_line, "No geographic data available"))),
-        "rule_effectiveness": ("Review how the rules work.", listed(metrics.rule_effectiveness(logs), RULE_ORDER, 10, rule_line, "No rule data available")),
+            F.lit("\n"), listed(metrics.geo_distribution(logs), desc_by(*GEO_ORDER), 10, geo_line, "No geographic data available"))),
+        "rule_effectiveness": ("Review how the rules work.", listed(metrics.rule_effectiveness(logs), desc_by(*RULE_ORDER), 10, rule_line, "No rule data available")),
         "geographic": ("Review where blocked traffic comes from.", listed(
             metrics.blocked_by_country(logs), desc_by("blocked_requests", "country"), 15, blocked_line, "No blocked traffic data available")),
         "rule_action": ("Review the balance of actions.", F.concat(*[

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 HEADERS = "array<struct<name:string,value:string>>"
 RULE_GROUPS = "array<struct<ruleGroupId:string,ruleGroupName:string>>"
 
@@ -20,15 +18,8 @@ LOG_COLUMNS = [
 ]
 
 # One element of a configuration dump, as the cloud API prints it.
-ACL_CONFIG = T.StructType.fromDDL(
+ACL_CONFIG = (
     "Id string, Name string, ARN string, Capacity bigint, DefaultAction string, Description string, "
     "VisibilityConfig string, ManagedByFirewallManager boolean, "
     "Rules array<struct<Name:string,Priority:int,Action:string,Statement:string,VisibilityConfig:string>>"
 )
-ASSOCIATIONS = T.StructType.fromDDL("WebAclId string, ResourceType string, ResourceArns array<string>")
-LOGGING_CONFIG = T.StructType.fromDDL(
-    "WebAclId string, LogDestinationConfigs array<string>, LogFormat string, SamplingRate double, RedactedFields string"
-)
-EVENTS = T.StructType.fromDDL(
-    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-)

@@ -34,16 +34,16 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it. A local
-    temporary folder is used only by a local master with nothing configured."""
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder all executors can reach, as the cluster names it. A temporary
+    folder is used only by a local master with nothing configured."""
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="palisade-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="palisade-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

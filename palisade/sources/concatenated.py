@@ -6,7 +6,7 @@ the line before ends in one of { [ , : or the line after starts with one of
 } ] , : . Between two values neither holds. On one line a value ends at a } that
 is followed by anything but , ] }. So values are found from neighbouring
 lines alone, and a file of any size is cut block by block. A value that does not
-parse is cut again at its lines that open an object, so that a broken record
+parse is cut again at its unindented opening braces, so that a broken record
 does not take the next one with it.
 """
 
@@ -43,14 +43,14 @@ def scan_concatenated(spark: SparkSession, paths: str | list[str], glob: str = "
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
-        F.trim(F.regexp_replace("value", "[\r\t]", " ")).alias("text"),
+        F.rtrim(F.regexp_replace("value", "[\r\t]", " ")).alias("text"),
     ).where(F.col("text") != "")
 
     in_block = Window.partitionBy("path", "block").orderBy("line")
     by_file = Window.partitionBy("path").orderBy("block")
     opens = ~(F.col("before").isin("{", "[", ",", ":") | F.col("head").isin("}", "]", ",", ":"))
     cut = (
-        lines.withColumns({"head": F.substring("text", 1, 1), "tail": F.expr("right(text, 1)"), "parts": _pieces(F.col("text"))})
+        lines.withColumns({"head": F.substring(F.ltrim("text"), 1, 1), "tail": F.expr("right(text, 1)"), "parts": _pieces(F.col("text"))})
         .withColumn("before", F.lag("tail").over(in_block))
         # null on the first line of a block, where the block before decides
         .withColumn("starts", F.when(opens, 1).otherwise(F.when(F.col("before").isNotNull(), 0)))
@@ -79,6 +79,7 @@ def scan_concatenated(spark: SparkSession, paths: str | list[str], glob: str = "
 
 
 def _rescue(value: Column) -> Column:
-    """The value itself, or its parts at lines opening an object if it is broken."""
-    parts = F.filter(F.split(value, r"\n(?=\s*\{)"), lambda s: F.trim(s) != "")
+    """The value itself, or its parts at lines that begin with a brace, not
+    indented, if it is broken."""
+    parts = F.filter(F.split(value, r"\n(?=\{)"), lambda s: F.trim(s) != "")
     return F.when(F.try_parse_json(value).isNotNull(), F.array(value)).otherwise(parts)

@@ -47,7 +47,7 @@ def append_numbered(df: DataFrame, path: str, checkpoint: str, order: list[str])
 def hourly_counts(logs: DataFrame, delay: str = "2 hours") -> DataFrame:
     """Requests per hour with a watermark; state is one row per open hour."""
     hours = logs.withWatermark("timestamp", delay).groupBy(F.window("timestamp", "1 hour"))
-    counts = hours.agg(metrics.ROWS.alias("total_requests"), metrics.acted("BLOCK").alias("blocked"), metrics.acted("ALLOW").alias("allowed"))
+    counts = hours.agg(metrics.n_rows().alias("total_requests"), metrics.acted("BLOCK").alias("blocked"), metrics.acted("ALLOW").alias("allowed"))
     return counts.select(
         F.col("window.start").alias("hour"), "total_requests", "blocked", "allowed", pct2("blocked", "total_requests").alias("block_rate_percent")
     )

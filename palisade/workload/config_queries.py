@@ -54,7 +54,7 @@ def scan_acl_config(s, d):
     path = scratch_path(s, "acl-dumps")
     write_raw(acl_dump(s, d), path)
     rows = upsert.acl_rows(config.scan_acl_config(s, path, "REGIONAL"))
-    return rows.groupBy("web_acl_id", "name", "capacity", "default_action", "scope").agg(metrics.ROWS.alias("dumps"))
+    return rows.groupBy("web_acl_id", "name", "capacity", "default_action", "scope").agg(metrics.n_rows().alias("dumps"))
 
 
 @query("default_action_label", "SELECT web_acl_id, default_label AS default_action FROM v_acls")
@@ -235,7 +235,7 @@ def with_total(s, d):
     from ..functions.numbers import pct2
 
     logs = v.logs(s, d)
-    counts = logs.where(F.col("terminating_rule_id").isNotNull()).groupBy("terminating_rule_id").agg(metrics.ROWS.alias("count"))
+    counts = logs.where(F.col("terminating_rule_id").isNotNull()).groupBy("terminating_rule_id").agg(metrics.n_rows().alias("count"))
     return counts.withColumn("total", metrics.total_rows(logs)).withColumn("percentage", pct2("count", "total"))
 
 
@@ -317,7 +317,7 @@ def union_scopes(s, d):
   SELECT 'stream' AS source_name, log_id, uri FROM v_logs UNION ALL SELECT 'files', NULL, NULL FROM v_traffic) GROUP BY 1""")
 def union_sources(s, d):
     both = tables.union_sources({"stream": v.logs(s, d), "files": v.traffic(s, d)})
-    return both.groupBy("source_name").agg(metrics.ROWS.alias("rows"), F.count("log_id").alias("with_id"), F.count("uri").alias("with_uri"))
+    return both.groupBy("source_name").agg(metrics.n_rows().alias("rows"), F.count("log_id").alias("with_id"), F.count("uri").alias("with_uri"))
 
 
 @query("group_rows", """SELECT web_acl_id, log_id, CAST(row_number() OVER (PARTITION BY web_acl_id ORDER BY timestamp, log_id) AS BIGINT) AS position FROM v_logs""")

@@ -227,7 +227,7 @@ REASONS = ", ".join(f"CASE WHEN {c} IS NULL THEN 'missing:{n}' END" for n, c in
   CASE WHEN action NOT IN ('ALLOW', 'BLOCK', 'COUNT', 'CAPTCHA', 'CHALLENGE') THEN 'invalid:action' END) AS reasons FROM v_norm) GROUP BY 1, 2""")
 def validate_logs(s, d):
     logs = normalize.normalize_logs(raw.decode_lines(v.raw_logs(s, d)))
-    return quality.validate_logs(logs, REQUIRED, "action").groupBy("reasons", "is_valid").agg(metrics.ROWS.alias("logs"))
+    return quality.validate_logs(logs, REQUIRED, "action").groupBy("reasons", "is_valid").agg(metrics.n_rows().alias("logs"))
 
 
 # files by path and time
@@ -244,7 +244,7 @@ def order_range(s, d) -> DataFrame:
 @query("prune_date_prefixes", """SELECT 'AWSLogs/WAFLogs/' || strftime(day, '%Y/%m/%d/') AS prefix, CAST(count(o_orderkey) AS BIGINT) AS orders
 FROM (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS day FROM orders) LEFT JOIN orders ON o_orderdate = day GROUP BY 1""")
 def prune_date_prefixes(s, d):
-    per_day = v.table(s, d, "orders").groupBy(F.col("o_orderdate").cast("timestamp").alias("day")).agg(metrics.ROWS.alias("n"))
+    per_day = v.table(s, d, "orders").groupBy(F.col("o_orderdate").cast("timestamp").alias("day")).agg(metrics.n_rows().alias("n"))
     days = paths.day_prefixes(order_range(s, d))
     return days.join(per_day, "day", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("orders"))
 
@@ -315,7 +315,7 @@ FROM (SELECT CAST((epoch_us(timestamp) - epoch_us(TIMESTAMP '{START}')) // ({h}
 def scan_time_chunks(s, d):
     out = None
     for hours in (168, 6):
-        chunks = events.time_chunks(v.logs(s, d), START, END, hours).groupBy("chunk", "chunk_start", "chunk_end").agg(metrics.ROWS.alias("logs"))
+        chunks = events.time_chunks(v.logs(s, d), START, END, hours).groupBy("chunk", "chunk_start", "chunk_end").agg(metrics.n_rows().alias("logs"))
         part = chunks.withColumn("hours", F.lit(hours))
         out = part if out is None else out.unionByName(part)
     return out
@@ -363,7 +363,7 @@ def batch_scan_dir(s, d):
     logs = normalize.normalize_logs(decoded)
     folder = F.regexp_extract("path", r"web_acl_name=([^/]*)/", 1)
     return logs.groupBy(folder.alias("web_acl_id")).agg(
-        metrics.ROWS.alias("logs"), metrics.acted("BLOCK").alias("blocked"), F.min("timestamp").alias("first_time")
+        metrics.n_rows().alias("logs"), metrics.acted("BLOCK").alias("blocked"), F.min("timestamp").alias("first_time")
     )
 
 
@@ -388,14 +388,14 @@ def scan_raw_parallel(s, d):
     path = scratch_path(s, "hourly")
     sinks.write_hourly(one_acl(s, d), path, "main", flat_day=False)
     logs = normalize.normalize_logs(raw.decode_lines(raw.scan_lines(s, path, "part-*")))
-    return logs.groupBy("action").agg(metrics.ROWS.alias("logs"), F.countDistinct("client_ip").alias("clients"))
+    return logs.groupBy("action").agg(metrics.n_rows().alias("logs"), F.countDistinct("client_ip").alias("clients"))
 
 
 @query("drop_duplicate_records", f"SELECT {N} AS rows FROM v_norm")
 def drop_duplicate_records(s, d):
     rows = v.raw_logs(s, d).select("value", "log_id")
     twice = rows.unionByName(rows).withColumn("value", F.concat("value", F.col("log_id").cast("string")))
-    return tables.drop_duplicate_records(twice).agg(metrics.ROWS.alias("rows"))
+    return tables.drop_duplicate_records(twice).agg(metrics.n_rows().alias("rows"))
 
 
 # sinks and maintenance
@@ -406,14 +406,14 @@ def sink_raw_jsonl(s, d):
     sinks.write_raw(rows, path)
     back = normalize.normalize_logs(raw.decode_lines(raw.scan_lines(s, path, "part-*")))
     folder = sinks.safe_name(F.lit("/arn:aws/logs:main/")).alias("folder")
-    return back.agg(metrics.ROWS.alias("lines"), metrics.acted("BLOCK").alias("blocked")).select(folder, "lines", "blocked")
+    return back.agg(metrics.n_rows().alias("lines"), metrics.acted("BLOCK").alias("blocked")).select(folder, "lines", "blocked")
 
 
 @query("sink_raw_by_acl", f"SELECT replace(web_acl_id, ':', '_') AS web_acl_name, {N} AS lines FROM v_logs GROUP BY 1")
 def sink_raw_by_acl(s, d):
     path = scratch_path(s, "acl-folders")
     sinks.write_raw_by_acl(v.raw_logs(s, d), path)
-    return s.read.text(path).groupBy("web_acl_name").agg(metrics.ROWS.alias("lines"))
+    return s.read.text(path).groupBy("web_acl_name").agg(metrics.n_rows().alias("lines"))
 
 
 @query("sink_parquet", f"SELECT CAST(timestamp AS DATE) AS dt, {N} AS logs, count(DISTINCT client_ip) AS clients, max(timestamp) AS last_time FROM v_traffic GROUP BY 1")
@@ -421,7 +421,7 @@ def sink_parquet(s, d):
     path = scratch_path(s, "waf-logs")
     sinks.write_table(v.traffic(s, d), path)
     return s.read.parquet(path).groupBy(F.to_date("timestamp").alias("dt")).agg(
-        metrics.ROWS.alias("logs"), F.countDistinct("client_ip").alias("clients"), F.max("timestamp").alias("last_time")
+        metrics.n_rows().alias("logs"), F.countDistinct("client_ip").alias("clients"), F.max("timestamp").alias("last_time")
     )
 
 
@@ -430,7 +430,7 @@ def sink_parquet_by_day(s, d):
     path = scratch_path(s, "waf-logs-by-day")
     sinks.write_table(v.logs(s, d), path, by_day=True)
     return s.read.parquet(path).groupBy("dt").agg(
-        metrics.ROWS.alias("logs"), F.countDistinct("client_ip").alias("clients"), F.max("timestamp").alias("last_time")
+        metrics.n_rows().alias("logs"), F.countDistinct("client_ip").alias("clients"), F.max("timestamp").alias("last_time")
     )
 
 
@@ -440,7 +440,7 @@ def sink_hourly_gz(s, d):
     path = scratch_path(s, "hourly-gz")
     sinks.write_hourly(one_acl(s, d), path, "main")
     back = s.read.schema("value string, profile string, web_acl string, dt string, hh int").text(path)
-    return back.groupBy("profile", "web_acl", "dt", "hh").agg(metrics.ROWS.alias("lines"))
+    return back.groupBy("profile", "web_acl", "dt", "hh").agg(metrics.n_rows().alias("lines"))
 
 
 @query("append_logs", "SELECT CAST((SELECT max(event_id) + 1 FROM events) + row_number() OVER (ORDER BY timestamp, log_id) - 1 AS BIGINT) AS log_id, timestamp, uri FROM v_logs")
@@ -455,13 +455,13 @@ def append_logs(s, d):
 def migrate_acl_ids(s, d):
     full = F.concat(F.lit("arn:aws:wafv2:us-east-1:1:regional/webacl/n/"), F.col("web_acl_id"))
     old = v.logs(s, d).withColumn("web_acl_id", F.when(F.col("k") % 3 == 0, full).otherwise(F.col("web_acl_id")))
-    return append.migrate_acl_ids(old).groupBy("web_acl_id").agg(metrics.ROWS.alias("logs"), count_when(F.col("migrated")).alias("migrated"))
+    return append.migrate_acl_ids(old).groupBy("web_acl_id").agg(metrics.n_rows().alias("logs"), count_when(F.col("migrated")).alias("migrated"))
 
 
 @query("retention_filter", f"SELECT {N} AS kept, min(timestamp) AS oldest FROM v_logs WHERE timestamp >= TIMESTAMP '2024-01-21 12:00:00'")
 def retention_filter(s, d):
     kept = append.retain(v.logs(s, d), datetime(2024, 1, 31, 12), 10)
-    return kept.agg(metrics.ROWS.alias("kept"), F.min("timestamp").alias("oldest"))
+    return kept.agg(metrics.n_rows().alias("kept"), F.min("timestamp").alias("oldest"))
 
 
 @query("number_traffic", """SELECT web_acl_id, timestamp, client_ip, CAST(row_number() OVER (PARTITION BY web_acl_id ORDER BY timestamp, client_ip) AS BIGINT) AS position

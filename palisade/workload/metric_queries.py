@@ -191,24 +191,24 @@ AS_OF = datetime(2024, 1, 20, 15, 30)
 
 @query("filter_acls", f"SELECT action, {N} AS count FROM v_logs WHERE web_acl_id IN ('acl-1', 'acl-3', 'acl-retired') GROUP BY 1")
 def filter_acls(s, d):
-    return filters.of_acls(v.logs(s, d), ["acl-1", "acl-3", "acl-retired"]).groupBy("action").agg(metrics.ROWS.alias("count"))
+    return filters.of_acls(v.logs(s, d), ["acl-1", "acl-3", "acl-retired"]).groupBy("action").agg(metrics.n_rows().alias("count"))
 
 
 @query("filter_acls_known", f"SELECT web_acl_id, {N} AS count FROM v_logs WHERE web_acl_id IN (SELECT web_acl_id FROM v_acls) GROUP BY 1")
 def filter_acls_known(s, d):
     known = v.acls(s, d).select("web_acl_id")
-    return filters.of_acls(v.logs(s, d), known).groupBy("web_acl_id").agg(metrics.ROWS.alias("count"))
+    return filters.of_acls(v.logs(s, d), known).groupBy("web_acl_id").agg(metrics.n_rows().alias("count"))
 
 
 @query("filter_not_null", f"SELECT terminating_rule_id, {N} AS count FROM v_logs WHERE client_ip IS NOT NULL AND terminating_rule_id IS NOT NULL GROUP BY 1")
 def filter_not_null(s, d):
     logs = filters.not_null(filters.not_null(v.logs(s, d), "client_ip"), "terminating_rule_id")
-    return logs.groupBy("terminating_rule_id").agg(metrics.ROWS.alias("count"))
+    return logs.groupBy("terminating_rule_id").agg(metrics.n_rows().alias("count"))
 
 
 @query("filter_known_country", f"SELECT country, {N} AS count FROM v_logs WHERE {KNOWN} GROUP BY 1")
 def filter_known_country(s, d):
-    return filters.known_country(v.logs(s, d)).groupBy("country").agg(metrics.ROWS.alias("count"))
+    return filters.known_country(v.logs(s, d)).groupBy("country").agg(metrics.n_rows().alias("count"))
 
 
 @query("filter_blocked", f"SELECT log_id, web_acl_id, client_ip, terminating_rule_id FROM v_logs WHERE {BLOCK} AND client_ip IS NOT NULL")
@@ -234,7 +234,7 @@ def time_window_filter(s, d):
     for kind in WINDOWS:
         start, end = times.time_window(kind, AS_OF, datetime(2024, 1, 5, 6), datetime(2024, 1, 7, 18))
         part = filters.in_window(logs, start, end).agg(
-            metrics.ROWS.alias("requests"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
+            metrics.n_rows().alias("requests"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
         ).select(F.lit(kind).alias("time_window"), "requests", "first_seen", "last_seen")
         out = part if out is None else out.unionByName(part)
     return out
@@ -243,7 +243,7 @@ def time_window_filter(s, d):
 @query("business_hours", f"SELECT hour(timestamp) >= 9 AND hour(timestamp) < 17 AS in_business_hours, {N} AS requests, {n_sql(BLOCK)} AS blocked FROM v_logs GROUP BY 1")
 def business_hours(s, d):
     flag = times.business_hours("timestamp").alias("in_business_hours")
-    return v.logs(s, d).groupBy(flag).agg(metrics.ROWS.alias("requests"), metrics.acted("BLOCK").alias("blocked"))
+    return v.logs(s, d).groupBy(flag).agg(metrics.n_rows().alias("requests"), metrics.acted("BLOCK").alias("blocked"))
 
 
 # ranking
@@ -269,7 +269,7 @@ def first_k_per_acl(s, d):
 @query("pct_of_total", f"""SELECT rule_type, count, {pct2_sql('count', 'total')} AS percentage
 FROM (SELECT rule_type, {N} AS count FROM v_rules GROUP BY 1), (SELECT count(*) AS total FROM v_rules)""")
 def pct_of_total(s, d):
-    counts = v.rules(s, d).groupBy("rule_type").agg(metrics.ROWS.alias("count"))
+    counts = v.rules(s, d).groupBy("rule_type").agg(metrics.n_rows().alias("count"))
     return metrics.with_share(counts, "count", "percentage")
 
 
@@ -310,7 +310,7 @@ def _report_sql() -> str:
 def topn_report(s, d):
     logs = v.logs(s, d)
     rules = metrics.rule_effectiveness(logs).groupBy("rule_id").agg(F.sum("hit_count").alias("hit_count"))
-    ips = filters.blocked(logs, also="client_ip").groupBy(F.col("client_ip").alias("ip")).agg(metrics.ROWS.alias("block_count"))
+    ips = filters.blocked(logs, also="client_ip").groupBy(F.col("client_ip").alias("ip")).agg(metrics.n_rows().alias("block_count"))
     frames = {
         "geo": (metrics.geo_distribution(logs), "country", "total_requests"),
         "blocked_geo": (metrics.blocked_by_country(logs), "country", "blocked_requests"),

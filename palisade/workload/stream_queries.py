@@ -35,7 +35,7 @@ def stream_append(s, d):
     source = st.stream_logs(s, landed(s, d), lambda df: normalize.normalize_logs(df).select("timestamp", "uri", "raw_log"), files_per_batch=2, glob="part-*")
     path = st.run_to_end(lambda p, state: st.append_numbered(source, p, state, ["timestamp", "raw_log"]), s, "numbered")
     return s.read.parquet(path).agg(
-        metrics.ROWS.alias("rows"), F.min("log_id").alias("first_id"), F.max("log_id").alias("last_id"), F.countDistinct("log_id").alias("ids")
+        metrics.n_rows().alias("rows"), F.min("log_id").alias("first_id"), F.max("log_id").alias("last_id"), F.countDistinct("log_id").alias("ids")
     )
 
 
