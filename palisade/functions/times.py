@@ -18,7 +18,8 @@ def normalize_timestamp(raw) -> Column:
     """Text of a JSON timestamp (integer ms, integer s or ISO-8601) to a
     timestamp. Zero and empty count as missing; missing and unreadable give null."""
     text = F.nullif(F.trim(col(raw)), F.lit(""))
-    number = text.try_cast("bigint")
+    # tested before it is cast: a failing cast costs an exception per row
+    number = F.when(F.regexp_like(text, F.lit(r"^-?\d{1,18}$")), text.cast("bigint"))
     return (
         F.when(number == 0, F.lit(None).cast("timestamp"))
         .when(number > MILLIS_ABOVE, F.timestamp_millis(number))

@@ -24,35 +24,21 @@ def acted(action: str) -> Column:
     return count_when(F.col("action") == action)
 
 
-def _per_client(logs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Rows reduced to (client, country): one scan, combined before the shuffle.
-    The distinct counts that follow expand these rows, not the log."""
-    return logs.groupBy(*keys, "client_ip", "country").agg(
-        n_rows().alias("n"),
-        *[acted(a).alias(a) for a in labels.ACTIONS],
-        F.min("timestamp").alias("first"),
-        F.max("timestamp").alias("last"),
-    )
-
-
-def _total(name: str) -> Column:
-    return F.coalesce(F.sum(name), F.lit(0)).cast("bigint")
-
-
 def summary(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Totals, counts per action, block rate, distinct clients and countries and
-    the time range."""
-    totals = _per_client(logs, keys).groupBy(*keys).agg(
-        _total("n").alias("total_requests"),
-        _total("BLOCK").alias("blocked_requests"),
-        _total("ALLOW").alias("allowed_requests"),
-        _total("COUNT").alias("counted_requests"),
-        _total("CAPTCHA").alias("captcha_requests"),
-        _total("CHALLENGE").alias("challenge_requests"),
+    the time range in one scan. Each distinct count is combined per value before
+    the shuffle, so only distinct values travel."""
+    totals = logs.groupBy(*keys).agg(
+        n_rows().alias("total_requests"),
+        acted("BLOCK").alias("blocked_requests"),
+        acted("ALLOW").alias("allowed_requests"),
+        acted("COUNT").alias("counted_requests"),
+        acted("CAPTCHA").alias("captcha_requests"),
+        acted("CHALLENGE").alias("challenge_requests"),
         F.countDistinct("client_ip").alias("unique_client_ips"),
         F.countDistinct(F.when(F.col("country") != UNKNOWN_COUNTRY, F.col("country"))).alias("unique_countries"),
-        F.min("first").alias("start_time"),
-        F.max("last").alias("end_time"),
+        F.min("timestamp").alias("start_time"),
+        F.max("timestamp").alias("end_time"),
     )
     return totals.withColumn("block_rate_percent", pct2("blocked_requests", "total_requests"))
 
@@ -60,19 +46,19 @@ def summary(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def batch_summary(logs: DataFrame) -> DataFrame:
     """Summary of one parsed batch; here the unknown-country mark counts as a
     country, and empty texts do not count."""
-    return _per_client(logs, ()).agg(
-        _total("n").alias("total_entries"),
-        _total("BLOCK").alias("blocked"),
+    return logs.agg(
+        n_rows().alias("total_entries"),
+        acted("BLOCK").alias("blocked"),
         F.countDistinct(F.nullif("client_ip", F.lit(""))).alias("unique_ips"),
         F.countDistinct(F.nullif("country", F.lit(""))).alias("unique_countries"),
-        F.min("first").alias("start_time"),
-        F.max("last").alias("end_time"),
+        F.min("timestamp").alias("start_time"),
+        F.max("timestamp").alias("end_time"),
     ).withColumn("block_rate", pct2("blocked", "total_entries"))
 
 
 def action_distribution(logs: DataFrame) -> DataFrame:
     counts = logs.groupBy("action").agg(n_rows().alias("count"))
-    return with_share(counts, "count", "percentage")
+    return with_share(counts, "count", "percentage", total_rows(logs))
 
 
 def total_rows(logs: DataFrame) -> Column:
@@ -85,9 +71,8 @@ def as_row(one: DataFrame) -> Column:
     return one.select(F.struct(*one.columns)).scalar()
 
 
-def with_share(groups: DataFrame, count: str, name: str) -> DataFrame:
-    """Share of each group in the sum of all."""
-    total = groups.agg(F.sum(count).cast("bigint")).scalar()
+def with_share(groups: DataFrame, count: str, name: str, total: Column) -> DataFrame:
+    """Share of each group in the total."""
     return groups.withColumn(name, pct2(F.col(count), total))
 
 

@@ -20,46 +20,52 @@ def request_field(name: str) -> Column:
 
 def normalize_logs(decoded: DataFrame, default_time: Column | None = None) -> DataFrame:
     """One row per valid record. Rows whose time is missing or unreadable keep a
-    null time (see `split_rejects`) unless a default is given."""
-    variant = lambda path: field(path, "variant")
-    taken = {
-        "timestamp": field("$.timestamp"),
-        "web_acl_id": records.first_filled(field("$.webaclId"), field("$.webAclId")),
-        "web_acl_name": records.first_filled(field("$.webaclName"), field("$.webAclName")),
-        "action": field("$.action"),
-        "client_ip": request_field("clientIp"),
-        "country": request_field("country"),
-        "uri": request_field("uri"),
-        "http_method": request_field("httpMethod"),
-        "http_version": request_field("httpVersion"),
-        "http_status": field("$.httpStatus", "int"),
-        "terminating_rule_id": field("$.terminatingRuleId"),
-        "terminating_rule_type": field("$.terminatingRuleType"),
-        "terminating_rule_match_details": variant("$.terminatingRuleMatchDetails"),
-        "rule_group_list": field("$.ruleGroupList", schemas.RULE_GROUPS),
-        "rate_based_rule_list": variant("$.rateBasedRuleList"),
-        "non_terminating_matching_rules": variant("$.nonTerminatingMatchingRules"),
-        "labels": variant("$.labels"),
-        "ja3_fingerprint": field("$.ja3Fingerprint"),
-        "ja4_fingerprint": field("$.ja4Fingerprint"),
-        "request_headers": field("$.httpRequest.headers", schemas.HEADERS),
-        "response_code_sent": field("$.responseCodeSent", "int"),
-        "http_source_name": field("$.httpSourceName"),
-        "http_source_id": field("$.httpSourceId"),
-        "raw_log": F.col("record_text"),
-    }
+    null time (see `split_rejects`) unless a default is given.
+
+    The fields are taken out in two struct casts, one per level, with scalars as
+    text: text takes any value, so one odd field cannot void its neighbours."""
     kept = [c for c in ("source", "path") if c in decoded.columns]
-    valid = decoded.where(F.col("decode_status") == "valid").select(*[c.alias(n) for n, c in taken.items()], *kept)
-    when = times.normalize_timestamp("timestamp")
-    derived = valid.withColumns(
-        {
-            "timestamp": when if default_time is None else F.coalesce(when, default_time),
-            "web_acl_id": arns.acl_id("web_acl_id"),
-            "action": labels.norm_action("action"),
-            "user_agent": records.user_agent("request_headers"),
-        }
+    valid = decoded.where(F.col("decode_status") == "valid")
+    top = valid.select(
+        field("$", schemas.RECORD).alias("t"), field("$.webAclId").alias("acl_id"), field("$.webAclName").alias("acl_name"),
+        F.col("record_text").alias("raw_log"), *kept,
     )
-    return derived.select(*schemas.LOG_COLUMNS, *kept)
+    both = top.withColumn("h", field("$", schemas.REQUEST, "t.httpRequest"))
+    requested = lambda name: records.first_filled(f"h.{name}", f"t.{name}")
+    when = times.normalize_timestamp("t.timestamp")
+    columns = {
+        "timestamp": when if default_time is None else F.coalesce(when, default_time),
+        "web_acl_id": arns.acl_id(records.first_filled("t.webaclId", "acl_id")),
+        "web_acl_name": records.first_filled("t.webaclName", "acl_name"),
+        "action": labels.norm_action("t.action"),
+        "client_ip": requested("clientIp"),
+        "country": requested("country"),
+        "uri": requested("uri"),
+        "http_method": requested("httpMethod"),
+        "http_version": requested("httpVersion"),
+        "http_status": F.col("t.httpStatus").try_cast("int"),
+        "terminating_rule_id": F.col("t.terminatingRuleId"),
+        "terminating_rule_type": F.col("t.terminatingRuleType"),
+        "terminating_rule_match_details": present("t.terminatingRuleMatchDetails"),
+        "rule_group_list": field("$", schemas.RULE_GROUPS, "t.ruleGroupList"),
+        "rate_based_rule_list": present("t.rateBasedRuleList"),
+        "non_terminating_matching_rules": present("t.nonTerminatingMatchingRules"),
+        "labels": present("t.labels"),
+        "ja3_fingerprint": F.col("t.ja3Fingerprint"),
+        "ja4_fingerprint": F.col("t.ja4Fingerprint"),
+        "request_headers": field("$", schemas.HEADERS, "h.headers"),
+        "response_code_sent": F.col("t.responseCodeSent").try_cast("int"),
+        "http_source_name": F.col("t.httpSourceName"),
+        "http_source_id": F.col("t.httpSourceId"),
+        "raw_log": F.col("raw_log"),
+    }
+    named = both.select(*[c.alias(n) for n, c in columns.items()], *kept)
+    return named.withColumn("user_agent", records.user_agent("request_headers")).select(*schemas.LOG_COLUMNS, *kept)
+
+
+def present(name: str) -> Column:
+    """A nested value; a JSON null counts as absent."""
+    return F.when(~F.is_variant_null(F.col(name)), F.col(name))
 
 
 def split_rejects(logs: DataFrame) -> tuple[DataFrame, DataFrame]:

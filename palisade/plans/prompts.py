@@ -152,6 +152,16 @@ def json_list(df: DataFrame, order: list, limit: int) -> Column:
     return ranked.agg(as_json(rows)).scalar()
 
 
+def config_list(df: DataFrame, order: list, limit: int) -> Column:
+    """The first rows of a configuration table and how many more there are. The
+    whole tables are frames of their own; one text cannot hold them at any size."""
+    best = df.orderBy(*order).limit(limit)
+    ranked = best.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct(*df.columns).alias("row")))), lambda r: r["row"])
+    more = F.greatest(metrics.total_rows(df) - limit, F.lit(0))
+    return ranked.agg(as_json(F.struct(rows.alias("rows"), more.alias("more")))).scalar()
+
+
 RULE_ORDER = ("hit_count", "rule_id", "rule_type")
 GEO_ORDER = ("total_requests", "country")
 IP_ORDER = ("block_count", "ip", "country")
@@ -170,7 +180,11 @@ def legacy_values(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources:
     ips = metrics.blocked_ips(logs)
     attacks = metrics.attack_types(logs)
     number = F.col("position").cast("string")
+    described = acl_list_text(acls, rules)
+    more_acls = F.greatest(F.col("total_web_acls") - LIMITS["rules"], F.lit(0))
+    acl_lines = listed(described, ["scope", "name", ACL], LIMITS["rules"], F.concat(number, F.lit(". "), "text", F.lit("\n")), "")
     shown = {
+        "web_acls_list": F.concat(acl_lines, F.when(more_acls > 0, F.concat(F.lit("\n... and "), more_acls.cast("string"), F.lit(" more"))).otherwise("")),
         "total_requests": thousands("total_requests"),
         "blocked_requests": thousands("blocked_requests"),
         "block_rate": percent_text("block_rate_percent", 2),
@@ -196,8 +210,8 @@ def legacy_values(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources:
     geo_json = json_list(geo, desc_by(*GEO_ORDER), LIMITS["countries"])
     ips_json = json_list(ips, desc_by(*IP_ORDER), LIMITS["ips"])
     attacks_json = json_list(attacks, desc_by("count", "attack_type"), len(labels.ATTACKS_BY_RULE) + 1)
-    config_json = json_list(rules.select(ACL, "name", "priority", "rule_type"), [ACL, "priority", "name"], LIMITS["rules"])
-    acls_json = json_list(acls.select(ACL, "name", "scope", "capacity"), ["scope", "name"], LIMITS["rules"])
+    config_json = config_list(rules.select(ACL, "name", "priority", "rule_type"), [ACL, "priority", "name"], LIMITS["rules"])
+    acls_json = config_list(acls.select(ACL, "name", "scope", "capacity"), ["scope", "name"], LIMITS["rules"])
     optimized = classification.optimized_rule_order(logs)
     json_texts = {
         "current_rules": config_json,
@@ -212,8 +226,8 @@ def legacy_values(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources:
         "blocked_patterns": attacks_json,
         "top_blocked_requests": ips_json,
         "waf_config": acls_json,
-        "logging_config": json_list(logging.select(ACL, "destination_arn", "destination_type", "sampling_rate"), [ACL, "destination_type"], LIMITS["rules"]),
-        "protected_resources": json_list(resources.select(ACL, "resource_arn", "resource_type"), [ACL, "resource_arn"], LIMITS["rules"]),
+        "logging_config": config_list(logging.select(ACL, "destination_arn", "destination_type", "sampling_rate"), [ACL, "destination_type"], LIMITS["rules"]),
+        "protected_resources": config_list(resources.select(ACL, "resource_arn", "resource_type"), [ACL, "resource_arn"], LIMITS["rules"]),
         "rule_coverage": as_json(F.col("cover")),
         "incident_history": json_list(metrics.hourly_patterns(logs), ["hour"], LIMITS["hours"]),
         "legitimate_traffic_baseline": as_json(F.struct("allowed_requests", "start_time", "end_time", "total_requests",

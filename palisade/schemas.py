@@ -5,6 +5,19 @@ from __future__ import annotations
 HEADERS = "array<struct<name:string,value:string>>"
 RULE_GROUPS = "array<struct<ruleGroupId:string,ruleGroupName:string>>"
 
+# Field names of a log record and of the request inside it. Scalars
+# are read as text, nested values as they are.
+RECORD = "struct<" + ",".join(
+    [f"{n}:string" for n in (
+        "timestamp", "webaclId", "webaclName", "action", "clientIp", "country", "uri", "httpMethod", "httpVersion", "httpStatus",
+        "terminatingRuleId", "terminatingRuleType", "ja3Fingerprint", "ja4Fingerprint", "responseCodeSent", "httpSourceName", "httpSourceId",
+    )]
+    + [f"{n}:variant" for n in (
+        "httpRequest", "terminatingRuleMatchDetails", "ruleGroupList", "rateBasedRuleList", "nonTerminatingMatchingRules", "labels",
+    )]
+) + ">"
+REQUEST = "struct<clientIp:string,country:string,uri:string,httpMethod:string,httpVersion:string,headers:variant>"
+
 # Fields a log record must have, and those that hold nested JSON.
 REQUIRED_FIELDS = ["timestamp", "action", "clientIp", "country", "uri", "httpMethod", "httpVersion", "httpStatus"]
 NESTED_LISTS = ["rule_group_list", "rate_based_rule_list", "non_terminating_matching_rules", "labels", "request_headers"]

@@ -352,10 +352,10 @@ USAGE_SQL = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'bedrock' ELSE 'openai'
 PRICES_SQL = "SELECT provider, 'model-' || CAST(c_custkey AS VARCHAR) AS model, c_nationkey / 4.0 AS input_price, c_nationkey / 2.0 AS output_price FROM customer, (VALUES ('bedrock'), ('openai')) t(provider) WHERE c_acctbal > 3000"
 
 
-@query("model_cost", f"""SELECT o_orderkey, input_tokens / 1000000.0::DOUBLE * coalesce(input_price::DOUBLE, CASE provider WHEN 'bedrock' THEN 3.0 ELSE 1.0 END::DOUBLE)
+@query("llm_cost", f"""SELECT o_orderkey, input_tokens / 1000000.0::DOUBLE * coalesce(input_price::DOUBLE, CASE provider WHEN 'bedrock' THEN 3.0 ELSE 1.0 END::DOUBLE)
   + output_tokens / 1000000.0::DOUBLE * coalesce(output_price::DOUBLE, CASE provider WHEN 'bedrock' THEN 15.0 ELSE 3.0 END::DOUBLE) AS cost
 FROM ({USAGE_SQL}) LEFT JOIN ({PRICES_SQL}) USING (provider, model)""")
-def model_cost(s, d):
+def llm_cost(s, d):
     o, c = v.table(s, d, "orders"), v.table(s, d, "customer")
     usage = o.select(
         F.when(F.col("o_orderkey") % 2 == 0, "bedrock").otherwise("openai").alias("provider"),

@@ -269,8 +269,9 @@ def first_k_per_acl(s, d):
 @query("pct_of_total", f"""SELECT rule_type, count, {pct2_sql('count', 'total')} AS percentage
 FROM (SELECT rule_type, {N} AS count FROM v_rules GROUP BY 1), (SELECT count(*) AS total FROM v_rules)""")
 def pct_of_total(s, d):
-    counts = v.rules(s, d).groupBy("rule_type").agg(metrics.n_rows().alias("count"))
-    return metrics.with_share(counts, "count", "percentage")
+    rules = v.rules(s, d)
+    counts = rules.groupBy("rule_type").agg(metrics.n_rows().alias("count"))
+    return metrics.with_share(counts, "count", "percentage", metrics.total_rows(rules))
 
 
 @query("numbered_rows", """

@@ -147,7 +147,7 @@ def prompt_header(s, d):
 
 LEGACY = {
     "overview": "{{analysis_date}} {{total_requests}}/{{blocked_requests}} ({{block_rate}}) {{unique_ips}} {{unique_countries}} {{web_acls_count}} {{total_resources}} "
-                "{{security_score}} {{logging_coverage}} {{time_range_start}} {{time_range_end}}\n{{top_rules}}\n{{top_countries}}\n{{top_blocked_ips}}\n",
+                "{{security_score}} {{logging_coverage}} {{time_range_start}} {{time_range_end}}\n{{web_acls_list}}\n{{top_rules}}\n{{top_countries}}\n{{top_blocked_ips}}\n",
     "rules": "{current_rules}\n{rule_performance}\n{cost_metrics}\n{optimized_config}\n",
     "threats": "{attack_patterns}\n{top_blocked_requests}\n{geo_distribution}\n{incident_history}\n{blocked_patterns}\n",
     "setup": "{waf_config}\n{logging_config}\n{protected_resources}\n{rule_coverage}\n{current_config}\n",

@@ -214,6 +214,9 @@ def test_prompts(spark, data):
     assert total == inputs[0].where("web_acl_id <> 'acl-retired'").count()
     legacy = {r.template: r.prompt for r in prompts.prompt_legacy(*inputs, templates=t.LEGACY, as_of="now").collect()}
     assert legacy["overview"].startswith("now 1,000/") and "{{" not in legacy["overview"]
+    assert legacy["overview"].count("   - Scope: ") == min(50, inputs[1].count())
+    setup = json.loads("{" + '"waf": ' + legacy["setup"].split("\n}\n")[0] + "}}")["waf"]
+    assert len(setup["rows"]) + setup["more"] == inputs[1].count()
     for name, text in legacy.items():
         assert "{" + name not in text and "null\n" not in text
     sheets = {r.sheet: r.prompt for r in prompts.sheet_prompts(inputs[0]).collect()}
