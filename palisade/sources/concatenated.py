@@ -5,9 +5,9 @@ Inside a JSON value, a line break always has a structural character next to it:
 the line before ends in one of { [ , : or the line after starts with one of
 } ] , : . Between two values neither holds. On one line a value ends at a } that
 is followed by anything but , ] }. So values are found from neighbouring
-lines alone, and a file of any size is cut block by block. A value that does not
-parse is cut again at its unindented opening braces, so that a broken record
-does not take the next one with it.
+lines alone, and a file of any size is cut block by block. Broken text can end up
+together with the value next to it; such a piece does not parse and is cut again,
+so that a broken record does not take its neighbour with it.
 """
 
 from __future__ import annotations
@@ -34,7 +34,10 @@ def _mark_ends(text: Column, is_last: Column) -> Column:
 
 
 def _pieces(line: Column) -> Column:
-    return F.split(_outside(line, _mark_ends), CUT)
+    """A line cut where a value ends and another text begins. Most lines show
+    none of that, in a string or out of it, and stay as they are."""
+    candidate = F.regexp_like(line, F.lit(r"\}\s*[^\s,\]}]"))
+    return F.when(candidate, F.split(_outside(line, _mark_ends), CUT)).otherwise(F.array(line))
 
 
 def scan_concatenated(spark: SparkSession, paths: str | list[str], glob: str = "*.{gz,json,jsonl,log}") -> DataFrame:
@@ -74,12 +77,27 @@ def scan_concatenated(spark: SparkSession, paths: str | list[str], glob: str = "
     values = placed.groupBy("path", (F.col("base") + F.col("nth")).alias("position")).agg(
         F.array_sort(F.collect_list(F.struct("block", "line", "nth", "part"))).alias("lines")
     )
-    whole = F.array_join(F.col("lines.part"), "\n")
-    return values.select("path", "position", F.explode(_rescue(whole)).alias("value"))
+    whole = values.select("path", "position", F.array_join(F.col("lines.part"), "\n").alias("whole"))
+    return whole.select("path", "position", F.explode(_rescue(F.col("whole"))).alias("value")).where(F.trim("value") != "")
+
+
+def _parses(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()
 
 
 def _rescue(value: Column) -> Column:
-    """The value itself, or its parts at lines that begin with a brace, not
-    indented, if it is broken."""
-    parts = F.filter(F.split(value, r"\n(?=\{)"), lambda s: F.trim(s) != "")
-    return F.when(F.try_parse_json(value).isNotNull(), F.array(value)).otherwise(parts)
+    """The value itself if it parses. Otherwise broken text was taken together
+    with the value after or before it: cut before the first opening line from
+    which the rest parses, else after the first closing line up to which it does."""
+    lines = F.split(value, "\n")
+    count = F.size(lines)
+    part = lambda first, last: F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
+    places = F.sequence(F.lit(1), count)
+    start = F.get(F.filter(places, lambda i: F.ltrim(F.get(lines, i - 1)).startswith("{") & _parses(part(i, count))), F.lit(0))
+    end = F.get(F.filter(places, lambda i: (i < count) & F.rtrim(F.get(lines, i - 1)).endswith("}") & _parses(part(F.lit(1), i))), F.lit(0))
+    return (
+        F.when(_parses(value), F.array(value))
+        .when(start.isNotNull(), F.array(part(F.lit(1), start - 1), part(start, count)))
+        .when(end.isNotNull(), F.array(part(F.lit(1), end), part(end + 1, count)))
+        .otherwise(F.array(value))
+    )

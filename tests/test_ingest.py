@@ -43,6 +43,8 @@ def test_concatenated(spark, lines, pretty):
         "cut.json": dump(first) + '\n{"cut": 1, "half\n' + dump(second),
         "comma.json": dump(first) + "\nends with,\n" + dump(second),
         "open.json": dump(first) + '\n{"open": {"x": 1,\n' + dump(second),
+        "after.json": dump(first) + "\n, stray text\n" + dump(second),
+        "shifted.json": "broken,\n  " + dump(first) + "\n{\"open\": [\n " + dump(second),
         "text.json": dump(first) + json.dumps(json.dumps(RECORD)) + "\n17\n" + dump(second),
         "empty.json": "",
     }
