@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry_file
 import check
+from palisade.workload import all_oracles, all_queries
 
-QUERIES = entry_file.queries()
-ORACLES = entry_file.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,10 @@ def test_entry(spark):
     assert result.columns[:3] == ["rule_id", "rule_type", "hit_count"] and result.count() > 0
 
 
+def test_entry_file_has_all_queries():
+    assert set(QUERIES) <= set(entry_file.queries()) and set(ORACLES) <= set(entry_file.oracle_sql())
+
+
 def test_oracles_name_known_queries():
     assert set(ORACLES) <= set(QUERIES)
     assert len(QUERIES) - len(ORACLES) <= 3
