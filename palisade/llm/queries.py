@@ -7,20 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import use_utc
-from . import mixing, quality_rules, sharding
+from . import language_id, mixing, quality_classifier, quality_rules, sharding
 from .base import read_table
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def register(name: str, operator: Callable[[DataFrame], DataFrame], table: str = "documents") -> None:
+def register(name: str, operator: Callable[..., DataFrame], *tables: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operator(read_table(use_utc(spark), sf_dir, table))
+        return operator(*[read_table(use_utc(spark), sf_dir, table) for table in tables or ["documents"]])
 
     QUERIES[name] = run
 
 
+register("op2_language_id", language_id.identify)
 register("op3_quality_rules", quality_rules.quality_rules)
 register("op5_source_mixing", mixing.mix_documents)
+register("op6_quality_classifier", quality_classifier.classify, "documents", "labels")
 register("op8_rendezvous_sharding", sharding.shard_documents)
