@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import use_utc
-from . import language_id, mixing, quality_classifier, quality_rules, sharding
+from . import decontamination, language_id, mixing, personal_data, quality_classifier, quality_rules, sharding
 from .base import read_table
 from .oracles import ORACLES
 
@@ -25,4 +25,6 @@ register("op2_language_id", language_id.identify)
 register("op3_quality_rules", quality_rules.quality_rules)
 register("op5_source_mixing", mixing.mix_documents)
 register("op6_quality_classifier", quality_classifier.classify, "documents", "labels")
+register("op7_benchmark_decontamination", decontamination.find_leaks, "documents", "benchmark")
 register("op8_rendezvous_sharding", sharding.shard_documents)
+register("op9_personal_data", personal_data.find_personal_data)
