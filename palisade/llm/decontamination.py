@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_through
-from .base import BYTE, arrow_map, mix64, powers, span_hashes, text_bytes, window_hashes, word_spans
+from .base import BYTE, arrow_map, bit_filter, mix64, passes, powers, span_hashes, text_bytes, window_hashes, word_spans
 
 #: template words of a window, and how many of them must be plain words
 WIDTH, PLAIN = 8, 4
@@ -23,8 +23,6 @@ WIDTH, PLAIN = 8, 4
 COVER = 0.5
 #: how many placeholders may contradict, as a share of those aligned
 SLIPS = 0.1
-#: the filter of window hashes has so many bits, whatever the benchmark's size (2 MB)
-FILTER_BITS = 24
 
 #: units, as fixed values
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s min h hr hrs kb mb gb tb hz khz mhz w kw kwh v a mph kmh km/h cents usd eur gbp percent meters metres kilometers kilometres miles feet inches grams kilograms pounds ounces litres liters seconds minutes hours days weeks months years dollars euros degrees".split()
@@ -142,26 +140,13 @@ def _records(ids, text, place, hashes, first, plain, value, count, names):
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def window_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for each value of the hash's first FILTER_BITS bits: of a fixed size, made of
-    1024 rows at most, whatever the number of windows."""
-    bits, part = FILTER_BITS, FILTER_BITS - 10
-    top = F.shiftrightunsigned("hash", 64 - bits)
-    rows = keys.select(F.shiftright(top, part).cast("int").alias("part"), (top % (1 << part)).cast("int").alias("bit")).distinct()
-    out = np.zeros((1 << 10, 1 << part), bool)
-    for r in rows.groupBy("part").agg(F.collect_set("bit").alias("bits")).toLocalIterator():
-        out[r["part"], r["bits"]] = True
-    return np.packbits(out.reshape(-1), bitorder="little")
-
-
 def document_windows(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     """row, doc_place, hash, doc_slots, doc_values: the windows that pass the filter."""
     held = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batch: pa.RecordBatch):
         text, place, hashes, first, plain, _, value = windows(batch.column(1))
-        top = hashes >> np.uint64(64 - FILTER_BITS)
-        hit = ((held.value[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        hit = passes(held.value, hashes)
         if hit.any():
             yield _records(batch.column(0), text[hit], place[hit], hashes[hit], first, plain, value, None, ["row", "doc_place", "hash", "doc_slots", "doc_values"])
 
@@ -174,7 +159,7 @@ def matches(rows: DataFrame, items: DataFrame) -> DataFrame:
     the placeholders in them how many there are, how many hold another value than the item
     and how many contradict the most frequent mapping."""
     item_windows = write_through(benchmark_windows(items), "benchmark-windows")
-    found = document_windows(rows, window_filter(item_windows)).join(item_windows, "hash")
+    found = document_windows(rows, bit_filter(item_windows, "hash")).join(item_windows, "hash")
     found = found.withColumn("shift", F.col("doc_place") - F.col("item_place"))
     key = ["row", "item_id", "shift"]
     found = write_through(found.select(*key, "item_place", "n_windows", "item_slots", "item_values", "doc_values"), "benchmark-hits")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import use_utc
-from . import decontamination, language_id, mixing, personal_data, quality_classifier, quality_rules, sharding
+from . import decontamination, jaccard_join, language_id, mixing, personal_data, quality_classifier, quality_rules, sharding
 from .base import read_table
 from .oracles import ORACLES
 
@@ -23,6 +23,7 @@ def register(name: str, operator: Callable[..., DataFrame], *tables: str) -> Non
 
 register("op2_language_id", language_id.identify)
 register("op3_quality_rules", quality_rules.quality_rules)
+register("op4_ngram_jaccard_join", jaccard_join.near_duplicates)
 register("op5_source_mixing", mixing.mix_documents)
 register("op6_quality_classifier", quality_classifier.classify, "documents", "labels")
 register("op7_benchmark_decontamination", decontamination.find_leaks, "documents", "benchmark")
