@@ -136,19 +136,19 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 FILTER_BITS = 24
 
 
-def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
-    """A filter over a column of 64-bit hashes: a bit for each value of their first
-    FILTER_BITS bits. It comes to the driver as 1024 rows at most. What does not pass is
-    not among the keys; the more keys there are, the more else passes."""
-    part = FILTER_BITS - 10
-    top = F.shiftrightunsigned(key, 64 - FILTER_BITS)
-    bits = keys.select(F.shiftright(top, part).cast("int").alias("part"), (top % (1 << part)).cast("int").alias("bit")).distinct()
+def bit_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter over a column of 64-bit hashes: a bit for each value of their first `bits`
+    bits. It comes to the driver as 1024 rows at most. What does not pass is not among the
+    keys; the more keys there are, the more else passes."""
+    part = bits - 10
+    top = F.shiftrightunsigned(key, 64 - bits)
+    set_bits = keys.select(F.shiftright(top, part).cast("int").alias("part"), (top % (1 << part)).cast("int").alias("bit")).distinct()
     out = np.zeros((1 << 10, 1 << part), bool)
-    for r in bits.groupBy("part").agg(F.collect_set("bit").alias("bits")).toLocalIterator():
+    for r in set_bits.groupBy("part").agg(F.collect_set("bit").alias("bits")).toLocalIterator():
         out[r["part"], r["bits"]] = True
     return np.packbits(out.reshape(-1), bitorder="little")
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    top = hashes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    top = hashes.view(np.uint64) >> np.uint64(64 - 3 - (len(bits).bit_length() - 1))
     return ((bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import use_utc
-from . import decontamination, jaccard_join, language_id, mixing, personal_data, quality_classifier, quality_rules, sharding
+from . import decontamination, jaccard_join, language_id, mixing, personal_data, quality_classifier, quality_rules, sharding, suffix_dedup
 from .base import read_table
 from .oracles import ORACLES
 
@@ -29,3 +29,4 @@ register("op6_quality_classifier", quality_classifier.classify, "documents", "la
 register("op7_benchmark_decontamination", decontamination.find_leaks, "documents", "benchmark")
 register("op8_rendezvous_sharding", sharding.shard_documents)
 register("op9_personal_data", personal_data.find_personal_data)
+register("op10_suffix_array_dedup", suffix_dedup.remove_repeats)
