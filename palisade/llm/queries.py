@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import use_utc
-from . import decontamination, jaccard_join, language_id, mixing, personal_data, quality_classifier, quality_rules, sharding, suffix_dedup
+from . import decontamination, jaccard_join, language_id, mixing, personal_data, quality_classifier, quality_rules, quotation, sharding, suffix_dedup
 from .base import read_table
 from .oracles import ORACLES
 
@@ -21,6 +21,7 @@ def register(name: str, operator: Callable[..., DataFrame], *tables: str) -> Non
     QUERIES[name] = run
 
 
+register("op1_quotation_linking", quotation.link_quotations, "conversations")
 register("op2_language_id", language_id.identify)
 register("op3_quality_rules", quality_rules.quality_rules)
 register("op4_ngram_jaccard_join", jaccard_join.near_duplicates)
