@@ -98,7 +98,9 @@ def pack(rows: DataFrame, order: list[Column], buckets: int = 4096) -> DataFrame
 
 def plan_mix(packed: DataFrame, pattern=(1, 2, 3), block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(sources, slots). sources: source, source_size, target, blocks. slots: source,
-    shard, pass, block; one row for each block that a shard takes. Only the sources' sizes
+    shard, pass, block; one row for each block that a shard takes. Slots grow with the
+    corpus though Spark expects them to be as few as the sources, so joins with them ask
+    for a merge and never broadcast them. Only the sources' sizes
     come to the driver. Whole passes over a source take every block of it."""
     spark = packed.sparkSession
     found = {r["source"]: int(r["n"] or 0) for r in packed.groupBy("source").agg(F.sum("size").alias("n")).collect()}
@@ -143,7 +145,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     times = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
     cut = pieces(packed, ["doc_id", "size", "start"]).alias("p")
     same = F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))
-    joined = cut.join(times.alias("t"), same, "left")
+    joined = cut.join(times.hint("merge").alias("t"), same, "left")
     taken = joined.groupBy("p.source", "p.start", "p.doc_id", "p.size").agg(F.sum(F.col("p.n") * F.coalesce("t.times", F.lit(0))).alias("taken"))
     empty = packed.where("size = 0").select("source", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     every = taken.unionByName(empty).alias("d")
@@ -163,7 +165,7 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     _, slots = plan_mix(packed.select("source", "size"))
     cut = pieces(packed, ["start"]).alias("p")
     same = F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))
-    drawn = cut.join(slots.alias("t"), same).select("p.source", "p.start", "t.pass", F.struct("p.first", "p.n").alias("part"))
+    drawn = cut.join(slots.hint("merge").alias("t"), same).select("p.source", "p.start", "t.pass", F.struct("p.first", "p.n").alias("part"))
     drawn = drawn.groupBy("source", "start", "pass").agg(F.array_sort(F.collect_list("part")).alias("parts")).alias("d")
     full = packed.where("size > 0").alias("f")
     joined = full.join(drawn, (F.col("f.start") == F.col("d.start")) & F.col("f.source").eqNullSafe(F.col("d.source")))
