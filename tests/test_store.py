@@ -181,6 +181,19 @@ def test_response_documents(spark, form):
     assert rollup == {"Critical": (1, 3), "High Priority": (1, 1)}
 
 
+def test_heading_with_words_before_its_name(spark):
+    text = "### 2.1 Executive view - Critical Findings\n\n| a | b | c | d | e |\n|---|---|---|---|---|\n| 1 | t | i | a | w |\n"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert responses.parse_findings(docs).count() == 1 and responses.parse_exec_summary(docs).first().critical_count == 1
+
+
+def test_rules_inside_a_table_are_rows(spark):
+    text = "| x |\n| a | b |\n|---|---|\n| 1 | 2 |\n|---|---|\n| 3 | 4 |\nend\n| c |\n|:-:|\n\n| d |\n|---|\n| 5 |"
+    rows = responses.parse_tables(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert sorted((r.table_no, r.row_no, r.header, r.value) for r in rows) == [
+        (0, 0, "a", "1"), (0, 0, "b", "2"), (0, 1, "a", "---"), (0, 1, "b", "---"), (0, 2, "a", "3"), (0, 2, "b", "4"), (1, 0, "d", "5")]
+
+
 def test_long_table_does_not_exhaust_the_stack(spark):
     rows = "".join(f"| {i} | finding {i} | x | do<br>it | why |\n" for i in range(50_000))
     text = "### Critical Findings\n\n| a | b | c | d | e |\n|---|---|---|---|---|\n" + rows
