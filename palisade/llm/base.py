@@ -3,6 +3,7 @@ Arrow batches of bounded size, and word hashes over a batch of texts."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import write_through
+
 #: what separates words: the space and the five control characters from tab to return
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -20,6 +23,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back, and the shuffle files behind it given
+    up: Spark deletes them once the driver's collectors find that nothing refers to them."""
+    out = write_through(df, label)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def word_array(text: Column) -> Column:
     """All words of a text in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
@@ -30,11 +50,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: rows and bytes of an Arrow batch; a row is never split
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """fn over Arrow batches bounded in rows and bytes."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    bound_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -110,15 +137,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: bytes that are hashed at once; a longer span is hashed alone
+SLICE = 1 << 19
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-    """A 64-bit hash of each span of bytes. Spans are disjoint and in order."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each span of bytes. Spans are disjoint, in order and not empty."""
     lengths = ends - starts
-    where = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-    place = np.arange(len(where)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    value = table[data[where]] * powers(int(lengths.max()))[place]
-    return mix64(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    through = np.cumsum(lengths)
+    out = np.zeros(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        done = int(through[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(through, done + SLICE, side="right")))
+        n = lengths[low:high]
+        first = through[low:high] - n - done
+        place = np.arange(int(through[high - 1]) - done) - np.repeat(first, n)
+        value = table[data[np.repeat(starts[low:high], n) + place]] * powers(int(n.max()))[place]
+        out[low:high] = np.add.reduceat(value, first) + n.astype(np.uint64)
+        low = high
+    return mix64(out)
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map
+from .base import arrow_map, bound_batches
 
 #: n-grams of 1 to ORDERS characters are hashed to so many features
 FEATURES = 1 << 15
@@ -149,9 +149,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         index = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(index, -1).astype(np.int32)), pa.array(np.append(held[index], total))], ["feature", "n"])
 
-    conf = texts.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    bound_batches(texts.sparkSession)
     rows = texts.mapInArrow(count, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     held, total = np.zeros(FEATURES), 0
     for r in rows:  # FEATURES + 1 rows at most

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_through
-from .base import BYTE, arrow_map, bit_filter, mix64, passes, text_bytes
+from .base import BYTE, arrow_map, bit_filter, bound_batches, mix64, passes, settle, text_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -89,24 +89,27 @@ def _digest(part: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
 
 
-def shared_anchors(texts: DataFrame) -> np.ndarray:
+def shared_anchors(docs: DataFrame, originals: np.ndarray) -> np.ndarray:
     """A filter of the anchors that occur twice or more."""
+    held = docs.sparkSession.sparkContext.broadcast(originals)
 
     def run(batch: pa.RecordBatch):
-        for _, hashes, _, _ in anchors(*text_bytes(batch.column(0))):
+        batch = batch.filter(pa.array(passes(held.value, batch.column(0).to_numpy())))
+        for _, hashes, _, _ in anchors(*text_bytes(batch.column(1))):
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["hash"])
 
-    counts = arrow_map(texts.select("text"), run, "hash bigint").groupBy("hash").agg(F.count("*").alias("n"))
+    counts = arrow_map(docs.select("place", "text"), run, "hash bigint").groupBy("hash").agg(F.count("*").alias("n"))
     return bit_filter(counts.where("n > 1"), "hash", BITS)
 
 
-def _anchor_rows(docs: DataFrame, shared: np.ndarray, wanted: np.ndarray | None) -> DataFrame:
+def _anchor_rows(docs: DataFrame, originals: np.ndarray, shared: np.ndarray, wanted: np.ndarray | None) -> DataFrame:
     """doc_id, key, hash, digest, start, n: for each shared anchor the strings that have
     it, n from start on, and a digest of the bytes they span; with a filter of the
     places wanted, also these bytes."""
-    held = docs.sparkSession.sparkContext.broadcast((shared, wanted))
+    held = docs.sparkSession.sparkContext.broadcast((shared, wanted, originals))
 
     def run(batch: pa.RecordBatch):
+        batch = batch.filter(pa.array(passes(held.value[2], batch.column(3).to_numpy())))
         data, offsets = text_bytes(batch.column(2))
         for text, hashes, low, high in anchors(data, offsets):
             some = np.flatnonzero(passes(held.value[0], hashes))
@@ -125,7 +128,7 @@ def _anchor_rows(docs: DataFrame, shared: np.ndarray, wanted: np.ndarray | None)
 
     names = ["doc_id", "key", "hash", "digest", "start", "n"] + (["bytes"] if wanted is not None else [])
     schema = "doc_id bigint, key bigint, hash bigint, digest bigint, start bigint, n bigint" + (", bytes binary" if wanted is not None else "")
-    return arrow_map(docs.select("doc_id", "key", "text"), run, schema)
+    return arrow_map(docs.select("doc_id", "key", "text", "place"), run, schema)
 
 
 def place_keys(digest: np.ndarray, hashes: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -221,6 +224,7 @@ def compare_surroundings(rows: DataFrame) -> DataFrame:
         if held:
             yield from solve(pa.Table.from_batches(held))
 
+    bound_batches(rows.sparkSession)
     columns = ["doc_id", "start", "hash", "digest", "n", "bytes"]
     return rows.select(*columns).repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "hash bigint, digest bigint, first bigint, last bigint")
 
@@ -244,31 +248,48 @@ def compare_strings(rows: DataFrame) -> DataFrame:
     return again.select("hash", "digest", F.col("index").alias("first"), F.col("index").alias("last"))
 
 
+def _earlier(a: str, b: str) -> Column:
+    """Whether a doc_id comes before another; null comes last."""
+    return F.coalesce(F.col(a) < F.col(b), F.col(a).isNotNull() & F.col(b).isNull())
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, key, low, high: byte ranges of each text (doc_id, key, text) that strings of
-    LENGTH bytes cover which have started before. Ranges may overlap."""
-    shared = shared_anchors(docs)
-    found = write_through(_anchor_rows(docs, shared, None), "anchors")
+    LENGTH bytes cover which have started before. Ranges may overlap.
+
+    A text that a smaller doc_id has too is all repeated, and its strings are never the
+    first ones; it takes no part in the rest. Of anchors with equal surroundings all but
+    the first are repeated; only the first of each go into suffix order."""
+    docs = docs.withColumn("place", F.xxhash64("doc_id", "key"))
+    heads = write_through(docs.select("doc_id", "key", "place", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("md5"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes")), "document-keys")
+    least = heads.groupBy("md5").agg(F.min("doc_id").alias("least"))
+    heads = heads.join(least, "md5").withColumn("again", _earlier("least", "doc_id"))
+    heads = settle(heads, "document-heads")
+    whole = heads.where(F.col("again") & (F.col("bytes") >= LENGTH)).select("doc_id", "key", F.lit(0).cast("long").alias("low"), F.col("bytes").alias("high"))
+    originals = bit_filter(heads.where("not again"), "place", BITS)
+    shared = shared_anchors(docs, originals)
+    found = settle(_anchor_rows(docs, originals, shared, None), "anchors")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "start")
-    spans = found.groupBy("hash", "digest").agg(F.min(place).alias("place"), F.count("*").alias("rows"))
-    spans = write_through(spans, "spans")
-    kinds = spans.groupBy("hash").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = write_through(spans.join(kinds, "hash").select("hash", "digest", F.col("place.doc_id").alias("doc_id"), F.col("place.start").alias("start"), "kinds"), "mixed")
+    spans = settle(found.groupBy("hash", "digest").agg(F.min(place).alias("first"), F.count("*").alias("rows")), "spans")
+    kinds = spans.groupBy("hash").agg(F.count("*").alias("kinds"), F.sum("rows").alias("all")).where("all > 1").select("hash", "kinds")
+    spans = settle(spans.join(kinds, "hash"), "spans")
+    placed = found.join(spans, ["hash", "digest"]).withColumn("copy", F.col("first") < place)
+    placed = settle(placed.where("copy or kinds > 1").select("doc_id", "key", "hash", "digest", "start", "n", "copy"), "placed")
+    mixed = spans.where("kinds > 1").select("hash", "digest", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "kinds")
 
     def keys(batch: pa.RecordBatch):
         c = batch.columns
         yield pa.RecordBatch.from_arrays([pa.array(place_keys(c[1].to_numpy(), c[0].to_numpy(), c[2].fill_null(-1).to_numpy(zero_copy_only=False), c[3].to_numpy()))], ["key"])
 
     wanted = bit_filter(arrow_map(mixed.select("hash", "digest", "doc_id", "start"), keys, "key bigint"), "key", BITS)
-    surroundings = _anchor_rows(docs, shared, wanted).dropDuplicates(["hash", "digest", "doc_id", "start"]).alias("r")
+    surroundings = _anchor_rows(docs, originals, shared, wanted).select("hash", "digest", "doc_id", "start", "n", "bytes").alias("r")
     same = (F.col("r.hash") == F.col("m.hash")) & (F.col("r.digest") == F.col("m.digest")) & F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("r.start") == F.col("m.start"))
-    first = write_through(surroundings.join(mixed.alias("m"), same).select("r.*", "m.kinds"), "surroundings")
+    first = settle(surroundings.join(mixed.alias("m"), same).select("r.*", "m.kinds"), "surroundings")
     inner = compare_surroundings(first.where(F.col("kinds") <= CROWD)).unionByName(compare_strings(first.where(F.col("kinds") > CROWD)))
-    with_place = found.join(spans.where("rows > 1").select("hash", "digest", "place"), ["hash", "digest"])
-    copies = with_place.where(F.col("place") < place).select("doc_id", "key", F.col("start").alias("low"), (F.col("start") + F.col("n") + LENGTH - 1).alias("high"))
-    originals = found.join(spans, ["hash", "digest"]).where(F.col("place") == place).select("doc_id", "key", "hash", "digest", "start")
-    parts = originals.join(inner, ["hash", "digest"]).select("doc_id", "key", (F.col("start") + F.col("first")).alias("low"), (F.col("start") + F.col("last") + LENGTH).alias("high"))
-    return copies.unionByName(parts)
+    inner = settle(inner, "repeated-strings").distinct()
+    copies = placed.where("copy").select("doc_id", "key", F.col("start").alias("low"), (F.col("start") + F.col("n") + LENGTH - 1).alias("high"))
+    parts = placed.where("not copy").join(inner, ["hash", "digest"]).select("doc_id", "key", (F.col("start") + F.col("first")).alias("low"), (F.col("start") + F.col("last") + LENGTH).alias("high"))
+    return whole.unionByName(copies).unionByName(parts)
 
 
 def merge_ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,8 +308,9 @@ def with_ranges(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and more) with `lows` and `highs` of what is to be removed; null
     where nothing is."""
     keyed = docs.withColumn("__key", F.xxhash64("text"))
-    ranges = write_through(repeated_runs(keyed.select("doc_id", F.col("__key").alias("key"), "text")).distinct(), "ranges")
-    lists = ranges.groupBy("doc_id", "key").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")).withColumnsRenamed({"doc_id": "__id", "key": "__with"})
+    ranges = repeated_runs(keyed.select("doc_id", F.col("__key").alias("key"), "text"))
+    lists = settle(ranges.groupBy("doc_id", "key").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")), "ranges")
+    lists = lists.withColumnsRenamed({"doc_id": "__id", "key": "__with"})
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__with"))
     return keyed.join(lists, same, "left").drop("__key", "__with", "__id")
 
