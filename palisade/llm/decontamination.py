@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_through
-from .base import BYTE, arrow_map, bit_filter, mix64, passes, powers, span_hashes, text_bytes, window_hashes, word_spans
+from .base import BYTE, arrow_map, bit_filter, mix64, passes, span_hashes, text_bytes, window_hashes, word_spans
 
 #: template words of a window, and how many of them must be plain words
 WIDTH, PLAIN = 8, 4
@@ -67,20 +67,17 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     starts, ends, _ = word_spans(data, offsets)
     if not len(starts):
         return np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
-    sums = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    sums = lambda flags: np.concatenate([np.zeros(1, np.int32), np.cumsum(flags, dtype=np.int32)])
     letters = sums(_KEEP[data])
     kept = letters[ends] - letters[starts]
     solid = kept > 0
     starts, ends, kept = starts[solid], ends[solid], kept[solid]
     first = np.searchsorted(starts, offsets)
     digit, small = sums(_DIGIT[data]), sums((data >= 97) & (data <= 122))
-    text = data[_KEEP[data]]
-    low = letters[starts]
-    place = np.arange(len(text)) - np.repeat(low, kept)
-    value = np.add.reduceat(_LOWER_BYTE[text] * powers(int(kept.max(initial=1)))[place], low) if len(low) else np.zeros(0, np.uint64)
-    value = mix64(value + kept.astype(np.uint64))
-    head = np.searchsorted(np.flatnonzero(_KEEP[data]), starts)
-    begin = np.flatnonzero(_KEEP[data])[np.minimum(head, len(text) - 1)] if len(text) else starts
+    spots = np.flatnonzero(_KEEP[data])
+    low = letters[starts].astype(np.int64)
+    value = span_hashes(data[spots], low, low + kept, _LOWER_BYTE)
+    begin = spots[low]
     number = digit[ends] - digit[starts] > 0
     lower = small[ends] - small[starts]
     capital = ((data[begin] >= 65) & (data[begin] <= 90)) | capital_two[begin]

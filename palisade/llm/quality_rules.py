@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_through
-from .base import let, word_array
+from .base import free_name, let, word_array
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -129,11 +129,12 @@ def judge(measured: DataFrame, fences: DataFrame, prefix: str = "", name: str =
     null; a group without fences has no document that passed the base rules. Spark
     broadcasts the fences if their files are under its threshold and splits a hot source
     otherwise."""
-    side = fences.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(f"{m}_{e}").alias(f"__{m}_{e}") for m in RULES for e in ("lower", "upper")])
-    joined = measured.join(side, measured["lang"].eqNullSafe(side["__lang"]) & measured["source"].eqNullSafe(side["__source"]), "left")
+    side_ = free_name(measured, "__fence_")
+    side = fences.select(F.col("lang").alias(f"{side_}lang"), F.col("source").alias(f"{side_}source"), *[F.col(f"{m}_{e}").alias(f"{side_}{m}_{e}") for m in RULES for e in ("lower", "upper")])
+    joined = measured.join(side, measured["lang"].eqNullSafe(side[f"{side_}lang"]) & measured["source"].eqNullSafe(side[f"{side_}source"]), "left")
     inside = ~F.col(f"{prefix}base_failed")
     for m in RULES:
-        inside = inside & F.col(f"{prefix}{m}").between(F.col(f"__{m}_lower"), F.col(f"__{m}_upper"))
+        inside = inside & F.col(f"{prefix}{m}").between(F.col(f"{side_}{m}_lower"), F.col(f"{side_}{m}_upper"))
     return joined.withColumn(name, F.coalesce(inside, F.lit(False))).drop(*side.columns)
 
 
@@ -151,6 +152,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that quality_rules keeps, with all their columns, whatever their
     names."""
-    measured = write_through(measure(docs, "__q_"), "quality-documents")
-    fences = write_through(thresholds(sketch(measured, "__q_")), "quality-fences")
-    return judge(measured, fences, "__q_", "__q_kept").where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    q = free_name(docs, "__q_")
+    measured = write_through(measure(docs, q), "quality-documents")
+    fences = write_through(thresholds(sketch(measured, q)), "quality-fences")
+    return judge(measured, fences, q, f"{q}kept").where(F.col(f"{q}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
