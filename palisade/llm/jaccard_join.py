@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_through
-from .base import BYTE, arrow_map, bit_filter, mix64, passes, span_hashes, text_bytes, window_hashes, word_spans
+from .base import BYTE, arrow_map, bit_filter, free_name, mix64, passes, settle, span_hashes, text_bytes, window_hashes, word_spans
 from .components import components
 
 WIDTH = 5
@@ -104,61 +104,88 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return overlap * WHOLE >= (len(x) + len(y) - overlap) * PART
 
 
-def _prefix_rows(docs: DataFrame, frequent: np.ndarray | None, one_per_set: bool) -> DataFrame:
+def _prefix_rows(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
+    """set, tokens, place: the first shingles of each text and, of a column `place` if
+    docs has one, its value."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
+    placed = "place" in docs.columns
 
     def run(batch: pa.RecordBatch):
-        sets = [s for s in shingle_sets(batch.column(0)) if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([prefix(s, held.value) for s in sets], pa.list_(pa.int64()))], ["set", "tokens"])
+        sets = shingle_sets(batch.column(0))
+        some = [i for i, s in enumerate(sets) if len(s)]
+        columns = [pa.array([set_key(sets[i]) for i in some], pa.int64()), pa.array([prefix(sets[i], held.value) for i in some], pa.list_(pa.int64()))]
+        columns += [batch.column(1).take(pa.array(some, pa.int64()))] if placed else []
+        yield pa.RecordBatch.from_arrays(columns, ["set", "tokens", "place"][: len(columns)])
 
-    found = arrow_map(docs.select("text"), run, "set bigint, tokens array<bigint>")
-    if one_per_set:  # copies are many and cost one row
-        found = found.groupBy("set").agg(F.first("tokens").alias("tokens"))
-    return found.select("set", F.explode("tokens").alias("token"))
+    schema = "set bigint, tokens array<bigint>" + ", place bigint" * placed
+    return arrow_map(docs.select("text", *["place"] * placed), run, schema)
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """A filter of the shingles that begin more than FREQUENT texts in hash order. It only
     sets the order of shingles, in which any other that passes may come late as well."""
-    counts = _prefix_rows(docs, None, False).groupBy("token").agg(F.count("*").alias("n"))
+    counts = _prefix_rows(docs.select("text"), None).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return bit_filter(counts.where(F.col("n") > FREQUENT).select("token"), "token")
 
 
 def meetings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """token, set, n: first shingles that n sets, two or more, have in common."""
-    rows = _prefix_rows(docs, frequent, True)
+    """token, set, place, n: first shingles that n sets, two or more, have in common. Of
+    documents with equal sets the smallest place stands for all, before any exchange."""
+    sets = _prefix_rows(docs, frequent).groupBy("set").agg(F.first("tokens").alias("tokens"), F.min("place").alias("place"))
+    rows = sets.select("set", "place", F.explode("tokens").alias("token"))
     counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("token")))
     return counted.where("n > 1")
 
 
-def describe(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """docs without text, and n_shingles, set, and for sets that pass the filter `wanted`
-    the sorted shingles and the bitmap."""
+def describe(docs: DataFrame) -> DataFrame:
+    """docs without text, and n_shingles and set of each document."""
     others = [c for c in docs.columns if c != "text"]
     kinds = dict(docs.dtypes)
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batch: pa.RecordBatch):
         sets = shingle_sets(batch.column(len(others)))
-        keys = np.array([set_key(s) for s in sets], np.int64)
-        keep = passes(held.value, keys) & np.array([len(s) > 0 for s in sets])
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[: len(others)], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys), pa.array([s if k else None for s, k in zip(sets, keep, strict=True)], pa.list_(pa.int64())), pa.array([bitmap(s) if k else None for s, k in zip(sets, keep, strict=True)], pa.binary())],
-            [*others, "n_shingles", "set", "tokens", "bits"],
-        )
-
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in others], "n_shingles bigint", "set bigint", "tokens array<bigint>", "bits binary"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], [*others, "n_shingles", "set"])
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in others], "n_shingles bigint", "set bigint"])
     return arrow_map(docs.select(*others, "text"), run, schema)
 
 
-def verify(pairs: DataFrame, described: DataFrame) -> DataFrame:
+def set_table(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """set, n, bits, tokens of the documents (place, text) whose place passes the filter:
+    sizes, bitmaps and sorted shingles. Only rows that repeat can give a set twice."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batch: pa.RecordBatch):
+        hit = batch.filter(pa.array(passes(held.value, batch.column(0).to_numpy())))
+        if hit.num_rows:
+            sets = [s for s in shingle_sets(hit.column(1)) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
+                ["set", "n", "bits", "tokens"],
+            )
+
+    return arrow_map(docs.select("place", "text"), run, "set bigint, n bigint, bits binary, tokens array<bigint>")
+
+
+def _only(sets: DataFrame, wanted: np.ndarray, name: str) -> DataFrame:
+    """name and name_tokens of the sets that pass the filter, one row each."""
+    held = sets.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batch: pa.RecordBatch):
+        hit = batch.filter(pa.array(passes(held.value, batch.column(0).to_numpy())))
+        if hit.num_rows:
+            yield pa.RecordBatch.from_arrays(hit.columns, [name, f"{name}_tokens"])
+
+    return arrow_map(sets.select("set", "tokens"), run, f"{name} bigint, {name}_tokens array<bigint>").dropDuplicates([name])
+
+
+def verify(pairs: DataFrame, sets: DataFrame, signs: DataFrame) -> DataFrame:
     """a, b: the pairs of sets that are similar. First sizes and bitmaps, a few bytes a
-    set, rule out most of the others; then each pair's shingles are joined and intersected.
-    A set in many pairs is a skewed join key, which Spark splits."""
-    sets = described.where("tokens is not null")
-    sign = sets.groupBy("set").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
-    side = lambda name, df, *cols: df.select(F.col("set").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
-    tiles = pairs.join(side("a", sign, "n", "bits"), "a").join(side("b", sign, "n", "bits"), "b")
+    set, rule out most of the others; then each pair's shingles are joined and intersected,
+    those of b first, which may be few. Sets in no pair left are not shuffled. A set in
+    many pairs is a skewed join key, which Spark splits."""
+    side = lambda name: signs.select(F.col("set").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
+    tiles = pairs.join(side("a"), "a").join(side("b"), "b")
     near = F.least("a_n", "b_n") * WHOLE >= F.greatest("a_n", "b_n") * PART
 
     def by_bits(batch: pa.RecordBatch):
@@ -166,56 +193,56 @@ def verify(pairs: DataFrame, described: DataFrame) -> DataFrame:
         keep = [may_link(*p) for p in zip(n, m, x, y, strict=True)]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    close = arrow_map(tiles.where(near).select("a", "b", "a_n", "a_bits", "b_n", "b_bits"), by_bits, "a bigint, b bigint")
-    close = write_through(close, "close-sets")
-    full = sets.dropDuplicates(["set"])
+    close = settle(arrow_map(tiles.where(near).select("a", "b", "a_n", "a_bits", "b_n", "b_bits"), by_bits, "a bigint, b bigint"), "close-sets")
 
     def by_shingles(batch: pa.RecordBatch):
         x, y = batch.column(2), batch.column(3)
         keep = [linked(x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(batch.num_rows)]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = close.join(side("b", full, "tokens"), "b").join(side("a", full, "tokens"), "a")
-    return arrow_map(joined.select("a", "b", "a_tokens", "b_tokens"), by_shingles, "a bigint, b bigint")
+    joined = close.join(_only(sets, bit_filter(close, "b"), "b"), "b").join(_only(sets, bit_filter(close, "a"), "a"), "a")
+    return settle(arrow_map(joined.select("a", "b", "a_tokens", "b_tokens"), by_shingles, "a bigint, b bigint"), "similar-sets")
 
 
-def set_components(met: DataFrame, described: DataFrame) -> DataFrame:
+def set_components(met: DataFrame, sets: DataFrame) -> DataFrame:
     """node, component over sets. A pair that is already connected need not be compared.
     So each round takes one set of every token's meeting and compares with it all that are
     not connected to it yet; the sets left unconnected in a meeting are then compared
     pair by pair, split into bands of near sizes."""
-    spark = met.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
+    signs = settle(sets.select("set", "n", "bits").dropDuplicates(["set"]), "set-signs")
+    links = met.sparkSession.createDataFrame([], "a bigint, b bigint")
+    met = met.select("token", "set")
     labelled = met.withColumn("component", F.col("set"))
     for turn in range(ROUNDS):
-        leaders = labelled.groupBy("token").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("o"), F.col("set").alias("leader"), F.col("component").alias("led"))).alias("x"), F.count_distinct("component").alias("kinds"))
-        open_ = leaders.where("kinds > 1").select("token", "x.leader", "x.led")
-        pairs = labelled.join(open_, "token").where("component <> led").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
-        new = write_through(verify(pairs, described), "similar-sets")
+        first = F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("o"), F.col("set").alias("leader"), F.col("component").alias("led"))).alias("x")
+        leaders = labelled.groupBy("token").agg(first, F.min("component").alias("low"), F.max("component").alias("high"))
+        open_ = leaders.where("low < high").select("token", "x.leader", "x.led")
+        pairs = labelled.join(open_, "token").where("component <> led").select(F.col("set").alias("a"), F.col("leader").alias("b")).distinct()
+        new = verify(pairs, sets, signs)
         if new.isEmpty():
-            continue
+            break
         links = write_through(links.union(new), "all-links")
         found = components(links).select(F.col("node").alias("set"), F.col("component").alias("c"))
-        labelled = write_through(met.join(found, "set", "left").select("token", "set", F.coalesce("c", "set").alias("component")), "meetings")
-    sizes = described.where("tokens is not null").groupBy("set").agg(F.first("n_shingles").alias("size"))
-    band = F.floor(F.log(F.col("size")) / float(np.log(WHOLE / PART))).cast("int")
-    rows = labelled.join(sizes, "set").withColumn("band", band)
-    up = rows.select("token", F.col("set").alias("s"), F.col("component").alias("c"), F.col("size").alias("z"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    rest = rows.join(up, ["token", "band"]).where((F.col("component") != F.col("c")) & (F.least("size", "z") * WHOLE >= F.greatest("size", "z") * PART))
+        labelled = settle(met.join(found, "set", "left").select("token", "set", F.coalesce("c", "set").alias("component")), "meetings")
+    kinds = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    band = F.floor(F.log(F.col("n")) / float(np.log(WHOLE / PART))).cast("int")
+    rows = settle(labelled.join(kinds, "token", "left_semi").join(signs.select("set", "n"), "set").withColumn("band", band), "open-meetings")
+    up = rows.select("token", F.col("set").alias("s"), F.col("component").alias("c"), F.col("n").alias("m"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    rest = rows.join(up, ["token", "band"]).where((F.col("component") != F.col("c")) & (F.least("n", "m") * WHOLE >= F.greatest("n", "m") * PART))
     pairs = rest.select(F.least("set", "s").alias("a"), F.greatest("set", "s").alias("b")).distinct()
-    last = write_through(verify(pairs, described), "similar-sets")
-    return components(links.union(last))
+    return components(links.union(verify(pairs, sets, signs)))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """docs without text, and n_shingles, set, component: documents with equal sets share a
     component, and so do those that links between similar sets connect. Documents without
     words have none (null)."""
-    texts = docs.select("text")
-    met = write_through(meetings(texts, frequent_shingles(texts)), "meetings")
-    described = write_through(describe(docs, bit_filter(met, "set")), "described")
-    found = set_components(met, described).select(F.col("node").alias("set"), "component")
-    rows = described.drop("tokens", "bits").join(found, "set", "left")
+    place = F.xxhash64(*[c for c in docs.columns if c != "text"], "text")
+    texts = docs.select(place.alias("place"), "text")
+    met = settle(meetings(texts, frequent_shingles(texts)), "meetings")
+    sets = settle(set_table(texts, bit_filter(met, "place")), "sets")
+    found = settle(set_components(met, sets).select(F.col("node").alias("set"), "component"), "set-components")
+    rows = describe(docs).join(found, "set", "left")
     return rows.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set")))
 
 
@@ -245,6 +272,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     repeated = grouped.groupBy("key").agg((F.count("*") > 1).alias("repeated"))
     alone = rows.where("component is null").select("key", F.lit(False).alias("repeated")).distinct()
     stay = write_through(best.join(repeated, "key").unionByName(alone).select(F.col("key").alias("__key"), F.col("repeated").alias("__repeated")), "kept-documents")
-    kept = docs.join(stay, key == stay["__key"])
-    once = kept.where("__repeated").dropDuplicates(["__key"])
-    return kept.where("not __repeated").unionByName(once).drop("__key", "__repeated")
+    k = free_name(docs, "__stay_")
+    stay = stay.withColumnsRenamed({"__key": f"{k}key", "__repeated": f"{k}repeated"})
+    kept = docs.join(stay, key == stay[f"{k}key"])
+    once = kept.where(F.col(f"{k}repeated")).dropDuplicates([f"{k}key"])
+    return kept.where(~F.col(f"{k}repeated")).union(once).drop(f"{k}key", f"{k}repeated")
