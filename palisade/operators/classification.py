@@ -55,7 +55,7 @@ def action_impact(logs: DataFrame) -> DataFrame:
         .when(action == "COUNT", F.lit(COUNT_ADVICE))
         .otherwise(F.lit(OTHER_ADVICE))
     )
-    counts = order_fixed(logs).withColumn("total", metrics.total_rows(logs))
+    counts = order_fixed(logs).withColumn("total", metrics.of_all("count"))
     return counts.select(
         "ord", "action", "count", "percentage", labels.lookup(action, IMPACTS).alias("impact"), advice.alias("recommendation")
     )

@@ -8,11 +8,12 @@ spreads a hot key over its values. Top-N results end in a bounded heap per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.numbers import count_when, pct2
+from ..functions.times import calendar
 from .filters import UNKNOWN_COUNTRY, blocked, known_country, not_null
 
 
@@ -44,11 +45,13 @@ def summary(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def batch_summary(logs: DataFrame) -> DataFrame:
-    """Summary of one parsed batch; here the unknown-country mark counts as a
-    country, and empty texts do not count."""
+    """Summary of one parsed batch with the count of every action; here the unknown-country
+    mark counts as a country, and empty texts do not count."""
+    named = {"blocked": "BLOCK", "allowed": "ALLOW", "counted": "COUNT", "captcha": "CAPTCHA", "challenge": "CHALLENGE"}
     return logs.agg(
         n_rows().alias("total_entries"),
-        acted("BLOCK").alias("blocked"),
+        *[acted(a).alias(n) for n, a in named.items()],
+        F.count_if(~F.col("action").isin(list(named.values())) | F.col("action").isNull()).alias("other_actions"),
         F.countDistinct(F.nullif("client_ip", F.lit(""))).alias("unique_ips"),
         F.countDistinct(F.nullif("country", F.lit(""))).alias("unique_countries"),
         F.min("timestamp").alias("start_time"),
@@ -58,7 +61,7 @@ def batch_summary(logs: DataFrame) -> DataFrame:
 
 def action_distribution(logs: DataFrame) -> DataFrame:
     counts = logs.groupBy("action").agg(n_rows().alias("count"))
-    return with_share(counts, "count", "percentage", total_rows(logs))
+    return with_share(counts, "count", "percentage")
 
 
 def total_rows(logs: DataFrame) -> Column:
@@ -71,16 +74,21 @@ def as_row(one: DataFrame) -> Column:
     return one.select(F.struct(*one.columns)).scalar()
 
 
-def with_share(groups: DataFrame, count: str, name: str, total: Column) -> DataFrame:
-    """Share of each group in the total."""
-    return groups.withColumn(name, pct2(F.col(count), total))
+def of_all(count: str, keys: tuple[str, ...] = ()) -> Column:
+    """The sum of the groups' counts, for all groups or those of each key: the log is not
+    read again for its total. There are as many rows as groups, not as logs."""
+    return F.sum(count).over(Window.partitionBy(*keys))
+
+
+def with_share(groups: DataFrame, count: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Share of each group in the sum of all."""
+    return groups.withColumn(name, pct2(F.col(count), of_all(count, keys)))
 
 
 def rule_effectiveness(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per terminating rule. The hit rate is over all requests, with and without a rule."""
     rules = (
-        not_null(logs, "terminating_rule_id")
-        .groupBy(*keys, "terminating_rule_id", "terminating_rule_type")
+        logs.groupBy(*keys, "terminating_rule_id", "terminating_rule_type")
         .agg(
             n_rows().alias("hit_count"),
             F.countDistinct("client_ip").alias("unique_ips"),
@@ -90,11 +98,8 @@ def rule_effectiveness(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
         )
         .withColumnsRenamed({"terminating_rule_id": "rule_id", "terminating_rule_type": "rule_type"})
     )
-    if keys:
-        totals = logs.groupBy(*keys).agg(n_rows().alias("_total"))
-        rules = rules.join(totals, list(keys)).withColumn("hit_rate_percent", pct2("hit_count", "_total")).drop("_total")
-    else:
-        rules = rules.withColumn("hit_rate_percent", pct2(F.col("hit_count"), total_rows(logs)))
+    # logs without a rule are a group too until the shares are known
+    rules = not_null(with_share(rules, "hit_count", "hit_rate_percent", keys), "rule_id")
     return rules.withColumn("block_rate_percent", pct2("blocks", "hit_count"))
 
 
@@ -244,7 +249,7 @@ def hourly_filled(logs: DataFrame) -> DataFrame:
         n_rows().alias("n"), acted("BLOCK").alias("b")
     )
     ends = hours.agg(F.min("hour").alias("a"), F.max("hour").alias("z")).where(F.col("a").isNotNull())
-    spine = ends.select(F.explode(F.sequence("a", "z", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
-    return spine.join(hours, "hour", "left").select(
+    every = calendar(ends, "a", "z", "hour", "hour").select("hour")
+    return every.join(hours, "hour", "left").select(
         "hour", F.coalesce("n", F.lit(0)).alias("total_requests"), F.coalesce("b", F.lit(0)).alias("blocked")
     )

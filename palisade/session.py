@@ -6,17 +6,27 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+def chosen_master(cores: str = "*") -> str | None:
+    """The master to set, or None where a submit command, a running session or the
+    arguments of the launcher have named one already. SPARK_MASTER goes before a local
+    master."""
+    launched = "PYSPARK_GATEWAY_PORT" in os.environ or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    if launched or SparkContext._active_spark_context is not None:
+        return None
+    return os.environ.get("SPARK_MASTER", f"local[{cores}]")
+
+
 def build_session(app_name: str = "palisade", cores: str = "*", **conf) -> SparkSession:
     """A session with the settings every operator expects. On a cluster the
     master, memory and shuffle partitions come from the submit command."""
     builder = (
         SparkSession.builder.appName(app_name)
-        .master(os.environ.get("SPARK_MASTER", f"local[{cores}]"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -24,6 +34,8 @@ def build_session(app_name: str = "palisade", cores: str = "*", **conf) -> Spark
         # a run of many queries keeps its compiled stages
         .config("spark.sql.codegen.cache.maxEntries", "2000")
     )
+    if master := chosen_master(cores):
+        builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -6,8 +6,9 @@ the line before ends in one of { [ , : or the line after starts with one of
 } ] , : . Between two values neither holds. On one line a value ends at a } that
 is followed by anything but , ] }. So values are found from neighbouring
 lines alone, and a file of any size is cut block by block. Broken text can end up
-together with the value next to it; such a piece does not parse and is cut again,
-so that a broken record does not take its neighbour with it.
+together with the values next to it; such a piece is not one value and is cut again
+where objects open and close, so that a broken record does not take its neighbours
+with it. A value is taken only if nothing follows it.
 """
 
 from __future__ import annotations
@@ -15,30 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Control characters cannot occur in JSON text, so they are free as marks.
-BACKSLASHES, QUOTE, CUT = "\x01", "\x02", "\x03"
-
-
-def _outside(line: Column, change) -> Column:
-    """Apply `change(text, is_last)` to the parts of a line outside its strings."""
-    marked = F.replace(F.replace(line, F.lit("\\\\"), F.lit(BACKSLASHES)), F.lit('\\"'), F.lit(QUOTE))
-    parts = F.split(marked, '"', -1)
-    changed = F.transform(parts, lambda s, i: F.when(i % 2 == 0, change(s, i == F.size(parts) - 1)).otherwise(s))
-    joined = F.array_join(changed, '"')
-    return F.replace(F.replace(joined, F.lit(QUOTE), F.lit('\\"')), F.lit(BACKSLASHES), F.lit("\\\\"))
-
-
-def _mark_ends(text: Column, is_last: Column) -> Column:
-    inner = F.regexp_replace(text, r"\}(?=\s*[^\s,\]}])", "}" + CUT)
-    return F.when(is_last, inner).otherwise(F.regexp_replace(inner, r"\}(?=\s*$)", "}" + CUT))
-
-
-def _pieces(line: Column) -> Column:
-    """A line cut where a value ends and another text begins. Most lines show
-    none of that, in a string or out of it, and stay as they are."""
-    candidate = F.regexp_like(line, F.lit(r"\}\s*[^\s,\]}]"))
-    return F.when(candidate, F.split(_outside(line, _mark_ends), CUT)).otherwise(F.array(line))
-
+from ..functions.numbers import let
+from .raw import CUT, one_value, value_pieces
 
 def scan_concatenated(spark: SparkSession, paths: str | list[str], glob: str = "*.{gz,json,jsonl,log}") -> DataFrame:
     """Rows (path, position, value): one JSON value, or one run of broken text, each."""
@@ -53,7 +32,7 @@ def scan_concatenated(spark: SparkSession, paths: str | list[str], glob: str = "
     by_file = Window.partitionBy("path").orderBy("block")
     opens = ~(F.col("before").isin("{", "[", ",", ":") | F.col("head").isin("}", "]", ",", ":"))
     cut = (
-        lines.withColumns({"head": F.substring(F.ltrim("text"), 1, 1), "tail": F.expr("right(text, 1)"), "parts": _pieces(F.col("text"))})
+        lines.withColumns({"head": F.substring(F.ltrim("text"), 1, 1), "tail": F.expr("right(text, 1)"), "parts": value_pieces(F.col("text"))})
         .withColumn("before", F.lag("tail").over(in_block))
         # null on the first line of a block, where the block before decides
         .withColumn("starts", F.when(opens, 1).otherwise(F.when(F.col("before").isNotNull(), 0)))
@@ -78,26 +57,35 @@ def scan_concatenated(spark: SparkSession, paths: str | list[str], glob: str = "
         F.array_sort(F.collect_list(F.struct("block", "line", "nth", "part"))).alias("lines")
     )
     whole = values.select("path", "position", F.array_join(F.col("lines.part"), "\n").alias("whole"))
-    return whole.select("path", "position", F.explode(_rescue(F.col("whole"))).alias("value")).where(F.trim("value") != "")
-
-
-def _parses(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
-
-
-def _rescue(value: Column) -> Column:
-    """The value itself if it parses. Otherwise broken text was taken together
-    with the value after or before it: cut before the first opening line from
-    which the rest parses, else after the first closing line up to which it does."""
-    lines = F.split(value, "\n")
-    count = F.size(lines)
-    part = lambda first, last: F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
-    places = F.sequence(F.lit(1), count)
-    start = F.get(F.filter(places, lambda i: F.ltrim(F.get(lines, i - 1)).startswith("{") & _parses(part(i, count))), F.lit(0))
-    end = F.get(F.filter(places, lambda i: (i < count) & F.rtrim(F.get(lines, i - 1)).endswith("}") & _parses(part(F.lit(1), i))), F.lit(0))
-    return (
-        F.when(_parses(value), F.array(value))
-        .when(start.isNotNull(), F.array(part(F.lit(1), start - 1), part(start, count)))
-        .when(end.isNotNull(), F.array(part(F.lit(1), end), part(end + 1, count)))
-        .otherwise(F.array(value))
-    )
+    rows = whole.select("path", "position", F.col("whole").alias("value"), one_value("whole").isNotNull().alias("ok"))
+    for skip in (0, 1, 1):
+        parts = F.when(F.col("ok"), F.array("value")).otherwise(_cut_lines(F.col("value"), skip))
+        again = rows.select("path", "position", "ok", F.explode(parts).alias("value"))
+        rows = again.withColumn("ok", F.when(F.col("ok"), True).otherwise(one_value("value").isNotNull()))
+    return rows.select("path", "position", "value").where(F.trim("value") != "")
+
+
+def _cut_lines(value: Column, skip: int) -> Column:
+    """Text that is not one value, cut before every line that opens an object with the
+    least indentation of such lines, and after every line that closes one with the least
+    indentation of those; the first `skip` lines open nothing. Each line is looked at a
+    few times, however long the text."""
+    indent = lambda x: F.length(x) - F.length(F.ltrim(x))
+    opens = lambda x: F.ltrim(x).startswith("{")
+    closes = lambda x: F.ltrim(x).startswith("}")
+
+    def cut(lines: Column) -> Column:
+        least = F.struct(
+            F.array_min(F.transform(lines, lambda x, i: F.when(opens(x) & (i >= skip), indent(x)))).alias("open"),
+            F.array_min(F.transform(lines, lambda x: F.when(closes(x), indent(x)))).alias("close"),
+        )
+
+        def marked(m: Column) -> Column:
+            one_line = lambda x: opens(x) & F.rtrim(x).endswith("}") & (indent(x) == m["open"])
+            ended = lambda x: (closes(x) & (indent(x) == m["close"])) | one_line(x)
+            begins = lambda x, i: (i > 0) & ((opens(x) & (i >= skip) & (indent(x) == m["open"])) | ended(F.get(lines, i - 1)))
+            return F.array_join(F.transform(lines, lambda x, i: F.when(begins(x, i), F.concat(F.lit(CUT), x)).otherwise(x)), "\n")
+
+        return let(least, lambda m: F.when(m["open"].isNull(), F.array(value)).otherwise(F.split(marked(m), "\n" + CUT)))
+
+    return let(F.split(value, "\n", -1), cut)

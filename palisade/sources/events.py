@@ -18,7 +18,7 @@ def scan_range(logs: DataFrame, start, end, order: list[str], pattern: str | Non
     found = in_window(logs, start, end)
     if pattern:
         found = found.where(F.col(text).contains(pattern))
-    return found.orderBy(*order).limit(limit) if limit else found
+    return found.orderBy(*order).limit(limit) if limit is not None else found
 
 
 def scan_stream(logs: DataFrame, stream_column: str, stream: str, start=None, end=None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import col, int_div
-from ..functions.times import spine
+from ..functions.times import calendar
 
 # Suffixes of log files, and the size of a compressed log entry in bytes.
 LOG_SUFFIXES = [".gz", ".json"]
@@ -61,14 +61,14 @@ def _joined(base: Column, suffix: Column) -> Column:
 
 def day_prefixes(ranges: DataFrame) -> DataFrame:
     """Rows (base_prefix, start, end) to one row per day prefix base/YYYY/MM/DD/."""
-    days = ranges.select("base_prefix", F.explode(spine(F.col("start"), F.col("end"), "day")).alias("day"))
+    days = calendar(ranges, "start", "end", "day", "day").select("base_prefix", "day")
     return days.withColumn("prefix", _joined(F.col("base_prefix"), F.date_format("day", "yyyy/MM/dd")))
 
 
 def hour_prefixes(ranges: DataFrame) -> DataFrame:
     """One row per hour prefix base/YYYY/MM/DD/HH/, 24 for every day touched."""
-    days = ranges.select("base_prefix", F.explode(spine(F.col("start"), F.col("end"), "day")).alias("day"))
-    hours = days.select("base_prefix", F.explode(spine(F.col("day"), F.col("day") + F.expr("INTERVAL 23 HOUR"), "hour")).alias("hour"))
+    end = F.date_trunc("day", "end") + F.expr("INTERVAL 23 HOUR")
+    hours = calendar(ranges.withColumns({"start": F.date_trunc("day", "start"), "end": end}), "start", "end", "hour", "hour").select("base_prefix", "hour")
     return hours.withColumn("prefix", _joined(F.col("base_prefix"), F.date_format("hour", "yyyy/MM/dd/HH")))
 
 

@@ -32,14 +32,18 @@ def write_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def append_numbered(df: DataFrame, path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
-    """Append batch by batch with consecutive ids. Every batch writes a folder
-    named by its number: a batch that is run again after a failure replaces its
-    own folder and gets the same ids, since only earlier batches are counted."""
+    """Append batch by batch with consecutive ids. Every batch writes a folder named by
+    its number, and beside it the id that comes next, which is all that the following
+    batch reads: a batch costs as much as its rows, however long the table. A batch that
+    is run again after a failure replaces both and gets the same ids."""
     spark = df.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
-        existing = spark.read.parquet(path).where(F.col("batch") < number) if number else None
-        append.append_logs(existing, batch, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        first = spark.read.schema("next_id bigint").json(f"{path}/_next/{number - 1}").first()[0] if number else 0
+        numbered = append.append_logs(None, batch, order).withColumn("log_id", F.col("log_id") + first)
+        numbered.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = spark.read.schema("log_id bigint").parquet(f"{path}/batch={number}").count()
+        spark.range(1).select(F.lit(first + rows).cast("bigint").alias("next_id")).write.mode("overwrite").json(f"{path}/_next/{number}")
 
     return df.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -235,8 +235,8 @@ def with_total(s, d):
     from ..functions.numbers import pct2
 
     logs = v.logs(s, d)
-    counts = logs.where(F.col("terminating_rule_id").isNotNull()).groupBy("terminating_rule_id").agg(metrics.n_rows().alias("count"))
-    return counts.withColumn("total", metrics.total_rows(logs)).withColumn("percentage", pct2("count", "total"))
+    counts = logs.groupBy("terminating_rule_id").agg(metrics.n_rows().alias("count")).withColumn("total", metrics.of_all("count"))
+    return counts.where(F.col("terminating_rule_id").isNotNull()).withColumn("percentage", pct2("count", "total"))
 
 
 @query("logs_with_acl", "SELECT log_id, l.web_acl_id, name AS acl_name, scope AS acl_scope, action FROM v_logs l JOIN v_acls a ON l.web_acl_id = a.web_acl_id")
@@ -347,9 +347,9 @@ def run_sql(s, d):
 
 
 # model prices: one per part brand and size, a default for models without one
-USAGE_SQL = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'bedrock' ELSE 'openai' END AS provider, 'model-' || CAST(o_custkey AS VARCHAR) AS model,
+USAGE_SQL = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'bedrock' ELSE 'openai' END AS provider, CASE WHEN o_orderkey % 5 = 0 THEN 'retired' ELSE 'model-' || CAST(o_custkey AS VARCHAR) END AS model,
   o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS input_tokens, o_orderkey % 5000 AS output_tokens FROM orders"""
-PRICES_SQL = "SELECT provider, 'model-' || CAST(c_custkey AS VARCHAR) AS model, c_nationkey / 4.0 AS input_price, c_nationkey / 2.0 AS output_price FROM customer, (VALUES ('bedrock'), ('openai')) t(provider) WHERE c_acctbal > 3000"
+PRICES_SQL = "SELECT provider, 'model-' || CAST(c_custkey AS VARCHAR) AS model, c_nationkey / 4.0 AS input_price, c_nationkey / 2.0 AS output_price FROM customer, (VALUES ('bedrock'), ('openai')) t(provider)"
 
 
 @query("llm_cost", f"""SELECT o_orderkey, input_tokens / 1000000.0::DOUBLE * coalesce(input_price::DOUBLE, CASE provider WHEN 'bedrock' THEN 3.0 ELSE 1.0 END::DOUBLE)
@@ -359,10 +359,10 @@ def llm_cost(s, d):
     o, c = v.table(s, d, "orders"), v.table(s, d, "customer")
     usage = o.select(
         F.when(F.col("o_orderkey") % 2 == 0, "bedrock").otherwise("openai").alias("provider"),
-        F.concat(F.lit("model-"), F.col("o_custkey").cast("string")).alias("model"),
+        F.when(F.col("o_orderkey") % 5 == 0, "retired").otherwise(F.concat(F.lit("model-"), F.col("o_custkey").cast("string"))).alias("model"),
         "o_orderkey", F.floor("o_totalprice").cast("bigint").alias("input_tokens"), (F.col("o_orderkey") % 5000).alias("output_tokens"),
     )
-    prices = c.where(F.col("c_acctbal") > 3000).select(
+    prices = c.select(
         F.explode(F.array(F.lit("bedrock"), F.lit("openai"))).alias("provider"),
         F.concat(F.lit("model-"), F.col("c_custkey").cast("string")).alias("model"),
         (F.col("c_nationkey") / 4.0).alias("input_price"), (F.col("c_nationkey") / 2.0).alias("output_price"),

@@ -131,7 +131,8 @@ def posture_score(s, d):
 
 
 @query("log_batch_summary", f"""
-SELECT {N} AS total_entries, {n_sql(BLOCK)} AS blocked, count(DISTINCT client_ip) AS unique_ips, count(DISTINCT country) AS unique_countries,
+SELECT {N} AS total_entries, {n_sql(BLOCK)} AS blocked, {n_sql("action = 'ALLOW'")} AS allowed, {n_sql("action = 'COUNT'")} AS counted, {n_sql("action = 'CAPTCHA'")} AS captcha,
+  {n_sql("action = 'CHALLENGE'")} AS challenge, {n_sql("action IS NULL OR action NOT IN ('BLOCK', 'ALLOW', 'COUNT', 'CAPTCHA', 'CHALLENGE')")} AS other_actions, count(DISTINCT client_ip) AS unique_ips, count(DISTINCT country) AS unique_countries,
   min(timestamp) AS start_time, max(timestamp) AS end_time, {pct2_sql(n_sql(BLOCK), 'count(*)')} AS block_rate FROM v_logs""")
 def log_batch_summary(s, d):
     return metrics.batch_summary(v.logs(s, d))
@@ -271,7 +272,7 @@ FROM (SELECT rule_type, {N} AS count FROM v_rules GROUP BY 1), (SELECT count(*)
 def pct_of_total(s, d):
     rules = v.rules(s, d)
     counts = rules.groupBy("rule_type").agg(metrics.n_rows().alias("count"))
-    return metrics.with_share(counts, "count", "percentage", metrics.total_rows(rules))
+    return metrics.with_share(counts, "count", "percentage")
 
 
 @query("numbered_rows", """
@@ -445,14 +446,14 @@ HOUR_COUNTS = f"SELECT date_trunc('hour', timestamp) AS hour, {N} AS n, {n_sql(B
 FROM (SELECT min(ts) AS a, max(ts) AS z FROM events)""")
 def hour_spine(s, d):
     ends = v.table(s, d, "events").agg(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("z"))
-    return ends.select(F.explode(times.spine(F.col("a"), F.col("z"), "hour")).alias("bucket"))
+    return times.calendar(ends, "a", "z", "hour", "bucket").select("bucket")
 
 
 @query("day_spine", """SELECT CAST(unnest(generate_series(date_trunc('day', a), date_trunc('day', z), INTERVAL 1 DAY)) AS TIMESTAMP) AS bucket
 FROM (SELECT min(o_orderdate) AS a, max(o_orderdate) AS z FROM orders)""")
 def day_spine(s, d):
     ends = v.table(s, d, "orders").agg(F.min("o_orderdate").cast("timestamp").alias("a"), F.max("o_orderdate").cast("timestamp").alias("z"))
-    return ends.select(F.explode(times.spine(F.col("a"), F.col("z"), "day")).alias("bucket"))
+    return times.calendar(ends, "a", "z", "day", "bucket").select("bucket")
 
 
 @query("filled_hourly", f"""

@@ -58,6 +58,24 @@ def test_concatenated(spark, lines, pretty):
     assert {k: sorted(v, key=str) for k, v in found.items()} == {k: sorted(v, key=str) for k, v in expected.items()}
 
 
+def test_nothing_after_a_value_is_lost(spark, lines):
+    values = ['{"a":1}', '{"a":1}{"b":2}', '{"a":1} trailing', '{"a":1},0', '{"a":1},"x":2', '{"a":1}]', "[1]", "1,0,null", "null"]
+    assert statuses(raw.decode_lines(texts(spark, values))) == ["valid"] + ["invalid"] * 8
+    assert statuses(raw.decode_string_records(texts(spark, [json.dumps('{"a":1} x'), '"{}" x', '"{}"']))) == ["invalid", "invalid", "valid"]
+    assert statuses(raw.decode_any(texts(spark, [json.dumps({"@message": '{"a":1}{}'}), '{"@message":"{}"} x']))) == ["invalid", "invalid"]
+    folder = lines({"a.json": '{"n":1}{"n":2}\n{"n":3} trailing\n{"n":4}\n', "b.log": '{"n":1}\n, junk,\n{"n":2}\nx {"n":3}\n'})
+    found = raw.parse_summary(raw.decode_lines(raw.scan_lines(spark, folder, "a.json"))).first()
+    assert (found.found, found.valid, found.invalid) == (5, 4, 1)
+    cut = raw.decode_any(concatenated.scan_concatenated(spark, folder, "b.log"))
+    assert sorted(r.value for r in raw.reject_rows(cut).collect()) == [", junk,", 'x {"n":3}']
+    assert raw.valid_records(cut).count() == 2
+
+
+def test_broken_text_takes_linear_time(spark, lines):
+    folder = lines({"bad.log": "{ broken,\n" * 20000 + "ends with ,\n" * 20000})
+    assert concatenated.scan_concatenated(spark, folder).agg(F.sum(F.length("value"))).first()[0] > 300000
+
+
 def test_concatenated_over_many_blocks(spark, lines):
     """A file cut into small blocks gives the same values as one read whole."""
     records = [dict(RECORD, n=i, pad="x" * (i % 50)) for i in range(400)]
@@ -122,7 +140,7 @@ def normalized(spark, *records):
 def test_timestamps(spark):
     utc = lambda t: datetime.fromtimestamp(t, timezone.utc).replace(tzinfo=None)
     cases = [(10_000_000_000, utc(10_000_000_000)), (10_000_000_001, utc(10_000_000.001)), (0, None), ("2025-01-01T00:00:00", datetime(2025, 1, 1)),
-             ("2025-01-01T07:00:00+07:00", datetime(2025, 1, 1)), ("nope", None), (None, None), (1740095950321, utc(1740095950.321))]
+             ("2025-01-01T07:00:00+07:00", datetime(2025, 1, 1)), ("nope", None), (None, None), ("12:30", None), ("T12:30", None), ("20240101T120000Z", datetime(2024, 1, 1, 12)), ("20240101T1230+0100", datetime(2024, 1, 1, 11, 30)), (1740095950321, utc(1740095950.321))]
     rows = normalized(spark, *[{"timestamp": t, "action": "ALLOW"} for t, _ in cases])
     assert [r.timestamp for r in rows] == [want for _, want in cases]
 

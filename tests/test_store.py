@@ -116,6 +116,36 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) in (spark.conf.get(CHECKPOINT_CONF, None), spark.sparkContext.getCheckpointDir())
 
 
+def test_a_submit_names_the_master(tmp_path):
+    """build_session leaves the master to the submit command."""
+    import os
+    import subprocess
+    import sys
+
+    import pyspark
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "job.py"
+    script.write_text("from palisade.session import build_session\nprint('MASTER', build_session('job').sparkContext.master)\n")
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_MASTER"))} | {"PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([f"{os.path.dirname(pyspark.__file__)}/bin/spark-submit", "--master", "local[3]", str(script)], env=env, capture_output=True, text=True, timeout=180)
+    assert "MASTER local[3]" in run.stdout, run.stderr[-500:]
+
+
+def test_calendars_reach_far(spark):
+    from palisade.functions import times
+    from palisade.operators import metrics
+
+    ends = spark.createDataFrame([(datetime(1970, 1, 1, 5, 30), datetime(2300, 12, 31, 23, 59)), (None, datetime(2024, 1, 1))], "a timestamp, z timestamp")
+    days = times.calendar(ends, "a", "z", "day", "day").agg(F.count("*"), F.min("day"), F.max("day")).first()
+    assert tuple(days) == ((datetime(2300, 12, 31) - datetime(1970, 1, 1)).days + 1, datetime(1970, 1, 1), datetime(2300, 12, 31))
+    hours = times.calendar(ends, "a", "z", "hour", "hour").agg(F.count("*"), F.min("hour"), F.max("hour")).first()
+    assert tuple(hours) == (days[0] * 24 - 5, datetime(1970, 1, 1, 5), datetime(2300, 12, 31, 23))
+    logs = spark.createDataFrame([(datetime(2024, 2, 28, 22, 1), "BLOCK"), (datetime(2024, 3, 1, 1, 1), "ALLOW")], "timestamp timestamp, action string")
+    filled = metrics.hourly_filled(logs).collect()
+    assert len(filled) == 28 and sum(r.total_requests for r in filled) == 2
+
+
 def test_first_k_and_rest(spark):
     df = spark.createDataFrame([("a", i) for i in range(7)] + [("b", 1)], "k string, v int")
     rows = inventory.first_k_and_rest(df, "k", ["v"], 3).collect()
