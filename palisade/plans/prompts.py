@@ -9,6 +9,8 @@ the joins that bring them together reuse that partitioning.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,12 +79,12 @@ def desc_by(measure: str, *ties: str) -> list:
 
 
 def fill(template: str, values: dict[str, Column], left: str = "{", right: str = "}") -> Column:
-    """The template with its places filled; places without a value stay."""
-    text: Column = F.lit(template)
-    for name, value in values.items():
-        if f"{left}{name}{right}" in template:
-            text = F.replace(text, F.lit(f"{left}{name}{right}"), F.coalesce(value, F.lit("null")))
-    return text
+    """The template with its places filled, in one pass: what a value holds is not a
+    place. Places without a value stay."""
+    known = "|".join(re.escape(f"{left}{name}{right}") for name in values)
+    parts = re.split(f"({known})", template) if known else [template]
+    inside = lambda part: part[len(left) : len(part) - len(right)]
+    return F.concat(*[F.coalesce(values[inside(x)], F.lit("null")) if k % 2 else F.lit(x) for k, x in enumerate(parts)])
 
 
 def sized(df: DataFrame, text: str = "prompt") -> DataFrame:
@@ -136,32 +138,29 @@ def prompt_per_acl(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources
 
 # ---- texts over all ACLs -------------------------------------------------
 
-def listed(df: DataFrame, order: list, limit: int, line: Column, empty: str) -> Column:
-    """Lines of the first rows of a frame as one scalar text. `line` may use
-    `position`. Only `limit` rows are ever gathered."""
-    best = df.orderBy(*order).limit(limit)
+def first_rows(df: DataFrame, order: list, limit: int | None) -> DataFrame:
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
+
+def listed(df: DataFrame, order: list, limit: int | None, line: Column, empty: str) -> Column:
+    """Lines of the first rows of a frame, or of all, as one scalar text. `line` may use
+    `position`. A list without a limit is a configuration table or one row per rule or
+    country, which a prompt holds whole."""
+    best = first_rows(df, order, limit)
     lines = best.withColumn("position", F.row_number().over(Window.orderBy(*order))).select("position", line.alias("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda r: r["line"]), "\n")
     return lines.agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit(empty))).scalar()
 
 
-def json_list(df: DataFrame, order: list, limit: int) -> Column:
-    best = df.orderBy(*order).limit(limit)
+def json_list(df: DataFrame, order: list, limit: int | None = None) -> Column:
+    best = first_rows(df, order, limit)
     ranked = best.withColumn("position", F.row_number().over(Window.orderBy(*order)))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct(*df.columns).alias("row")))), lambda r: r["row"])
     return ranked.agg(as_json(rows)).scalar()
 
 
-def config_list(df: DataFrame, order: list, limit: int) -> Column:
-    """The first rows of a configuration table and how many more there are. The
-    whole tables are frames of their own; one text cannot hold them at any size."""
-    best = df.orderBy(*order).limit(limit)
-    ranked = best.withColumn("position", F.row_number().over(Window.orderBy(*order)))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct(*df.columns).alias("row")))), lambda r: r["row"])
-    more = F.greatest(metrics.total_rows(df) - limit, F.lit(0))
-    return ranked.agg(as_json(F.struct(rows.alias("rows"), more.alias("more")))).scalar()
-
-
+# Fixed value: blocked clients in the texts over all ACLs.
+BLOCKED_CLIENTS = 50
 RULE_ORDER = ("hit_count", "rule_id", "rule_type")
 GEO_ORDER = ("total_requests", "country")
 IP_ORDER = ("block_count", "ip", "country")
@@ -181,10 +180,9 @@ def legacy_values(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources:
     attacks = metrics.attack_types(logs)
     number = F.col("position").cast("string")
     described = acl_list_text(acls, rules)
-    more_acls = F.greatest(F.col("total_web_acls") - LIMITS["rules"], F.lit(0))
-    acl_lines = listed(described, ["scope", "name", ACL], LIMITS["rules"], F.concat(number, F.lit(". "), "text", F.lit("\n")), "")
+    acl_lines = listed(described, ["scope", "name", ACL], None, F.concat(number, F.lit(". "), "text", F.lit("\n")), "")
     shown = {
-        "web_acls_list": F.concat(acl_lines, F.when(more_acls > 0, F.concat(F.lit("\n... and "), more_acls.cast("string"), F.lit(" more"))).otherwise("")),
+        "web_acls_list": acl_lines,
         "total_requests": thousands("total_requests"),
         "blocked_requests": thousands("blocked_requests"),
         "block_rate": percent_text("block_rate_percent", 2),
@@ -206,12 +204,12 @@ def legacy_values(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources:
             number, F.lit(". "), "ip", F.lit(" ("), F.coalesce("country", F.lit("None")), F.lit("): "), F.col("block_count").cast("string"),
             F.lit(" blocks")), "No blocked IP data available"),
     }
-    rules_json = json_list(effectiveness, desc_by(*RULE_ORDER), LIMITS["rules"])
-    geo_json = json_list(geo, desc_by(*GEO_ORDER), LIMITS["countries"])
-    ips_json = json_list(ips, desc_by(*IP_ORDER), LIMITS["ips"])
+    rules_json = json_list(effectiveness, desc_by(*RULE_ORDER))
+    geo_json = json_list(geo, desc_by(*GEO_ORDER))
+    ips_json = json_list(ips, desc_by(*IP_ORDER), BLOCKED_CLIENTS)
     attacks_json = json_list(attacks, desc_by("count", "attack_type"), len(labels.ATTACKS_BY_RULE) + 1)
-    config_json = config_list(rules.select(ACL, "name", "priority", "rule_type"), [ACL, "priority", "name"], LIMITS["rules"])
-    acls_json = config_list(acls.select(ACL, "name", "scope", "capacity"), ["scope", "name"], LIMITS["rules"])
+    config_json = json_list(rules.select(ACL, "name", "priority", "rule_type"), [ACL, "priority", "name"])
+    acls_json = json_list(acls.select(ACL, "name", "scope", "capacity"), ["scope", "name"])
     optimized = classification.optimized_rule_order(logs)
     json_texts = {
         "current_rules": config_json,
@@ -226,8 +224,8 @@ def legacy_values(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources:
         "blocked_patterns": attacks_json,
         "top_blocked_requests": ips_json,
         "waf_config": acls_json,
-        "logging_config": config_list(logging.select(ACL, "destination_arn", "destination_type", "sampling_rate"), [ACL, "destination_type"], LIMITS["rules"]),
-        "protected_resources": config_list(resources.select(ACL, "resource_arn", "resource_type"), [ACL, "resource_arn"], LIMITS["rules"]),
+        "logging_config": json_list(logging.select(ACL, "destination_arn", "destination_type", "sampling_rate"), [ACL, "destination_type"]),
+        "protected_resources": json_list(resources.select(ACL, "resource_arn", "resource_type"), [ACL, "resource_arn"]),
         "rule_coverage": as_json(F.col("cover")),
         "incident_history": json_list(metrics.hourly_patterns(logs), ["hour"], LIMITS["hours"]),
         "legitimate_traffic_baseline": as_json(F.struct("allowed_requests", "start_time", "end_time", "total_requests",
@@ -245,10 +243,7 @@ def prompt_legacy(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources:
     shown["analysis_date"] = F.lit(as_of)
     filled = []
     for name, template in templates.items():
-        used = {n: c for n, c in json_texts.items() if f"{{{n}}}" in template}
-        text = fill(template, shown, "{{", "}}")
-        for place, value in used.items():
-            text = F.replace(text, F.lit(f"{{{place}}}"), F.coalesce(value, F.lit("null")))
+        text = fill(template, {f"{{{n}}}": c for n, c in shown.items()} | json_texts)
         filled.append(F.struct(F.lit(name).alias("template"), text.alias("prompt")))
     return sized(facts.select(F.explode(F.array(*filled)).alias("p")).select("p.*"))
 
