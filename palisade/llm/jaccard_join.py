@@ -24,6 +24,8 @@ WIDTH = 5
 PART, WHOLE = 4, 5
 #: a shingle that begins more than so many sets comes last in the order
 FREQUENT = 64
+#: shingles are counted in this first part of each set in hash order
+COUNTED = 0.5
 #: rounds in which each tile compares its sets with one of them, before all that is left
 ROUNDS = 3
 #: bitmaps have as many bits as the next power of two above the size, within these
@@ -106,14 +108,14 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _prefix_rows(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
     """set, tokens, place: the first shingles of each text and, of a column `place` if
-    docs has one, its value."""
+    docs has one, its value. Without a filter of frequent ones, the part to be counted."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
     placed = "place" in docs.columns
 
     def run(batch: pa.RecordBatch):
         sets = shingle_sets(batch.column(0))
         some = [i for i, s in enumerate(sets) if len(s)]
-        columns = [pa.array([set_key(sets[i]) for i in some], pa.int64()), pa.array([prefix(sets[i], held.value) for i in some], pa.list_(pa.int64()))]
+        columns = [pa.array([set_key(sets[i]) for i in some], pa.int64()), pa.array([sets[i][: int(np.ceil(len(sets[i]) * COUNTED))] if held.value is None else prefix(sets[i], held.value) for i in some], pa.list_(pa.int64()))]
         columns += [batch.column(1).take(pa.array(some, pa.int64()))] if placed else []
         yield pa.RecordBatch.from_arrays(columns, ["set", "tokens", "place"][: len(columns)])
 
@@ -122,17 +124,19 @@ def _prefix_rows(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """A filter of the shingles that begin more than FREQUENT texts in hash order. It only
-    sets the order of shingles, in which any other that passes may come late as well."""
+    """A filter of the shingles that more than FREQUENT texts have in the part of them that
+    is counted. It only sets the order of shingles, in which any other that passes may come
+    late as well. Passages that many texts share are late then, unless a text holds little
+    else, and do not bring these texts together."""
     counts = _prefix_rows(docs.select("text"), None).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return bit_filter(counts.where(F.col("n") > FREQUENT).select("token"), "token")
 
 
 def meetings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """token, set, place, n: first shingles that n sets, two or more, have in common. Of
-    documents with equal sets the smallest place stands for all, before any exchange."""
+    """token, set, rank, place, n: first shingles that n sets, two or more, have in common,
+    and how many of the set's come before in the order. Of documents with equal sets the smallest place stands for all, before any exchange."""
     sets = _prefix_rows(docs, frequent).groupBy("set").agg(F.first("tokens").alias("tokens"), F.min("place").alias("place"))
-    rows = sets.select("set", "place", F.explode("tokens").alias("token"))
+    rows = sets.select("set", "place", F.posexplode("tokens").alias("rank", "token"))
     counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("token")))
     return counted.where("n > 1")
 
@@ -211,7 +215,7 @@ def set_components(met: DataFrame, sets: DataFrame) -> DataFrame:
     pair by pair, split into bands of near sizes."""
     signs = settle(sets.select("set", "n", "bits").dropDuplicates(["set"]), "set-signs")
     links = met.sparkSession.createDataFrame([], "a bigint, b bigint")
-    met = met.select("token", "set")
+    met = met.select("token", "set", "rank")
     labelled = met.withColumn("component", F.col("set"))
     for turn in range(ROUNDS):
         first = F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("o"), F.col("set").alias("leader"), F.col("component").alias("led"))).alias("x")
@@ -223,12 +227,15 @@ def set_components(met: DataFrame, sets: DataFrame) -> DataFrame:
             break
         links = write_through(links.union(new), "all-links")
         found = components(links).select(F.col("node").alias("set"), F.col("component").alias("c"))
-        labelled = settle(met.join(found, "set", "left").select("token", "set", F.coalesce("c", "set").alias("component")), "meetings")
+        labelled = settle(met.join(found, "set", "left").select("token", "set", "rank", F.coalesce("c", "set").alias("component")), "meetings")
     kinds = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     band = F.floor(F.log(F.col("n")) / float(np.log(WHOLE / PART))).cast("int")
     rows = settle(labelled.join(kinds, "token", "left_semi").join(signs.select("set", "n"), "set").withColumn("band", band), "open-meetings")
-    up = rows.select("token", F.col("set").alias("s"), F.col("component").alias("c"), F.col("n").alias("m"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    rest = rows.join(up, ["token", "band"]).where((F.col("component") != F.col("c")) & (F.least("n", "m") * WHOLE >= F.greatest("n", "m") * PART))
+    up = rows.select("token", F.col("set").alias("s"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("rank").alias("r"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    # from the first shingle in common on, each set must still hold the whole overlap
+    left = F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("r"))
+    near = (left * (WHOLE + PART) >= (F.col("n") + F.col("m")) * PART) & (F.least("n", "m") * WHOLE >= F.greatest("n", "m") * PART)
+    rest = rows.join(up, ["token", "band"]).where((F.col("component") != F.col("c")) & near)
     pairs = rest.select(F.least("set", "s").alias("a"), F.greatest("set", "s").alias("b")).distinct()
     return components(links.union(verify(pairs, sets, signs)))
 
