@@ -82,7 +82,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         last = np.append(first[1:], len(start)) - 1
         owner = np.searchsorted(begin, start[first], side="right") - 1
         shift = np.array([a - int(offsets[i]) for i, a, _ in group])[owner] - begin[owner]
-        yield np.array([i for i, _, _ in group])[owner], hashes[at[first]], start[first] + shift, start[last] + shift
+        # an anchor's hash is the least of many; mixed again, its bits are even
+        yield np.array([i for i, _, _ in group])[owner], mix64(hashes[at[first]] + BYTE[0]), start[first] + shift, start[last] + shift
 
 
 def _digest(part: bytes) -> int:
