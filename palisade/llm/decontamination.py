@@ -94,71 +94,91 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return first, template, ~(number | unit | name), value
 
 
-def windows(batch_text: pa.Array) -> tuple[np.ndarray, ...]:
-    """(text, place, hash, first, plain, template, value): windows of WIDTH template words
-    with PLAIN plain ones or more. A shorter text is one window if it has that many."""
-    first, template, plain, value = templates(batch_text)
-    n = np.diff(first)
-    hashes = window_hashes(template, WIDTH)
-    text = np.repeat(np.arange(len(n)), n)
-    full = np.flatnonzero(text[: len(hashes)] == text[len(text) - len(hashes) :]) if len(hashes) else np.zeros(0, np.int64)
-    sums = np.concatenate([[0], np.cumsum(plain)])
-    full = full[sums[full + WIDTH] - sums[full] >= PLAIN]
-    short = np.flatnonzero((n > 0) & (n < WIDTH))
-    short = short[sums[first[short + 1]] - sums[first[short]] >= PLAIN]
-    extra = np.array([window_hashes(np.append(template[first[i] : first[i + 1]], np.uint64(n[i])), int(n[i]) + 1)[0] for i in short], np.uint64)
-    at = np.concatenate([full, first[short]])
-    return text[at] if len(at) else at, at - first[text[at]] if len(at) else at, np.concatenate([hashes[full], extra]), first, plain, template, value
+#: readings of a text: by its template, and by its words as they stand
+TEMPLATE, VERBATIM = range(2)
+
+
+def readings(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, words, plain, value) of a batch, for each reading."""
+    first, template, plain, value = templates(column)
+    return [(first, template, plain, value), (first, value, plain, value)]
+
+
+def windows(kind: int, width: int, reading: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash): windows of so many words of one reading that lie in one text.
+    Those of templates have PLAIN plain words; verbatim ones may have any. Hashes of
+    different readings and widths differ."""
+    first, words, plain, _ = reading
+    hashes = window_hashes(words, width)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.flatnonzero(text[: len(hashes)] == text[len(text) - len(hashes) :]) if len(hashes) else np.zeros(0, np.int64)
+    if kind != VERBATIM:
+        sums = np.concatenate([[0], np.cumsum(plain)])
+        at = at[sums[at + width] - sums[at] >= PLAIN]
+    salt = mix64(np.array([kind * 16 + width + 1], np.uint64))[0]
+    return text[at], at - first[text[at]], mix64(hashes[at] ^ salt)
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, item_place, hash, item_values, n_windows: the windows of each item."""
+    """item_id, item_place, hash, item_slots, item_values, kind, width, n_windows: the
+    windows of each reading of each item, of WIDTH words, or one of all words of a shorter
+    item."""
 
     def run(batch: pa.RecordBatch):
-        text, place, hashes, first, plain, _, value = windows(batch.column(1))
-        count = np.bincount(text, minlength=batch.num_rows)
-        yield _records(batch.column(0), text, place, hashes, first, plain, value, count, ["item_id", "item_place", "hash", "item_slots", "item_values", "n_windows"])
+        for kind, reading in enumerate(readings(batch.column(1))):
+            n = np.diff(reading[0])
+            for width in range(1, WIDTH + 1):
+                text, place, hashes = windows(kind, width, reading)
+                mine = (n[text] == width) | ((width == WIDTH) & (n[text] > width))
+                text, place, hashes = text[mine], place[mine], hashes[mine]
+                count = np.bincount(text, minlength=batch.num_rows)
+                found = _records(batch.column(0), text, place, hashes, width, reading, ["item_id", "item_place", "hash", "item_slots", "item_values"])
+                more = [("kind", np.full(len(text), kind)), ("width", np.full(len(text), width)), ("n_windows", count[text])]
+                yield pa.RecordBatch.from_arrays([*found.columns, *[pa.array(c.astype(np.int32)) for _, c in more]], [*found.schema.names, *[k for k, _ in more]])
 
-    return arrow_map(items.select("item_id", "text"), run, "item_id bigint, item_place int, hash bigint, item_slots array<int>, item_values array<bigint>, n_windows int")
+    return arrow_map(items.select("item_id", "text"), run, "item_id bigint, item_place int, hash bigint, item_slots array<int>, item_values array<bigint>, kind int, width int, n_windows int")
 
 
-def _records(ids, text, place, hashes, first, plain, value, count, names):
+def _records(ids, text, place, hashes, width, reading, names):
     """A row for each window with the places in the text and the values of its placeholders."""
+    first, _, plain, value = reading
     slots, values = [], []
     for t, p in zip(text, place, strict=True):
         begin = first[t] + p
-        end = min(begin + WIDTH, first[t + 1])
-        held = np.flatnonzero(~plain[begin:end])
+        held = np.flatnonzero(~plain[begin : begin + width])
         slots.append((held + p).astype(np.int32))
-        values.append(value[begin:end][held].view(np.int64))
+        values.append(value[begin : begin + width][held].view(np.int64))
     columns = [ids.take(pa.array(text)), pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))]
-    if count is not None:
-        columns.append(pa.array(count[text].astype(np.int32)))
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def document_windows(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """row, doc_place, hash, doc_slots, doc_values: the windows that pass the filter."""
+def document_windows(rows: DataFrame, bits: np.ndarray, widths: list[tuple[int, int]]) -> DataFrame:
+    """row, doc_place, hash, doc_slots, doc_values: the windows that pass the filter, of
+    those readings and widths (kind, width) that items have."""
     held = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batch: pa.RecordBatch):
-        text, place, hashes, first, plain, _, value = windows(batch.column(1))
-        hit = passes(held.value, hashes)
-        if hit.any():
-            yield _records(batch.column(0), text[hit], place[hit], hashes[hit], first, plain, value, None, ["row", "doc_place", "hash", "doc_slots", "doc_values"])
+        read = readings(batch.column(1))
+        for kind, width in widths:
+            text, place, hashes = windows(kind, width, read[kind])
+            hit = passes(held.value, hashes)
+            if hit.any():
+                yield _records(batch.column(0), text[hit], place[hit], hashes[hit], width, read[kind], ["row", "doc_place", "hash", "doc_slots", "doc_values"])
 
     return arrow_map(rows.select("row", "text"), run, "row bigint, doc_place int, hash bigint, doc_slots array<int>, doc_values array<bigint>")
 
 
 def matches(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """row, item_id, shift, matched, n_windows, slots, changed, slips: each alignment of a
-    text (row, text) with an item (item_id, text), the item's windows it matches, and of
-    the placeholders in them how many there are, how many hold another value than the item
-    and how many contradict the most frequent mapping."""
+    """row, item_id, kind, shift, matched, n_windows, slots, changed, slips: each alignment
+    of a reading of a text (row, text) with that of an item (item_id, text), the item's
+    windows it matches, and of the placeholders in them how many there are, how many hold
+    another value than the item and how many contradict the most frequent mapping. Where a
+    window matches verbatim, they hold the item's values."""
     item_windows = write_through(benchmark_windows(items), "benchmark-windows")
-    found = document_windows(rows, bit_filter(item_windows, "hash")).join(item_windows, "hash")
-    found = found.withColumn("shift", F.col("doc_place") - F.col("item_place"))
-    key = ["row", "item_id", "shift"]
+    widths = sorted((r["kind"], r["width"]) for r in item_windows.select("kind", "width").distinct().collect())
+    found = document_windows(rows, bit_filter(item_windows, "hash"), widths).join(item_windows, "hash")
+    found = found.withColumns({"shift": F.col("doc_place") - F.col("item_place"), "doc_values": F.when(F.col("kind") == VERBATIM, F.col("item_values")).otherwise(F.col("doc_values"))})
+    key = ["row", "item_id", "kind", "shift"]
     found = write_through(found.select(*key, "item_place", "n_windows", "item_slots", "item_values", "doc_values"), "benchmark-hits")
     cover = found.groupBy(*key).agg(F.count_distinct("item_place").alias("matched"), F.max("n_windows").alias("n_windows"))
     slots = found.select(*key, F.explode(F.arrays_zip("item_slots", "item_values", "doc_values")).alias("s")).select(*key, "s.*").distinct()
@@ -175,9 +195,11 @@ def matches(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaks(found: DataFrame) -> DataFrame:
     """The best alignment of each text with each item that covers enough of the item and is
-    consistent: most windows, then fewest contradictions, then the first place."""
+    consistent: most windows, then fewest contradictions, then fewest changes, then the
+    first reading and place."""
     good = found.where((F.col("matched") >= COVER * F.col("n_windows")) & (F.col("slips") <= SLIPS * F.col("slots")))
-    best = F.max(F.struct("matched", (-F.col("slips")).alias("order"), (-F.col("shift")).alias("place"), "n_windows", "slots", "changed", "slips", "shift")).alias("x")
+    order = ["matched", (-F.col("slips")).alias("order"), (-F.col("changed")).alias("same"), (-F.col("kind")).alias("reading"), (-F.col("shift")).alias("place")]
+    best = F.max(F.struct(*order, "n_windows", "slots", "changed", "slips", "shift")).alias("x")
     return good.groupBy("row", "item_id").agg(best).select("row", "item_id", "x.shift", "x.matched", "x.n_windows", "x.slots", "x.changed", "x.slips")
 
 
@@ -188,8 +210,9 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Null texts hold nothing. Repeated rows count once; documents with one doc_id and
     different texts count as one, aligned each; a null doc_id is an id of its own. Items
-    with fewer than PLAIN plain words cannot be matched. Empty tables give no rows; other
-    columns are ignored."""
+    with too few plain words for a window of their template are found where their words
+    stand as they are, however few they are. Empty tables give no rows; other columns are
+    ignored."""
     found = leaks(matches(docs.select(F.col("doc_id").alias("row"), "text"), items))
     return found.withColumnRenamed("row", "doc_id").withColumn("exact", F.col("changed") == 0)
 

@@ -126,6 +126,25 @@ def test_verbatim_items_in_documents(spark, data, small):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(small, items).collect()} == want and want
 
 
+def leaks_of(spark, items, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    asked = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]): r["exact"] for r in decontamination.find_leaks(docs, asked).collect()}
+
+
+def test_short_items_and_items_of_numbers(spark):
+    items = ["What is the capital city of France?", "1 4 9 16 25 36 49 64 81 100 121 144", "Name Paris", "12 in all?"]
+    texts = [
+        "The quiz went on for hours. What is the capital city of France? Nobody in the room knew it.",
+        "They asked what is the capital city of Norway and went home early that day.",
+        "squares are 0 1 4 9 16 25 36 49 64 81 100 121 144 and so on",
+        "squares are 0 1 4 9 17 25 36 48 64 81 101 121 144 and so on",
+        "so please name Paris, and count 12 in all, not more than that",
+        "so please name London, and count 13 in all, not more than that",
+    ]
+    assert leaks_of(spark, items, texts) == {(0, 0): True, (1, 0): False, (2, 1): True, (4, 2): True, (4, 3): True}
+
+
 CHAT = [
     (1, 0, "user", "Hello there my friend.\nHow are you doing today?"),
     (1, 1, "assistant", "> How are you doing today?\n\nI am fine, thank you so much."),
