@@ -145,6 +145,28 @@ def test_short_items_and_items_of_numbers(spark):
     assert leaks_of(spark, items, texts) == {(0, 0): True, (1, 0): False, (2, 1): True, (4, 2): True, (4, 3): True}
 
 
+def test_words_put_in_or_left_out(spark):
+    words = "this is one long plain question about some very old houses which stand in green hills today".split()
+    middle = len(words) // 2
+    items = [" ".join(words), "we sent Peter 5 km down the road with 1250 grams of bread and asked him for more of it"]
+    texts = [
+        f"so here {' '.join([*words[:middle], 'extra', *words[middle:]])} ends",
+        f"so here {' '.join([*words[:middle], *words[middle + 1 :]])} ends",
+        "we sent Peter Paul 5km down the road with 1 250 grams of bread and asked him for more of it",
+        "some very old houses stand here, and in green hills this is one plain question",
+        f"{' '.join(words[:8])} then something else altogether comes in between here {' '.join(words[12:])}",
+    ]
+    assert set(leaks_of(spark, items, texts)) == {(0, 0), (1, 0), (2, 1)}
+
+
+def test_runs_of_placeholders_are_one():
+    one = lambda t: decontamination.templates(pa.array([t]))
+    for a, b, same in [("it costs 1250 now", "it costs 1 250 now", True), ("go 5km on", "go 5 km on", True), ("we saw Peter there", "we saw Peter Paul there", False), ("take 12 5 of", "take 1 25 of", False)]:
+        (_, x, p, v), (_, y, q, w) = one(a), one(b)
+        assert list(x) == list(y) and list(p) == list(q) and (list(v) == list(w)) == same
+    assert len(one("we saw Peter, Paul there")[1]) == 5
+
+
 CHAT = [
     (1, 0, "user", "Hello there my friend.\nHow are you doing today?"),
     (1, 1, "assistant", "> How are you doing today?\n\nI am fine, thank you so much."),
