@@ -31,6 +31,19 @@ SLIPS = 0.1
 #: units, as fixed values
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s min h hr hrs kb mb gb tb hz khz mhz w kw kwh v a mph kmh km/h cents usd eur gbp percent meters metres kilometers kilometres miles feet inches grams kilograms pounds ounces litres liters seconds minutes hours days weeks months years dollars euros degrees".split()
 
+#: spelt-out numbers, as fixed values; words that are articles too are left out
+ONES = "one two three four five six seven eight nine".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+EINER = "ein zwei drei vier fünf sechs sieben acht neun".split()
+ZEHNER = "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split()
+NUMBERS = [
+    *ONES, *TENS, *EINER[1:], *ZEHNER,
+    *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen".split(),
+    *"null eins zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn hundert tausend dutzend".split(),
+    *"cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil docena".split(),
+    *"zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille douzaine".split(),
+]
+
 _KEEP = np.zeros(256, bool)
 _KEEP[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = True
 _DIGIT = np.zeros(256, bool)
@@ -43,14 +56,14 @@ _LOWER_BYTE = BYTE[_LOWER]
 NUMBER, NAME, UNIT = (mix64(np.array([k], np.uint64))[0] for k in (101, 102, 103))
 
 
-def _unit_hashes() -> np.ndarray:
-    data = " ".join(re.sub("[^a-z]", "", u) for u in UNITS).encode()
-    array = np.frombuffer(data, np.uint8)
+def _listed(words: list[str]) -> np.ndarray:
+    array = np.frombuffer(" ".join(words).encode(), np.uint8)
     starts, ends, _ = word_spans(array, np.array([0, len(array)]))
     return np.unique(span_hashes(array, starts, ends, _LOWER_BYTE))
 
 
-_UNITS = _unit_hashes()
+_UNITS = _listed([re.sub("[^a-z]", "", u) for u in UNITS])
+_NUMBERS = _listed([*NUMBERS, *(t + o for t in TENS for o in ONES), *(o + "und" + t for o in EINER for t in ZEHNER)])
 
 
 def _sums(flags: np.ndarray) -> np.ndarray:
@@ -99,17 +112,19 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     and for each word the hash of its placeholder or of itself, whether it is plain, and
     the hash of its letters and digits.
 
-    A word with a digit is a number, and a unit written onto it a word of its own. A unit
-    is a listed word after a number. A name begins with a capital, goes on in lower case
-    and stands after a word that does not end a sentence and has small letters itself.
+    A word with a digit or a listed one is a number, and a unit written onto a number a
+    word of its own. A unit is a listed word after a number. A name begins with a capital,
+    goes on in lower case and stands after a word that does not end a sentence and has
+    small letters itself; in the second reading it may stand anywhere.
     Placeholders of one kind side by side are one. Letters beyond ASCII are lowered as far
     as the two-byte ones of western Europe go. Words without letters and digits are left
     out."""
     return readings(column)[TEMPLATE]
 
 
-#: readings of a text: by its template, and by its words as they stand
-TEMPLATE, VERBATIM = range(2)
+#: readings of a text: by its template, by that with all capitalised words as names, and
+#: by its words as they stand
+TEMPLATE, CAPITALS, VERBATIM = range(3)
 
 
 def readings(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,7 +137,7 @@ def readings(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray,
     data[two + 1] += 0x20
     starts, ends, _ = word_spans(data, offsets)
     if not len(starts):
-        return [(np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64))] * 2
+        return [(np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64))] * 3
     letters = _sums(_KEEP[data])
     solid = letters[ends] > letters[starts]
     starts, ends = _split_units(data, starts[solid], ends[solid])
@@ -133,7 +148,7 @@ def readings(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray,
     low = letters[starts].astype(np.int64)
     value = span_hashes(data[spots], low, low + kept, _LOWER_BYTE)
     begin = spots[low]
-    number = digit[ends] - digit[starts] > 0
+    number = (digit[ends] - digit[starts] > 0) | np.isin(value, _NUMBERS)
     lower = small[ends] - small[starts]
     capital = ((data[begin] >= 65) & (data[begin] <= 90)) | capital_two[begin]
     after = np.zeros(len(starts), bool)
@@ -141,15 +156,17 @@ def readings(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray,
     after[first[:-1][first[:-1] < len(starts)]] = False
     broken = _sums(data == 10)
     after[1:] &= broken[starts[1:]] == broken[ends[:-1]]
-    name = ~number & capital & after & (kept > 1) & (lower >= kept // 2)
+    cased = ~number & capital & (kept > 1) & (lower >= kept // 2)
     unit = np.zeros(len(starts), bool)
     unit[1:] = number[:-1] & ~number[1:] & np.isin(value[1:], _UNITS)
     unit[first[:-1][first[:-1] < len(starts)]] = False
-    template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
-    plain = ~(number | unit | name)
     near = np.zeros(len(starts), bool)
     near[1:] = _KEEP[data[ends[:-1] - 1]] & _KEEP[data[starts[1:]]]
-    return [_join_runs(first, template, plain, value, data[spots], low, low + kept, near), (first, value, plain, value)]
+    out = []
+    for name in (cased & after, cased):
+        template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
+        out.append(_join_runs(first, template, ~(number | unit | name), value, data[spots], low, low + kept, near))
+    return [*out, (first, value, ~(number | unit | cased), value)]
 
 
 def windows(kind: int, width: int, reading: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

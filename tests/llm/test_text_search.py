@@ -167,6 +167,22 @@ def test_runs_of_placeholders_are_one():
     assert len(one("we saw Peter, Paul there")[1]) == 5
 
 
+def test_names_that_begin_sentences_and_spelt_out_numbers(spark):
+    asked = "Tom buys 12 pens at the shop. Mary takes 4 of them. Tom then gives half to his friend."
+    counted = "we took three red boats and seven green ones over the lake before it was dark"
+    texts = [
+        asked.replace("Tom", "Karl").replace("Mary", "Eva").replace("12", "30"),
+        asked.replace("12", "twelve").replace("4", "forty-two"),
+        "Well, " + asked.replace("Tom", "Otto"),
+        counted.replace("three", "14").replace("seven", "twenty one"),
+        asked.replace("Tom then", "Josef then").replace("Mary", "Tom"),
+        "Dr. Otto bought it for Dr. Berta and in room 4 Karl sold it again to her",
+    ]
+    titled = "Dr. Tom bought it for Dr. Mary and in room 7 Sue sold it again to her"
+    assert set(leaks_of(spark, [asked, counted, titled], texts)) == {(0, 0), (1, 0), (2, 0), (3, 1), (5, 2)}
+    assert not any(leaks_of(spark, [asked], texts[:2]).values())
+
+
 CHAT = [
     (1, 0, "user", "Hello there my friend.\nHow are you doing today?"),
     (1, 1, "assistant", "> How are you doing today?\n\nI am fine, thank you so much."),
