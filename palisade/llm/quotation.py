@@ -2,25 +2,34 @@
 without the quotes.
 
 Lines that begin with > marks are quotes; the number of marks is their level. A passage is a
-run of lines of one level. Passages are normalised and hashed, and joined to the messages
-that hold the same text as their own."""
+run of lines of one level. Passages, their paragraphs, lines and sentences are normalised
+and hashed, and joined to the messages that hold the same text as their own."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_through
-from .base import arrow_map, number_within
+from .base import arrow_map, bit_filter, number_within, passes
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _LEAD = re.compile(r"[ \t]*(?:On .{1,200}\bwrote|.{1,100} (?:said|writes|schrieb|escribió|a écrit)) ?:[ \t]*")
-_WORD = re.compile(r"\w+")
-#: a passage needs so many words to be linked
+#: letters of scripts that put no space between words: Thai to Myanmar, Khmer, kana, Han
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ACCENTS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc"))
+_WORD = re.compile(rf"(?:(?![{_UNSPACED}])[\w{_ACCENTS}])+|(?=[\w{_ACCENTS}])[{_UNSPACED}]")
+_LETTER = re.compile(f"[{_UNSPACED}]")
+_BLANK = re.compile(r"\n[ \t\r]*\n")
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？｡])")
+#: a passage needs so many words to be linked; two letters are a word where none are spaced
 MIN_WORDS = 3
 #: turns of one conversation that are numbered together
 TURNS = 64
@@ -40,18 +49,42 @@ def levels(text: str) -> list[tuple[int, str]]:
 
 
 def digest(text: str) -> tuple[str, int] | None:
-    """A hash of the text's words in lower case, and their number; None below MIN_WORDS."""
+    """A hash of the text's words in lower case, and their number; None below MIN_WORDS.
+    Letters of scripts without spaces are hashed one by one, wherever lines are broken."""
     words = _WORD.findall(text.lower())
-    if len(words) < MIN_WORDS:
+    letters = sum(1 for w in words if _LETTER.match(w))
+    n = len(words) - letters + (letters + 1) // 2
+    if n < MIN_WORDS:
         return None
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), len(words)
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), n
+
+
+def head(digest: str) -> int:
+    """The first 64 bits of a hash."""
+    return int.from_bytes(bytes.fromhex(digest[:16]), "big", signed=True)
+
+
+def parts(text: str) -> list[str]:
+    """The text, its paragraphs, its lines and the sentences of its paragraphs."""
+    paragraphs = _BLANK.split(text)
+    return list(dict.fromkeys([text, *paragraphs, *text.split("\n"), *(x for p in paragraphs for x in _SENTENCE.split(p))]))
+
+
+def own_hashes(content: str) -> list[str]:
+    return list(dict.fromkeys(d[0] for d in map(digest, parts(content)) if d))
 
 
 def parse(text: str) -> tuple[str, int, int, list[tuple[int, str, int, int]], list[str]]:
     """(content, passages, deepest level, quotes, own). content is the text without quotes
     and without the lines that introduce them. quotes: passage, hash, level and words of
-    each passage and of each of its lines. own: hashes of the content, of its paragraphs
-    and of its lines, which are what others may quote."""
+    each passage and of each of its parts. own: hashes of the content and of its parts,
+    which are what others may quote."""
+    content, n, deepest, quotes = unquoted(text)
+    return content, n, deepest, quotes, own_hashes(content)
+
+
+def unquoted(text: str) -> tuple[str, int, int, list[tuple[int, str, int, int]]]:
+    """The same without own."""
     lines = levels(text)
     runs: list[tuple[int, list[str]]] = []
     for level, line in lines:
@@ -64,38 +97,56 @@ def parse(text: str) -> tuple[str, int, int, list[tuple[int, str, int, int]], li
     quotes, n = [], 0
     for level, block in runs:
         if level > 0 and any(x.strip() for x in block):
-            for part in dict.fromkeys(["\n".join(block), *block]):
+            for part in parts("\n".join(block)):
                 if found := digest(part):
                     quotes.append((n, found[0], level, found[1]))
             n += 1
-    parts = dict.fromkeys([content, *re.split(r"\n[ \t\r]*\n", content), *content.split("\n")])
-    own = dict.fromkeys(d[0] for d in map(digest, parts) if d)
-    return content, n, max((level for level, _ in lines), default=0), quotes, list(own)
+    return content, n, max((level for level, _ in lines), default=0), quotes
 
 
 def parsed(messages: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch):
-        found = [parse(t or "") for t in batch.column(3).to_pylist()]
-        quotes = [[{"passage": p, "hash": h, "level": v, "words": w} for p, h, v, w in f[3]] for f in found]
-        kind = pa.list_(pa.struct([("passage", pa.int32()), ("hash", pa.string()), ("level", pa.int32()), ("words", pa.int32())]))
+        found = [unquoted(t or "") for t in batch.column(3).to_pylist()]
+        quotes = [[{"passage": p, "hash": h, "head": head(h), "level": v, "words": w} for p, h, v, w in f[3]] for f in found]
+        kind = pa.list_(pa.struct([("passage", pa.int32()), ("hash", pa.string()), ("head", pa.int64()), ("level", pa.int32()), ("words", pa.int32())]))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], batch.column(4), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([max(f[2], 0) for f in found], pa.int32()), pa.array(quotes, kind), pa.array([f[4] for f in found], pa.list_(pa.string()))],
-            ["conv_id", "turn", "role", "key", "content", "n_quotes", "max_level", "quotes", "own"],
+            [*batch.columns[:3], batch.column(4), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([max(f[2], 0) for f in found], pa.int32()), pa.array(quotes, kind)],
+            ["conv_id", "turn", "role", "key", "content", "n_quotes", "max_level", "quotes"],
         )
 
     rows = messages.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role").cast("string"), "text", F.xxhash64("conv_id", "turn", "text").alias("key"))
-    return arrow_map(rows, run, "conv_id bigint, turn bigint, role string, key bigint, content string, n_quotes int, max_level int, quotes array<struct<passage:int,hash:string,level:int,words:int>>, own array<string>")
+    return arrow_map(rows, run, "conv_id bigint, turn bigint, role string, key bigint, content string, n_quotes int, max_level int, quotes array<struct<passage:int,hash:string,head:bigint,level:int,words:int>>")
+
+
+def own_texts(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, hash: what each message holds as its own, as far as a filter of fixed
+    size over all quotes lets it pass."""
+    bits = bit_filter(rows.select(F.explode("quotes").alias("q")).select("q.head"), "head")
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+    any_quote = bool(bits.any())
+
+    def run(batch: pa.RecordBatch):
+        found = [own_hashes(t) for t in batch.column(2).to_pylist()] if any_quote else []
+        owner = np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(np.int64)
+        hashes = [h for f in found for h in f]
+        hit = passes(held.value, np.array([head(h) for h in hashes], np.int64))
+        if hit.any():
+            take = pa.array(owner[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([hashes[i] for i in np.flatnonzero(hit)], pa.string())], ["conv_id", "turn", "hash"])
+
+    known = rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    return arrow_map(known.select("conv_id", "turn", "content"), run, "conv_id bigint, turn bigint, hash string")
 
 
 def link(rows: DataFrame) -> DataFrame:
     """key, conv_id, turn, passage, level, words, from_conv, from_turn: for each passage of
     a message the message it comes from. That is the first one before it in the same
     conversation with that text, else the first one in an earlier conversation. A whole
-    passage goes before its lines, longer lines before shorter ones. Texts that many
-    messages share are reduced to their first message before the join."""
-    own = rows.select("conv_id", "turn", F.explode("own").alias("hash")).where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    inside = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("first_turn"))
-    asked = rows.select("key", "conv_id", "turn", F.explode("quotes").alias("q")).select("key", "conv_id", "turn", "q.*").distinct()
+    passage goes before its parts, longer parts before shorter ones; earlier conversations
+    are those with a smaller conv_id. Texts that many messages share are reduced to their
+    first message before the join."""
+    inside = own_texts(rows).groupBy("conv_id", "hash").agg(F.min("turn").alias("first_turn"))
+    asked = rows.select("key", "conv_id", "turn", F.explode("quotes").alias("q")).select("key", "conv_id", "turn", "q.*").drop("head").distinct()
     anywhere = inside.groupBy("hash").agg(F.min(F.struct("conv_id", "first_turn")).alias("first"))
     near = inside.withColumnsRenamed({"conv_id": "c", "hash": "h"})
     found = asked.join(near, (F.col("conv_id") == F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("first_turn") < F.col("turn")), "left").drop("h")
@@ -143,7 +194,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     one = parents.groupBy("conv_id", "turn").agg(F.max(F.struct("parent_conv", "parent_turn")).alias("p")).select("conv_id", "turn", "p.*")
     roots = ancestry(one)
     mine = parents.select("key", "n_linked", "parent_conv", "parent_turn").dropDuplicates(["key"])
-    out = rows.drop("quotes", "own").join(mine, "key", "left").join(roots, ["conv_id", "turn"], "left")
+    out = rows.drop("quotes").join(mine, "key", "left").join(roots, ["conv_id", "turn"], "left")
     out = out.select(
         F.coalesce("root_conv", "conv_id").alias("thread_id"), F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"),
         "conv_id", "turn", "role", "key", "content", "parent_conv", "parent_turn", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("int").alias("n_linked"), "max_level",

@@ -219,3 +219,20 @@ def test_long_conversation_is_numbered_in_parts(spark):
     assert sorted((r["turn"], r["position"], r["depth"]) for r in got if r["conv_id"] == 7) == [(i, i, i) for i in range(300)]
     assert sorted((r["turn"], r["position"], r["depth"]) for r in got if r["conv_id"] == 8) == [(i, i, 0) for i in range(200)]
     assert quotation.link_quotations(spark.createDataFrame([], CHAT_SCHEMA)).collect() == []
+
+
+def test_quoted_sentences_paragraphs_and_unspaced_texts(spark):
+    rows = [
+        (1, 0, "user", "The first part is short. The second one says much more! A third ends it."),
+        (1, 1, "user", "> The second one says much more!\nyes"),
+        (2, 0, "user", "One paragraph of five words.\n\nAnother paragraph\nfollows it here.\n\nA last one stays out."),
+        (2, 1, "user", "> One paragraph\n> of five words.\n>\n> Another paragraph follows\n> it here.\nno"),
+        (3, 0, "user", "今天天气非常好。我们一起去公园散步吧！"),
+        (3, 1, "user", "> 我们一起去公\n> 园散步吧！\n好"),
+        (3, 2, "user", "> 今天\n不"),
+        (4, 0, "user", "สวัสดีตอนเช้าวันนี้อากาศดีมาก"),
+        (4, 1, "user", "> สวัสดีตอนเช้าวันนี้อากาศดีมาก\nค่ะ"),
+    ]
+    got = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in quotation.link_quotations(spark.createDataFrame(rows, CHAT_SCHEMA)).collect()}
+    linked = {(1, 1), (2, 1), (3, 1), (4, 1)}
+    assert got == {k: (k[0], 0) if k in linked else (None, None) for k in got}
