@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import number_rows
 from ..session import write_through
-from .base import arrow_map, bit_filter, number_within, passes
+from .base import arrow_map, bit_filter, passes
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _LEAD = re.compile(r"[ \t]*(?:On .{1,200}\bwrote|.{1,100} (?:said|writes|schrieb|escribió|a écrit)) ?:[ \t]*")
@@ -31,8 +32,6 @@ _BLANK = re.compile(r"\n[ \t\r]*\n")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？｡])")
 #: a passage needs so many words to be linked; two letters are a word where none are spaced
 MIN_WORDS = 3
-#: turns of one conversation that are numbered together
-TURNS = 64
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -199,6 +198,5 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         F.coalesce("root_conv", "conv_id").alias("thread_id"), F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"),
         "conv_id", "turn", "role", "key", "content", "parent_conv", "parent_turn", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("int").alias("n_linked"), "max_level",
     )
-    order = [F.col(c) for c in ("root_turn", "depth", "conv_id", "turn", "key", "role")]
-    numbered = number_within(out, ["thread_id"], order, "position", spread=F.floor(F.col("root_turn") / TURNS))
+    numbered = number_rows(out, ["root_turn", "depth", "conv_id", "turn", "key", "role"], "position", ["thread_id"], 0)
     return numbered.select("thread_id", "position", "conv_id", "turn", "role", "content", "parent_conv", "parent_turn", "depth", "n_quotes", "n_linked", "max_level")

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from palisade.llm import decontamination, personal_data, quotation
+from palisade.operators import ordering
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -236,3 +237,22 @@ def test_quoted_sentences_paragraphs_and_unspaced_texts(spark):
     got = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in quotation.link_quotations(spark.createDataFrame(rows, CHAT_SCHEMA)).collect()}
     linked = {(1, 1), (2, 1), (3, 1), (4, 1)}
     assert got == {k: (k[0], 0) if k in linked else (None, None) for k in got}
+
+
+def test_a_message_that_many_quote_is_numbered_in_parts(spark, monkeypatch):
+    written = []
+    through = ordering.write_through
+    monkeypatch.setattr(ordering, "write_through", lambda df, label: written.append(through(df, label)) or written[-1])
+    rows = [(0, 0, "user", "Hello to all of you")] + [(i, 0, "user", f"> Hello to all of you\nanswer {i}") for i in range(1, 2001)] + [(None, i % 50, "user", f"text {i}") for i in range(1000)]
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merged)
+    spark.conf.set(merged, "false")
+    try:
+        got = quotation.link_quotations(spark.createDataFrame(rows, CHAT_SCHEMA)).collect()
+    finally:
+        spark.conf.set(merged, before)
+    for thread, n in ((0, 2001), (None, 1000)):
+        assert sorted(r["position"] for r in got if r["thread_id"] == thread) == list(range(n))
+    assert [r["conv_id"] for r in sorted((r for r in got if r["thread_id"] == 0), key=lambda r: r["position"])] == list(range(2001))
+    sizes = [r["count"] for r in written[0].groupBy("thread_id", "_part").count().collect()]
+    assert max(sizes) < 1500 and sum(sizes) == 3001
