@@ -63,3 +63,36 @@ def _sharding(shards: int = 8) -> str:
 
 
 ORACLES["op8_rendezvous_sharding"] = _sharding()
+
+
+def _filter_audit() -> str:
+    from .filter_audit import CAPITAL_PERCENT, DISTINCT_PERCENT, FILTERS, MIN_WORDS, SYMBOLS
+
+    letters = ", ".join(f"('{x}')" for x in FILTERS)
+    orders = " ".join(f"JOIN letters l{k} ON l{k}.x NOT IN ({', '.join(f'l{j}.x' for j in range(k))})" for k in range(1, 5))
+    order = " || ".join(f"l{k}.x" for k in range(5))
+    gone = " ".join(f"WHEN contains(fails, substr(filter_order, {k}, 1)) THEN {k}" for k in range(1, 6))
+    return f"""
+    WITH letters(x) AS (VALUES {letters}),
+    orders AS (SELECT {order} AS filter_order FROM letters l0 {orders}),
+    marks AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+    words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+    docs AS (SELECT d.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+        CASE WHEN len(w) < {MIN_WORDS} THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < {DISTINCT_PERCENT} * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {CAPITAL_PERCENT} * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '{SYMBOLS}') THEN 'D' ELSE '' END
+        || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+        FROM words d LEFT JOIN marks m ON d.doc_id = m.doc_id),
+    kinds AS (SELECT part, good, toxic, fails, count(*) AS n FROM docs GROUP BY ALL),
+    steps AS (SELECT CAST(i AS INTEGER) AS step FROM range(1, 6) t(i)),
+    lost AS (SELECT *, CASE {gone} ELSE 6 END AS gone FROM kinds CROSS JOIN orders),
+    counts AS (SELECT part, filter_order, step, sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed,
+        sum(n) FILTER (gone < step AND contains(fails, substr(filter_order, step, 1))) AS redundant, sum(n) FILTER (fails = substr(filter_order, step, 1)) AS unique_fails,
+        sum(n) FILTER (gone = step AND good) AS good_lost, sum(n) FILTER (gone = step AND toxic) AS toxic_lost FROM lost CROSS JOIN steps GROUP BY ALL)
+    SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+        CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+        CAST(coalesce(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)), 0) AS BIGINT) AS shapley FROM counts
+    """
+
+
+ORACLES["op11_filter_audit"] = _filter_audit()

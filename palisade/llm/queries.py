@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import use_utc
-from . import decontamination, jaccard_join, language_id, mixing, personal_data, quality_classifier, quality_rules, quotation, sharding, suffix_dedup
+from . import (
+    decontamination, filter_audit, jaccard_join, language_id, mixing, personal_data, piece_codec, quality_classifier, quality_rules,
+    quotation, sharding, suffix_dedup, token_alignment,
+)
 from .base import read_table
 from .oracles import ORACLES
 
@@ -31,3 +34,6 @@ register("op7_benchmark_decontamination", decontamination.find_leaks, "documents
 register("op8_rendezvous_sharding", sharding.shard_documents)
 register("op9_personal_data", personal_data.find_personal_data)
 register("op10_suffix_array_dedup", suffix_dedup.remove_repeats)
+register("op11_filter_audit", filter_audit.audit_filters, "documents", "labels")
+register("op12_token_alignment", token_alignment.align_documents)
+register("op13_piece_codec", piece_codec.encode_documents)
