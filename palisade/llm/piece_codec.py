@@ -4,15 +4,17 @@ A text's characters stand in a row; an agenda holds every adjacent pair that tog
 piece of the vocabulary, best score first and leftmost among equals, and the pair at its top
 is merged until none is left. Characters without a piece become byte pieces.
 
-No piece of such a vocabulary may hold a space behind another character, which is read off
-the vocabulary itself; then nothing merges across the front of a run of spaces, so a text is
-cut there and each segment is encoded on its own and remembered. The sentencepiece library
-encodes and decodes the segments that an Arrow batch brings for the first time as well."""
+Two characters that stand side by side in no piece are never merged. Characters that do are
+put in one class, a space in front of any of them aside; so a text is cut where the class
+changes and in front of spaces, and each segment is encoded on its own and remembered. The
+classes are read off the vocabulary. The sentencepiece library encodes and decodes the
+segments that an Arrow batch brings for the first time as well."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -23,7 +25,11 @@ from .base import arrow_map
 
 SPACE_MARK = "▁"
 #: a worker forgets its segments between two batches once there are more than these
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
+#: up to so many symbols the agenda is a list that is searched, beyond it a heap
+SHORT = 40
+#: the rank of a pair that is no piece
+NO_PIECE = float("inf")
 
 
 def model_path() -> str:
@@ -32,6 +38,30 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def segment_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """What finds the segments of a marked text. If a piece holds a space behind another
+    character, a text is one segment."""
+    pieces = list(pieces)
+    parent: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while parent.setdefault(c, c) != c:
+            c = parent[c]
+        return c
+
+    for piece in pieces:
+        for x, y in zip(piece, piece[1:]):
+            if x != SPACE_MARK and y == SPACE_MARK:
+                return re.compile(".+", re.S)
+            if x != SPACE_MARK:
+                parent[root(y)] = root(x)
+    classes: dict[str, list[str]] = {}
+    for c in parent:
+        classes.setdefault(root(c), []).append(c)
+    runs = sorted(("".join(map(re.escape, sorted(c))) for c in classes.values() if len(c) > 1), key=len, reverse=True)
+    return re.compile("|".join([*(f"{SPACE_MARK}*[{c}]+" for c in runs), f"{SPACE_MARK}*[^{SPACE_MARK}]", f"{SPACE_MARK}+"]), re.S)
+
+
 class PieceCodec(dict):
     """Segment -> (number of ids, decimal ids joined by commas, decoded segment); a segment
     that is not there yet is encoded when it is asked for."""
@@ -50,13 +80,12 @@ class PieceCodec(dict):
             raise ValueError("vocabularies with user-defined or unused pieces are not supported")
         super().__init__()
         self.library = SentencePieceProcessor(model_proto=model)
-        self.pieces = [p.piece for p in proto.pieces]
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
         self.rank = {p.piece: -p.score for p in proto.pieces if p.type == kinds.NORMAL}
         self.bytes = {i: int(p.piece[1:-1], 16) for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
         self.byte_ids = {b: i for i, b in self.bytes.items()}
-        spaced = any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in self.ids)
-        self.segment = re.compile(".+" if spaced else f"{SPACE_MARK}+[^{SPACE_MARK}]*", re.S)
+        self.shown = [p.piece.replace(SPACE_MARK, " ") for p in proto.pieces]
+        self.segment = segment_pattern(self.ids)
         self.fresh: list[tuple[str, list[int]]] = []
         #: segments on which the library has another opinion
         self.odd: set[str] = set()
@@ -66,8 +95,24 @@ class PieceCodec(dict):
         return self.segment.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
 
     def merged(self, symbols: list[str]) -> list[str]:
-        """The symbols left once no adjacent pair is a piece. A merge lives on in its left
-        symbol; agenda entries of symbols that have grown or gone since are skipped."""
+        """The symbols left once no adjacent pair is a piece."""
+        if len(symbols) > SHORT:
+            return self.merged_by_heap(symbols)
+        rank = self.rank
+        agenda = [rank.get(x + y, NO_PIECE) for x, y in zip(symbols, symbols[1:])]
+        while agenda and (top := min(agenda)) < NO_PIECE:
+            i = agenda.index(top)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank.get(symbols[i] + symbols[i + 1], NO_PIECE)
+            if i:
+                agenda[i - 1] = rank.get(symbols[i - 1] + symbols[i], NO_PIECE)
+        return symbols
+
+    def merged_by_heap(self, symbols: list[str]) -> list[str]:
+        """The same in n log n. A merge lives on in its left symbol; agenda entries of
+        symbols that have grown or gone since are skipped."""
         rank, last = self.rank, len(symbols)
         agenda = [(rank[both], i, i + 1, len(both)) for i in range(last - 1) if (both := symbols[i] + symbols[i + 1]) in rank]
         heapify(agenda)
@@ -98,8 +143,9 @@ class PieceCodec(dict):
 
     def decoded(self, ids: list[int]) -> str:
         """The text of a segment's ids: marks are spaces, and byte pieces are UTF-8."""
-        text = b"".join(bytes([self.bytes[i]]) if i in self.bytes else self.pieces[i].encode() for i in ids)
-        return text.decode(errors="replace").replace(SPACE_MARK, " ")
+        if self.bytes.keys().isdisjoint(ids):
+            return "".join([self.shown[i] for i in ids])
+        return b"".join(bytes([self.bytes[i]]) if i in self.bytes else self.shown[i].encode() for i in ids).decode(errors="replace")
 
     def __missing__(self, segment: str) -> tuple[int, str, str]:
         ids = self.encoded(segment)
@@ -109,14 +155,19 @@ class PieceCodec(dict):
 
     def check(self) -> None:
         """Encode and decode the segments met since the last check with the library, which
-        puts the space in front itself. A lone space holds nothing to merge."""
+        puts a space in front itself. A segment without one is checked behind a line end,
+        which no piece holds with another character; a lone space holds nothing to merge."""
         some = [(s, ids) for s, ids in self.fresh if s != SPACE_MARK]
         self.fresh = []
         if not some:
             return
-        theirs = self.library.encode([s[1:] for s, _ in some], num_threads=1)
+        front = self.encoded(f"{SPACE_MARK}\n")
+        theirs = self.library.encode([s[1:] if s[0] == SPACE_MARK else f"\n{s}" for s, _ in some], num_threads=1)
         texts = self.library.decode(theirs, num_threads=1)
-        self.odd |= {s for (s, ids), other, text in zip(some, theirs, texts, strict=True) if ids != other or self[s][2][1:] != text}
+        for (s, ids), other, text in zip(some, theirs, texts, strict=True):
+            spaced = s[0] == SPACE_MARK
+            if (ids if spaced else front + ids) != other or (self[s][2][1:] if spaced else f"\n{self[s][2]}") != text:
+                self.odd.add(s)
 
     def forget(self) -> None:
         if len(self) > REMEMBERED:
