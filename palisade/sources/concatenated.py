@@ -1,91 +1,230 @@
-r"""Files holding JSON values one after the other: several on a line, or one
-over many lines, with broken text in between.
-
-Inside a JSON value, a line break always has a structural character next to it:
-the line before ends in one of { [ , : or the line after starts with one of
-} ] , : . Between two values neither holds. On one line a value ends at a } that
-is followed by anything but , ] }. So values are found from neighbouring
-lines alone, and a file of any size is cut block by block. Broken text can end up
-together with the values next to it; such a piece is not one value and is cut again
-where objects open and close, so that a broken record does not take its neighbours
-with it. A value is taken only if nothing follows it.
+r"""Files holding JSON values one after the other: several on a line, or one over many
+lines, with broken text in between.
+
+Strings, numbers and words of JSON never reach over a line break, so each line is reduced
+to its tokens by itself. Two neighbouring lines of one value go together: what follows the
+last token of one must be allowed there. Where it is not, or where a line holds something
+that is no token, the text is cut; no value reaches over a cut. Blocks of a file find their
+cuts apart, and a row for each block carries the last one on to the next.
+
+A line alone between two cuts is a value or broken text as it stands. Lines that stay
+together pass an automaton with a stack of open brackets, which finds the values that begin
+and end with a line, the outermost of those that are whole. What it does not find stays
+broken text, line by line: an object that is never closed does not take those after it
+along, and broken text is never gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import let
-from .raw import CUT, one_value, value_pieces
+from .raw import one_value, value_pieces
 
-def scan_concatenated(spark: SparkSession, paths: str | list[str], glob: str = "*.{gz,json,jsonl,log}") -> DataFrame:
-    """Rows (path, position, value): one JSON value, or one run of broken text, each."""
+#: deeper values are not read by the parsers behind this
+MAX_DEPTH = 500
+# Control characters cannot stand outside of strings, so they are free as marks.
+STRING, SCALAR, OTHER = "\x01", "\x02", "\x03"
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+_SCALAR = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+|true|false|null"
+_TOKENS = "{}[],:" + STRING + SCALAR
+
+#: what may follow a token inside a value
+FOLLOWS = {
+    "{": STRING + "}", "[": STRING + SCALAR + "{[]", ",": STRING + SCALAR + "{[", ":": STRING + SCALAR + "{[",
+    "}": ",]}", "]": ",]}", STRING: ",]}:", SCALAR: ",]}",
+}
+
+
+def tokens(line: Column) -> Column:
+    """A line with each string and each scalar as one mark, without spaces; what is no
+    token stays as it is."""
+    marked = F.regexp_replace(F.translate(line, STRING + SCALAR, OTHER * 2), _STRING, STRING)
+    return F.regexp_replace(F.regexp_replace(marked, _SCALAR, SCALAR), r"[ \t\r\n]+", "")
+
+
+def _may_follow(last: Column, first: Column) -> Column:
+    pairs = [a + b for a, after in FOLLOWS.items() for b in after]
+    return F.coalesce(F.concat(last, first).isin(pairs), F.lit(False))
+
+
+def scan_units(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame:
+    """path, block, position, text, tokens (null for a whole value on one line), first, last:
+    lines, cut where a value on them ends and other text follows. Positions grow along the
+    file: a block's first byte and the number of the unit in it, which is smaller than the
+    block is long."""
     lines = spark.read.text(paths, pathGlobFilter=glob, recursiveFileLookup=True).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        F.rtrim(F.regexp_replace("value", "[\r\t]", " ")).alias("text"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), F.trim(F.regexp_replace("value", "[\r\t]", " ")).alias("text"),
     ).where(F.col("text") != "")
+    closed = F.col("text").startswith("{") & F.col("text").endswith("}")
+    whole = lines.withColumn("whole", F.coalesce(F.when(closed, one_value("text").isNotNull()), F.lit(False)))
+    pieces = F.when(F.col("whole"), F.array("text")).otherwise(value_pieces(F.col("text")))
+    cut = whole.select("path", "block", "line", F.posexplode(pieces).alias("nth", "piece"), "whole").withColumn("text", F.trim("piece")).where(F.col("text") != "")
+    known = cut.withColumn("tokens", F.when(~F.col("whole"), tokens(F.col("text"))))
+    bad = F.length(F.translate("tokens", _TOKENS, "")) > 0
+    at = lambda text: F.when(F.col("whole"), F.lit(text)).when(~bad, F.substring("tokens", 1, 1) if text == "{" else F.expr("right(tokens, 1)"))
+    order = Window.partitionBy("path", "block").orderBy("line", "nth")
+    return known.select("path", "block", "line", "nth", "text", "tokens", at("{").alias("first"), at("}").alias("last")).select(
+        "path", "block", (F.col("block") + F.row_number().over(order) - 1).alias("position"), "text", "tokens", "first", "last",
+        # pieces of one line are cut from each other
+        (F.col("nth") > 0).alias("inner"),
+    )
+
 
-    in_block = Window.partitionBy("path", "block").orderBy("line")
+def runs(units: DataFrame) -> DataFrame:
+    """units with `run`, the position of the last cut before each, and `alone`, whether its
+    run is this unit only and what it is shows without reading it. A block's rows decide among themselves; one row of each block says
+    how it begins, how it ends and where its last cut is."""
+    here = Window.partitionBy("path", "block").orderBy("position")
     by_file = Window.partitionBy("path").orderBy("block")
-    opens = ~(F.col("before").isin("{", "[", ",", ":") | F.col("head").isin("}", "]", ",", ":"))
-    cut = (
-        lines.withColumns({"head": F.substring(F.ltrim("text"), 1, 1), "tail": F.expr("right(text, 1)"), "parts": value_pieces(F.col("text"))})
-        .withColumn("before", F.lag("tail").over(in_block))
-        # null on the first line of a block, where the block before decides
-        .withColumn("starts", F.when(opens, 1).otherwise(F.when(F.col("before").isNotNull(), 0)))
-        .withColumn("in_line", F.coalesce("starts", F.lit(0)) + F.size("parts") - 1)
-        .withColumn("through", F.sum("in_line").over(in_block))
-    )
-    # one small row per block: what it begins and ends with and how many values start in it
-    blocks = cut.groupBy("path", "block").agg(
-        F.min_by("head", "line").alias("head"), F.max_by("tail", "line").alias("tail"), F.sum("in_line").alias("inside")
-    )
-    opening = blocks.withColumn("before", F.lag("tail").over(by_file)).withColumn(
-        "opening", F.when(F.col("before").isNull() | opens, 1).otherwise(0)
-    )
-    earlier = F.sum(F.col("inside") + F.col("opening")).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = opening.select("path", "block", "opening", F.coalesce(earlier, F.lit(0)).alias("offset"))
-    # number of the value the first part of a line belongs to
-    first = F.col("offset") + F.col("opening") + F.col("through") - F.col("in_line") + F.coalesce("starts", F.lit(0))
-    placed = cut.join(offsets, ["path", "block"]).select(
-        "path", "block", "line", first.alias("base"), F.posexplode("parts").alias("nth", "part")
-    )
-    values = placed.groupBy("path", (F.col("base") + F.col("nth")).alias("position")).agg(
-        F.array_sort(F.collect_list(F.struct("block", "line", "nth", "part"))).alias("lines")
+    joined = ~F.col("inner") & _may_follow(F.lag("last").over(here), F.col("first"))
+    is_head = F.lag("position").over(here).isNull()
+    placed = units.withColumns({"head": is_head, "cut": F.when(is_head, F.lit(None).cast("boolean")).otherwise(~joined)})
+    # the longest text is there so that both uses of the rows read the same columns of one exchange
+    blocks = placed.groupBy("path", "block").agg(
+        F.min_by("first", "position").alias("opens"), F.min("position").alias("from"), F.max_by("last", "position").alias("ends"),
+        F.max(F.when(F.col("cut"), F.col("position"))).alias("last_cut"), F.max(F.length("text") + F.coalesce(F.length("tokens"), F.lit(0))).alias("longest"),
     )
-    whole = values.select("path", "position", F.array_join(F.col("lines.part"), "\n").alias("whole"))
-    rows = whole.select("path", "position", F.col("whole").alias("value"), one_value("whole").isNotNull().alias("ok"))
-    for skip in (0, 1, 1):
-        parts = F.when(F.col("ok"), F.array("value")).otherwise(_cut_lines(F.col("value"), skip))
-        again = rows.select("path", "position", "ok", F.explode(parts).alias("value"))
-        rows = again.withColumn("ok", F.when(F.col("ok"), True).otherwise(one_value("value").isNotNull()))
-    return rows.select("path", "position", "value").where(F.trim("value") != "")
-
-
-def _cut_lines(value: Column, skip: int) -> Column:
-    """Text that is not one value, cut before every line that opens an object with the
-    least indentation of such lines, and after every line that closes one with the least
-    indentation of those; the first `skip` lines open nothing. Each line is looked at a
-    few times, however long the text."""
-    indent = lambda x: F.length(x) - F.length(F.ltrim(x))
-    opens = lambda x: F.ltrim(x).startswith("{")
-    closes = lambda x: F.ltrim(x).startswith("}")
-
-    def cut(lines: Column) -> Column:
-        least = F.struct(
-            F.array_min(F.transform(lines, lambda x, i: F.when(opens(x) & (i >= skip), indent(x)))).alias("open"),
-            F.array_min(F.transform(lines, lambda x: F.when(closes(x), indent(x)))).alias("close"),
-        )
-
-        def marked(m: Column) -> Column:
-            one_line = lambda x: opens(x) & F.rtrim(x).endswith("}") & (indent(x) == m["open"])
-            ended = lambda x: (closes(x) & (indent(x) == m["close"])) | one_line(x)
-            begins = lambda x, i: (i > 0) & ((opens(x) & (i >= skip) & (indent(x) == m["open"])) | ended(F.get(lines, i - 1)))
-            return F.array_join(F.transform(lines, lambda x, i: F.when(begins(x, i), F.concat(F.lit(CUT), x)).otherwise(x)), "\n")
-
-        return let(least, lambda m: F.when(m["open"].isNull(), F.array(value)).otherwise(F.split(marked(m), "\n" + CUT)))
-
-    return let(F.split(value, "\n", -1), cut)
+    begun = blocks.withColumn("head_cut", ~_may_follow(F.lag("ends").over(by_file), F.col("opens")))
+    carried = F.last(F.coalesce("last_cut", F.when(F.col("head_cut"), F.col("from"))), True)
+    edges = begun.select(
+        "path", "block", "head_cut", carried.over(by_file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"),
+        F.coalesce(F.lead("head_cut").over(by_file), F.lit(True)).alias("next_cut"), "longest",
+    ).where(F.col("longest") > 0)
+    known = placed.join(edges, ["path", "block"]).withColumn("cut", F.when(F.col("head"), F.col("head_cut")).otherwise(F.col("cut")))
+    last = F.last(F.when(F.col("cut"), F.col("position")), True).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    ends = F.coalesce(F.lead("cut").over(here), F.col("next_cut"))
+    plain = F.col("tokens").isNull() | ~F.coalesce(F.col("first").isin("{", "["), F.lit(False))
+    return known.select("path", F.coalesce(last, "carried").alias("run"), "position", "text", "tokens", (F.col("cut") & ends & plain).alias("alone"))
+
+
+class Automaton:
+    """Reads the units of one run and keeps the intervals of units that are whole values.
+
+    A frame of the stack is an open bracket: its kind, what it waits for and the unit it
+    begins, if it stands first in one. `found` holds whole values that lie in no other."""
+
+    # what a frame waits for: a key or the end, a key, a colon, a value, a value or the end, a comma or the end
+    KEY_OR_END, KEY, COLON, VALUE, VALUE_OR_END, COMMA = range(6)
+
+    def __init__(self) -> None:
+        self.stack: list[list] = []
+        #: first unit, last unit, and how many tokens of the last stand behind the value
+        self.found: list[tuple[int, int, int]] = []
+
+    def done(self) -> list[tuple[int, int, int]]:
+        """What has been found, once nothing can enclose it any more."""
+        out, self.found, self.stack = self.found, [], []
+        return out
+
+    def _complete(self, start: int | None, end: int, left: int) -> None:
+        if start is not None:
+            while self.found and self.found[-1][0] >= start:
+                self.found.pop()
+            self.found.append((start, end, left))
+
+    def _take(self, unit: int, token: str, place: int, left: int) -> bool:
+        """Go on by one token of a unit, with `left` tokens behind it; False if it cannot
+        stand here."""
+        top = self.stack[-1] if self.stack else None
+        if token in "{[":
+            if top is None and place or top is not None and top[1] not in (self.VALUE, self.VALUE_OR_END) or len(self.stack) >= MAX_DEPTH:
+                return False
+            if top is not None:
+                top[1] = self.COMMA
+            self.stack.append([token, self.KEY_OR_END if token == "{" else self.VALUE_OR_END, None if place else unit])
+            return True
+        if top is None:
+            return False
+        kind, waits, start = top
+        if token in "}]":
+            if kind != ("{" if token == "}" else "[") or waits not in (self.COMMA, self.KEY_OR_END, self.VALUE_OR_END):
+                return False
+            self.stack.pop()
+            self._complete(start, unit, left)
+            return True
+        if token == ",":
+            top[1] = self.KEY if kind == "{" else self.VALUE
+            return waits == self.COMMA
+        if token == ":":
+            top[1] = self.VALUE
+            return waits == self.COLON
+        if waits in (self.KEY, self.KEY_OR_END):
+            top[1] = self.COLON
+            return token == STRING
+        top[1] = self.COMMA
+        return waits in (self.VALUE, self.VALUE_OR_END)
+
+    def _take_value(self, unit: int) -> bool:
+        """Go on by a whole value."""
+        if self.stack:
+            if self.stack[-1][1] not in (self.VALUE, self.VALUE_OR_END):
+                return False
+            self.stack[-1][1] = self.COMMA
+        self._complete(unit, unit, 0)
+        return True
+
+    def read(self, unit: int, text: str | None) -> Iterator[tuple[int, int, int]]:
+        """Read a unit (None: a whole value) and give the values that are certain by now. A
+        unit that cannot stand where it is ends all that is open and is tried by itself."""
+        while True:
+            clean = not self.stack
+            if self._take_value(unit) if text is None else all(self._take(unit, t, i, len(text) - 1 - i) for i, t in enumerate(text)):
+                break
+            yield from (out := self.done())
+            if clean or out and out[-1][1] == unit:
+                break
+        if not self.stack:
+            yield from self.done()
+
+
+def find_values(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The units of each run in order, and for each whole value a row `until` at its first
+    unit. A run passes through without being held; only unit numbers wait for its end."""
+    machine, current = Automaton(), None
+    for frame in frames:
+        marks: list[tuple] = []
+        for path, run, position, text in zip(frame["path"], frame["run"], frame["position"], frame["tokens"], strict=True):
+            if (path, run) != current:
+                marks += [(*current, *m) for m in machine.done()] if current else []
+                current = (path, run)
+            marks += [(path, run, *m) for m in machine.read(position, text)]
+        yield frame[["path", "run", "position", "text"]].assign(until=pd.array([None] * len(frame), "Int64"), left=pd.array([None] * len(frame), "Int64"))
+        yield _marks(marks)
+    if current:
+        yield _marks([(*current, *m) for m in machine.done()])
+
+
+def _marks(rows: list[tuple]) -> pd.DataFrame:
+    found = pd.DataFrame(rows, columns=["path", "run", "position", "until", "left"])
+    return found.assign(text=None)[["path", "run", "position", "text", "until", "left"]].astype({"run": "int64", "position": "int64", "until": "Int64", "left": "Int64"})
+
+
+def scan_concatenated(spark: SparkSession, paths: str | list[str], glob: str = "*.{gz,json,jsonl,log}") -> DataFrame:
+    """Rows (path, position, value): one JSON value, or one line (or what is left of it) of
+    broken text, each, at the place where it begins. A value is found if it begins a line or
+    follows a value on its line; what stands behind it up to the next break of the line and
+    is more than a comma is a row of its own."""
+    known = runs(scan_units(spark, paths, glob))
+    single = known.where("alone").select("path", "position", F.col("text").alias("value"))
+    many = known.where("not alone").select("path", "run", "position", "text", "tokens")
+    ordered = many.repartition("path", "run").sortWithinPartitions("path", "run", "position")
+    marked = ordered.mapInPandas(find_values, "path string, run bigint, position bigint, text string, until bigint, left int")
+    # a mark comes before the unit at which its value begins
+    order = Window.partitionBy("path", "run").orderBy("position", F.col("until").isNull())
+    back = lambda c: F.last(c, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = marked.withColumns({"start": back(F.when(F.col("until").isNotNull(), F.col("position"))), "end": back("until"), "left": back("left")}).where("text is not null")
+    inside = F.coalesce(F.col("position") <= F.col("end"), F.lit(False))
+    start, left = F.when(inside, F.col("start")).otherwise(F.col("position")), F.when(inside & (F.col("position") == F.col("end")), F.col("left")).otherwise(0)
+    # the tokens behind the value, from the end of its last line
+    behind = F.when(left > 0, F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(f"((?:(?:{_STRING}|{_SCALAR}|[{{}}\\[\\],:])\\s*){{"), left.cast("string"), F.lit("})$")), F.lit(1))).otherwise("")
+    labelled = placed.select("path", "run", start.alias("start"), "position", "text", behind.alias("behind"))
+    values = labelled.groupBy("path", "run", "start").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("lines"), F.max("behind").alias("behind"))
+    whole = F.array_join("lines.text", "\n")
+    pieces = F.array(F.expr("rtrim(left(whole, length(whole) - length(behind)))"), F.col("behind"))
+    gathered = values.select("path", F.col("start").alias("position"), whole.alias("whole"), "behind").select("path", "position", F.explode(pieces).alias("value"))
+    return single.unionByName(gathered.where(~F.trim("value").isin("", ",")))

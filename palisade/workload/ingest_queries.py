@@ -63,12 +63,13 @@ def scan_jsonl(s, d):
 @query("scan_concat_json", NORM)
 def scan_concat_json(s, d):
     """Objects over many lines, the next one right behind the last brace, with
-    broken text between some of them."""
+    broken text between some of them, indented more and less than they are."""
     k = F.col("k")
     lines = F.replace("value", F.lit(',"'), F.lit(',\n  "'))
     broken = (
         F.when(k % 10 == 3, "\nnot json\n").when(k % 10 == 4, '\n{"cut": 1, "a\n').when(k % 10 == 5, "\nends with,\n")
-        .when(k % 10 == 6, " \n\n").otherwise("")
+        .when(k % 10 == 6, " \n\n").when(k % 10 == 7, '\n    {"open": [\n        {"x": 1,\n')
+        .when(k % 10 == 8, '\n{"list": [\n  {"y": \n]\n').otherwise("")
     )
     path = text_files(s, v.raw_logs(s, d).select(F.concat(lines, broken).alias("value")), "concat", lineSep=" ")
     return normalized(raw.decode_lines(concatenated.scan_concatenated(s, path, "part-*")))
