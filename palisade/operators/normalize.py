@@ -18,9 +18,10 @@ def request_field(name: str) -> Column:
     return records.first_filled(field(f"$.httpRequest.{name}"), field(f"$.{name}"))
 
 
-def normalize_logs(decoded: DataFrame, default_time: Column | None = None) -> DataFrame:
+def normalize_logs(decoded: DataFrame, default_time: Column | None = None, as_of: Column | None = None) -> DataFrame:
     """One row per valid record. Rows whose time is missing or unreadable keep a
-    null time (see `split_rejects`) unless a default is given.
+    null time (see `split_rejects`) unless a default is given. With a moment, the time of
+    load is a column created_at.
 
     The fields are taken out in two struct casts, one per level, with scalars as
     text: text takes any value, so one odd field cannot void its neighbours."""
@@ -60,7 +61,7 @@ def normalize_logs(decoded: DataFrame, default_time: Column | None = None) -> Da
         "raw_log": F.col("raw_log"),
     }
     named = both.select(*[c.alias(n) for n, c in columns.items()], *kept)
-    return named.withColumn("user_agent", records.user_agent("request_headers")).select(*schemas.LOG_COLUMNS, *kept)
+    return named.withColumn("user_agent", records.user_agent("request_headers")).select(*schemas.LOG_COLUMNS, *kept, *([] if as_of is None else [as_of.alias("created_at")]))
 
 
 def present(name: str) -> Column:

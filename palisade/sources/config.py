@@ -23,16 +23,16 @@ def scan_acl_config(spark: SparkSession, paths: str | list[str], scope: str) ->
     return spark.read.schema(schemas.ACL_CONFIG).json(paths).withColumn("Scope", F.lit(scope))
 
 
-def read_acl_text(texts: DataFrame, scope: Column) -> DataFrame:
+def read_acl_text(texts: DataFrame, scope: Column, *kept: str) -> DataFrame:
     """The same from one dump per row in column `value`."""
     parsed = F.from_json("value", schemas.ACL_CONFIG)
-    return texts.select(parsed.alias("c"), scope.alias("Scope")).select("c.*", "Scope")
+    return texts.select(parsed.alias("c"), scope.alias("Scope"), *kept).select("c.*", "Scope", *kept)
 
 
-def extract_rules(acls: DataFrame) -> DataFrame:
+def extract_rules(acls: DataFrame, *kept: str) -> DataFrame:
     """One row per rule, with its place in the dump, its type and, for managed
     groups, vendor, name and version."""
-    rules = acls.select(F.col("Id").alias("web_acl_id"), F.posexplode("Rules").alias("position", "r"))
+    rules = acls.select(F.col("Id").alias("web_acl_id"), F.posexplode("Rules").alias("position", "r"), *kept)
     group = "$.ManagedRuleGroupStatement"
     return rules.select(
         "web_acl_id",
@@ -46,6 +46,7 @@ def extract_rules(acls: DataFrame) -> DataFrame:
         F.get_json_object("r.Statement", f"{group}.VendorName").alias("vendor_name"),
         F.get_json_object("r.Statement", f"{group}.Name").alias("group_name"),
         F.get_json_object("r.Statement", f"{group}.Version").alias("group_version"),
+        *kept,
     )
 
 

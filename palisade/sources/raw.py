@@ -37,9 +37,12 @@ def _mark_ends(text: Column, is_last: Column) -> Column:
 
 
 def value_pieces(line: Column) -> Column:
-    """A line cut where a value ends and another text begins. Most lines show
-    none of that, in a string or out of it, and stay as they are."""
-    candidate = F.regexp_like(line, F.lit(r"\}\s*[^\s,\]}]"))
+    """A line cut where a value ends and another text begins. Most lines show none of that
+    outside of strings and stay as they are; strings are left out by one pass of a pattern
+    that never turns back, and only where the whole line shows it at all."""
+    seam = F.lit(r"\}\s*[^\s,\]}]")
+    bare = F.regexp_replace(line, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "0")
+    candidate = F.regexp_like(line, seam) & F.regexp_like(bare, seam)
     return F.when(candidate, F.split(_outside(line, _mark_ends), CUT)).otherwise(F.array(line))
 
 

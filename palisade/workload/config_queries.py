@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arns, labels
-from ..operators import append, costs, inventory, metrics, quality, upsert
+from ..operators import append, costs, inventory, metrics, quality, store, upsert
+from ..session import scratch_path
 from ..sources import config, tables
 from . import views as v
 from .registry import pct2_sql, query
@@ -49,7 +51,6 @@ def extract_rules(s, d):
 FROM v_rules GROUP BY 1""")
 def scan_acl_config(s, d):
     from ..operators.sinks import write_raw
-    from ..session import scratch_path
 
     path = scratch_path(s, "acl-dumps")
     write_raw(acl_dump(s, d), path)
@@ -112,40 +113,87 @@ def parse_bucket_arn(s, d):
     return stores.select("config_id", arns.bucket("destination_arn").alias("b")).select("config_id", "b.bucket", "b.prefix")
 
 
-# upserts: the first batch is the table itself, the second a changed copy of its rows
-def acl_batches(s, d):
-    acls = v.acls(s, d).withColumn("created_at", F.timestamp_seconds(F.lit(1000))).withColumn("updated_at", F.col("created_at"))
-    again = acls.where(F.col("capacity") > 2000).withColumns({
-        "capacity": F.col("capacity") + 1, "created_at": F.timestamp_seconds(F.lit(2000)), "updated_at": F.timestamp_seconds(F.lit(2000)),
-    })
-    return acls.withColumn("version", F.lit(1)), again.withColumn("version", F.lit(2))
+# upserts: a dump is stored, then one with changed, new and repeated rows is merged into it
+FIRST, SECOND = F.timestamp_seconds(F.lit(1000)), F.timestamp_seconds(F.lit(2000))
+LOADED = "to_timestamp(CASE WHEN {second} THEN 2000 ELSE 1000 END)::TIMESTAMP"
+
+
+def stored(s, table: str, *batches) -> DataFrame:
+    """The stored table after the batches, each a version of its own."""
+    path, (key, kept) = scratch_path(s, table), upsert.TABLES[table]
+    for rows in batches:
+        store.merge(rows, path, key, keep_first=kept, within=[c for c in upsert.ORDER if c in rows.columns])
+    return store.read(s, path)
 
 
-@query("upsert_web_acls", """SELECT web_acl_id, name, scope, default_action, CASE WHEN capacity > 2000 THEN capacity + 1 ELSE capacity END AS capacity,
-  to_timestamp(1000)::TIMESTAMP AS created_at, to_timestamp(CASE WHEN capacity > 2000 THEN 2000 ELSE 1000 END)::TIMESTAMP AS updated_at FROM v_acls""")
+@query("upsert_web_acls", f"""SELECT web_acl_id, name, scope, default_action, CASE WHEN again THEN 'again' ELSE '' END AS description, '{{}}' AS visibility_config,
+  capacity + CASE WHEN again THEN 2 WHEN second THEN 1 ELSE 0 END AS capacity, k % 7 = 0 AS managed_by_firewall_manager,
+  {LOADED.format(second="k % 5 = 0")} AS created_at, {LOADED.format(second="second")} AS updated_at
+FROM (SELECT *, second AND k % 3 = 0 AS again FROM (SELECT *, k % 5 = 0 OR capacity > 2000 AS second FROM (SELECT *, CAST(substr(web_acl_id, 5) AS BIGINT) AS k FROM v_acls)))""")
 def upsert_web_acls(s, d):
-    old, new = acl_batches(s, d)
-    return upsert.upsert(old, new, "web_acl_id", ["version"], keep_first=["created_at"]).drop("version")
+    k = F.substring("web_acl_id", 5, 20).cast("bigint")
+
+    def dump(rows, more, description, position):
+        text = F.concat(
+            F.lit('{"Id":"'), F.col("web_acl_id"), F.lit('","Name":"'), F.col("name"), F.lit('","Capacity":'), (F.col("capacity") + more).cast("string"),
+            F.lit(',"DefaultAction":'), F.when(F.col("default_action") == "NONE", '"NONE"').otherwise(F.col("default_action")), F.lit(description),
+            F.when(k % 7 == 0, ',"ManagedByFirewallManager":true').otherwise(""), F.lit("}"),
+        )
+        texts = rows.select(text.alias("value"), "scope", F.lit(position).alias("position"))
+        return config.read_acl_text(texts, F.col("scope"), "position")
+
+    acls = v.acls(s, d)
+    second = acls.where((k % 5 == 0) | (F.col("capacity") > 2000))
+    changed = dump(second, 1, "", 0).unionByName(dump(second.where(k % 3 == 0), 2, ',"Description":"again"', 1))
+    return stored(s, "web_acls", upsert.acl_rows(dump(acls.where(k % 5 != 0), 0, "", 0), FIRST), upsert.acl_rows(changed, SECOND))
 
 
-@query("upsert_rules", """SELECT rule_id, arg_max(web_acl_id, p_partkey) AS web_acl_id, arg_max(rule_type, p_partkey) AS rule_type, arg_max(priority, p_partkey) AS priority
-FROM (SELECT web_acl_id || '_' || CASE WHEN p_partkey % 2 = 0 THEN name ELSE 'unknown' END AS rule_id, web_acl_id, rule_type, priority, p_partkey FROM v_rules) GROUP BY 1""")
+@query("upsert_rules", f"""SELECT web_acl_id || '_' || CASE WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE name END AS rule_id, web_acl_id, arg_max(CASE WHEN p_partkey % 7 = 0 THEN '' ELSE name END, o) AS name,
+  arg_max(priority + CASE WHEN second THEN 1000 ELSE 0 END, o) AS priority, arg_max(rule_type, o) AS rule_type, arg_max(CASE WHEN action IN ('', '{{bad') THEN '{{}}' ELSE action END, o) AS action,
+  '{{"MetricName":"m"}}' AS visibility_config, arg_max(statement, o) AS statement, {LOADED.format(second="bool_or(second)")} AS created_at
+FROM (SELECT *, p_partkey + CASE WHEN second THEN 1000000000000 ELSE 0 END AS o FROM (SELECT *, p_partkey % 2 = 0 OR p_partkey % 6 = 1 AS second FROM v_rules)) GROUP BY 1, 2""")
 def upsert_rules(s, d):
-    nameless = F.when(F.col("position") % 2 == 0, F.col("name"))
-    batch = v.rules(s, d).withColumn("rule_id", upsert.rule_key("web_acl_id", nameless))
-    return upsert.upsert(None, batch, "rule_id", ["position"]).select("rule_id", "web_acl_id", "rule_type", "priority")
+    """Every dump lists its rule twice, the last with another priority; nameless rules of
+    one ACL share a key, and the later dump counts."""
+    k = F.col("position")
+    escaped = F.when(F.col("action").isin("", "{bad"), F.lit("{}")).otherwise(F.col("action"))
+
+    def dump(rows, more):
+        name = F.when(k % 7 != 0, F.concat(F.lit('"Name":"'), F.col("name"), F.lit('",'))).otherwise("")
+        rule = lambda priority: F.concat(
+            F.lit("{"), name, F.lit('"Priority":'), priority.cast("string"), F.lit(',"Action":'), escaped, F.lit(',"Statement":'), F.col("statement"),
+            F.lit(',"VisibilityConfig":{"MetricName":"m"}}'))
+        rules = F.concat(rule(F.lit(7)), F.lit(","), rule(F.col("priority") + more))
+        text = F.concat(F.lit('{"Id":"'), F.col("web_acl_id"), F.lit('","Rules":['), rules, F.lit("]}"))
+        texts = rows.select(text.alias("value"), k.alias("dump"))
+        return config.extract_rules(config.read_acl_text(texts, F.lit("REGIONAL"), "dump"), "dump")
+
+    rules = v.rules(s, d)
+    first, second = rules.where(k % 6 != 1), rules.where((k % 2 == 0) | (k % 6 == 1))
+    return stored(s, "rules", upsert.rule_rows(dump(first, 0), FIRST), upsert.rule_rows(dump(second, 1000), SECOND))
 
 
-@query("upsert_resources", "SELECT association_id, web_acl_id, resource_arn, CASE WHEN resource_type = 'ALB' THEN 'LB' ELSE resource_type END AS resource_type FROM v_resources")
+@query("upsert_resources", f"""SELECT association_id, web_acl_id, resource_arn, CASE WHEN c_custkey % 3 = 0 THEN 'LB' ELSE resource_type END AS resource_type,
+  {LOADED.format(second="c_custkey % 3 = 0 OR c_custkey % 4 = 0")} AS created_at FROM v_resources""")
 def upsert_resources(s, d):
-    old = v.resources(s, d).withColumn("version", F.lit(1))
-    new = old.where(F.col("resource_type") == "ALB").withColumn("resource_type", F.lit("LB")).withColumn("version", F.lit(2))
-    return upsert.upsert(old, new, "association_id", ["version"]).drop("version")
+    rows = v.resources(s, d).withColumns({"k": F.regexp_extract("resource_arn", "([0-9]+)$", 1).cast("bigint"), "position": F.lit(0)})
+    k = F.col("k")
+    second = rows.where((k % 3 == 0) | (k % 4 == 0))
+    repeated = second.unionByName(second.where(k % 3 == 0).withColumns({"resource_type": F.lit("LB"), "position": F.lit(1)}))
+    return stored(s, "resource_associations", upsert.resource_rows(rows.where(k % 4 != 0), FIRST), upsert.resource_rows(repeated, SECOND))
+
+
+REDACTED = '[{"SingleHeader":{"Name":"cookie"}}]'
 
 
-@query("upsert_logging", "SELECT config_id, web_acl_id, destination_type, destination_arn, log_format, sampling_rate FROM v_logging")
+@query("upsert_logging", f"""SELECT config_id, web_acl_id, destination_type, destination_arn, CASE WHEN second THEN 'TEXT' ELSE log_format END AS log_format, sampling_rate,
+  CASE WHEN second THEN '{REDACTED}' ELSE '[]' END AS redacted_fields, {LOADED.format(second="second")} AS created_at
+FROM (SELECT *, k % 2 = 0 OR k % 5 = 0 AS second FROM (SELECT *, CAST(substr(web_acl_id, 5) AS BIGINT) AS k FROM v_logging))""")
 def upsert_logging(s, d):
-    return v.logging(s, d).drop("position")
+    k = F.substring("web_acl_id", 5, 20).cast("bigint")
+    dump = v.logging_dump(s, d)
+    second = dump.where((k % 2 == 0) | (k % 5 == 0)).withColumns({"log_format": F.lit("TEXT"), "redacted_fields": F.lit(REDACTED)})
+    return stored(s, "logging_configurations", upsert.logging_rows(dump.where(k % 5 != 0), FIRST), upsert.logging_rows(second.unionByName(second), SECOND))
 
 
 @query("table_stats", " UNION ALL ".join(f"SELECT '{n}' AS table_name, {N} AS row_count FROM {t}" for n, t in

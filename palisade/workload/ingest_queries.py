@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arns, labels, records, times
 from ..functions.numbers import count_when
-from ..operators import append, metrics, normalize, quality, sinks
+from ..operators import append, metrics, normalize, quality, sinks, store
 from ..operators.ordering import number_rows
 from ..session import scratch_path
 from ..sources import concatenated, events, paths, raw, tables
@@ -47,9 +47,10 @@ def quoted(text: Column) -> Column:
 
 
 # decoding
-@query("normalize_logs", NORM)
+@query("normalize_logs", NORM.replace(" FROM", ", to_timestamp(1000)::TIMESTAMP AS created_at FROM"))
 def normalize_logs(s, d):
-    return normalized(raw.decode_lines(v.raw_logs(s, d)))
+    loaded = normalize.normalize_logs(raw.decode_lines(v.raw_logs(s, d)), as_of=F.timestamp_seconds(F.lit(1000)))
+    return loaded.select(*FIELDS, "created_at")
 
 
 @query("scan_jsonl", NORM)
@@ -465,6 +466,20 @@ def retention_filter(s, d):
     return kept.agg(metrics.n_rows().alias("kept"), F.min("timestamp").alias("oldest"))
 
 
+@query("retain_days", """SELECT 'kept' AS part, CAST(log_id AS BIGINT) AS n FROM v_logs WHERE timestamp >= TIMESTAMP '2024-01-21 12:00:00'
+UNION ALL SELECT 'days written again', 1""")
+def retain_days(s, d):
+    """Days stored, expired and read back. Of the days that stay only that of the boundary
+    has files of the second version."""
+    path, as_of = scratch_path(s, "days"), datetime(2024, 1, 31, 12)
+    store.append_days(v.logs(s, d).select("log_id", "timestamp", "action"), path)
+    store.retain_days(s, path, as_of, 10)
+    again = F.input_file_name().contains(f"{store.VERSION}=1")
+    rows = store.read(s, path).withColumn("again", again)
+    days = rows.where("again").agg(F.count_distinct(F.to_date("timestamp")).alias("n"))
+    return rows.select(F.lit("kept").alias("part"), F.col("log_id").alias("n")).union(days.select(F.lit("days written again"), "n"))
+
+
 @query("number_traffic", """SELECT web_acl_id, timestamp, client_ip, CAST(row_number() OVER (PARTITION BY web_acl_id ORDER BY timestamp, client_ip) AS BIGINT) AS position
 FROM (SELECT DISTINCT web_acl_id, timestamp, client_ip FROM v_traffic)""")
 def number_traffic(s, d):

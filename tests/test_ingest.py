@@ -130,6 +130,13 @@ def test_values_in_any_broken_text(spark, lines):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_braces_in_strings_cut_nothing(spark):
+    """Lines whose strings look like seams stay whole and skip the slow cutter."""
+    values = ['{"s": "} x {", "t": "a\\\\"}', '{"s": "\\"} x"}', '{"s":"} {"}{"n":"} x"}', '{"open": "} x', '{"a":1} "} x"']
+    cut = texts(spark, values).select(raw.value_pieces(F.col("value")).alias("p")).collect()
+    assert [len(r.p) for r in cut] == [1, 1, 2, 1, 2]
+
+
 def test_concatenated_reads_once(spark, lines):
     folder = lines({"a.log": '{"n":\n1}\n{"n":2}\n'})
     values = concatenated.scan_concatenated(spark, folder)

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.functions import arns, labels
-from palisade.operators import append, filters, inventory, normalize, ordering, quality, sinks, upsert
+from palisade.operators import append, filters, inventory, normalize, ordering, quality, sinks, store, upsert
 from palisade.plans import prompts, responses
 from palisade.session import CHECKPOINT_CONF, shared_dir
+from palisade.sources import raw
 from palisade.streaming import logs as st
 
 
@@ -331,5 +332,115 @@ def test_config_stream_keeps_the_latest(spark, tmp_path):
         (source / f"v{v}.json").write_text("\n".join(json.dumps({"k": f"r{i}", "v": v, "value": f"{v}-{i}"}) for i in range(v, 5)))
     stream = spark.readStream.schema("k string, v int, value string").option("maxFilesPerTrigger", 1).json(str(source))
     st.upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), "k", ["v"]).awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "out" / "version=2")).collect()
+    rows = store.read(spark, str(tmp_path / "out")).collect()
     assert {r.k: r.value for r in rows} == {"r0": "0-0", "r1": "1-1", "r2": "2-2", "r3": "2-3", "r4": "2-4"}
+
+
+def files_of(folder):
+    return {str(f.relative_to(folder)): f.read_bytes() for f in (folder / "data").rglob("*.parquet")}
+
+
+def test_merge_writes_only_buckets_it_touches(spark, tmp_path):
+    path = str(tmp_path)
+    table = spark.createDataFrame([(f"k{i}", i, 0) for i in range(500)], "k string, v int, at int")
+    store.merge(table, path, "k", keep_first=["at"], buckets=32)
+    old = files_of(tmp_path)
+    change = spark.createDataFrame([("k7", -7, 1, 0), ("k7", -8, 1, 1), ("new", 1, 1, 0)], "k string, v int, at int, position int")
+    open_read = store.read(spark, path)
+    assert store.merge(change, path, "k", keep_first=["at"], buckets=32, within=["position"]) == 1
+    new = {n: b for n, b in files_of(tmp_path).items() if n not in old}
+    assert {n.split("/")[1] for n in new} == {"_version=1"} and 1 <= len({n.split("/")[2] for n in new}) <= 2
+    assert {n: b for n, b in files_of(tmp_path).items() if n in old} == old
+    rows = {r.k: (r.v, r.at) for r in store.read(spark, path).collect()}
+    assert len(rows) == 501 and rows["k7"] == (-8, 0) and rows["new"] == (1, 1) and rows["k8"] == (8, 0)
+    assert {r.k: r.v for r in store.read(spark, path, version=0).collect()}["k7"] == 7
+    # a reader that began before the change still has its files, until they are expired
+    assert open_read.count() == 500 and store.expire(spark, path, keep=2) == []
+    assert len(store.expire(spark, path, keep=1)) == len({n.split("/")[2] for n in new} - {None})
+    assert store.read(spark, path).count() == 501 and store.versions(spark, path) == [1]
+
+
+def test_a_repeated_merge_gives_the_same(spark, tmp_path):
+    path, rows = str(tmp_path), [(None, 0), *[(f"k{i}", i) for i in range(40)]]
+    first = spark.createDataFrame(rows, "k string, v int")
+    second = spark.createDataFrame([(None, 5), ("k3", 33)], "k string, v int")
+    for batch, version in ((first, 0), (second, 1), (second, 1), (second, 1)):
+        store.merge(batch, path, "k", version=version, buckets=8)
+    got = {r.k: r.v for r in store.read(spark, path).collect()}
+    assert got == dict(rows) | {None: 5, "k3": 33} and store.versions(spark, path) == [0, 1]
+    # what a write without its manifest leaves behind is not read
+    (tmp_path / "data" / "_version=2" / "_part=1").mkdir(parents=True)
+    assert store.versions(spark, path) == [0, 1] and store.read(spark, path).count() == 41
+
+
+def test_empty_batches_and_tables(spark, tmp_path):
+    empty = spark.createDataFrame([], "k string, v int")
+    store.merge(empty, str(tmp_path), "k")
+    assert store.read(spark, str(tmp_path)).collect() == []
+    store.merge(spark.createDataFrame([("a", 1)], "k string, v int"), str(tmp_path), "k")
+    store.merge(empty, str(tmp_path), "k")
+    assert [tuple(r) for r in store.read(spark, str(tmp_path)).collect()] == [("a", 1)]
+    with pytest.raises(ValueError):
+        store.read(spark, str(tmp_path / "nothing"))
+
+
+def test_days_expire_without_a_rewrite(spark, tmp_path):
+    path, start = str(tmp_path), datetime(2024, 1, 1)
+    logs = spark.createDataFrame([(start + timedelta(hours=h), h) for h in range(240)] + [(None, -1)], "timestamp timestamp, n int")
+    store.append_days(logs, path)
+    more = spark.createDataFrame([(start + timedelta(days=9, minutes=1), 1000)], "timestamp timestamp, n int")
+    store.append_days(more, path)
+    assert store.read(spark, path).count() == 242
+    before = files_of(tmp_path)
+    store.retain_days(spark, path, datetime(2024, 1, 10, 12), 5)
+    written = [n for n in files_of(tmp_path) if n not in before]
+    assert {n.split("/")[2] for n in written} == {"_part=2024-01-05"}
+    assert sorted(r.n for r in store.read(spark, path).collect()) == [-1, *range(108, 240), 1000]
+    assert store.retain_days(spark, path, datetime(2024, 1, 10, 12), 0) == 2
+    gone = store.expire(spark, path, keep=1)
+    assert {g.rsplit("=", 1)[1] for g in gone} == {"2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05", "2024-01-10"}
+    assert store.read(spark, path).count() == 134
+
+
+def test_stream_keeps_every_record(spark, tmp_path):
+    """Two objects on a line, trailing text and broken lines: the same rows and counters as
+    in batch, rejects beside them, and nothing twice after a restart."""
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+    for f in range(3):
+        lines = [record(i, f) for i in range(10)] + [record(10, f) + record(11, f), record(12, f) + " trailing", "broken", '{"@message":""}', "  "]
+        (source / f"f{f}.json").write_text("\n".join(lines))
+    rows = lambda df: normalize.normalize_logs(df).select("timestamp", "uri", "raw_log")
+    run = lambda: st.land_logs(st.stream_lines(spark, str(source), 1), out, state, rows, ["timestamp", "raw_log"]).awaitTermination()
+    run()
+    run()
+    batch = raw.decode_any(raw.scan_lines(spark, str(source)))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    got = spark.read.parquet(f"{out}/rows")
+    assert key(got.select("raw_log")) == key(raw.valid_records(batch).select("record_text")) and got.count() == 39
+    assert sorted(r.log_id for r in got.collect()) == list(range(39))
+    assert key(spark.read.parquet(f"{out}/rejects").select("value", "decode_status")) == key(raw.reject_rows(batch).select("value", "decode_status"))
+    names = ["path", "found", "processed", "valid", "invalid", "skipped"]
+    assert key(st.landed_counters(spark, out).select(*names)) == key(raw.parse_summary(batch, "path").select(*names))
+
+
+def test_daily_stream_counts_clients_once_and_drops_late_rows(spark, tmp_path):
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+    line = lambda day, hour, client, action="ALLOW": json.dumps({"timestamp": f"2024-01-{day:02d}T{hour:02d}:00:00Z", "action": action, "clientIp": client})
+    rows = lambda df: normalize.normalize_logs(df).select("timestamp", "action", "client_ip")
+
+    def land(name, lines):
+        (source / name).write_text("\n".join(lines))
+        query = st.write_available(st.daily_counts(st.stream_logs(spark, str(source), rows)), out, state)
+        query.awaitTermination()
+        return [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
+
+    land("a.json", [line(1, 3, "x"), line(1, 4, "x", "BLOCK"), line(1, 5, "y"), line(1, 6, None)])
+    land("b.json", [line(1, 23, "x"), line(1, 23, "z"), line(2, 1, "x")])
+    land("c.json", [line(2, 9, "w")])
+    progress = land("d.json", [line(1, 3, "late"), line(3, 4, "x")])
+    land("e.json", [line(5, 4, "x")])
+    days = {r.date.day: (r.total_requests, r.blocked, r.unique_ips) for r in spark.read.parquet(out).collect()}
+    assert days == {1: (6, 1, 3), 2: (2, 0, 2), 3: (1, 0, 1)}
+    assert st.late_rows(progress) == 1
