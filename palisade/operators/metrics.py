@@ -2,6 +2,7 @@
 
 Each is one grouping over a narrow projection: partial aggregation runs before
 every shuffle, so a hot rule, country or client is reduced where it is read.
+A stored roll-up (`rollup.py`) can stand in for the log in those that reports are made of.
 Exact distinct counts over one column are planned by (key, value) first, which
 spreads a hot key over its values. Top-N results end in a bounded heap per task.
 """
@@ -25,21 +26,38 @@ def acted(action: str) -> Column:
     return count_when(F.col("action") == action)
 
 
+def tally(logs: DataFrame, condition: Column | None = None) -> Column:
+    """How many requests, of those that meet the condition: rows of a log, or what the rows
+    of a roll-up stand for."""
+    if "requests" not in logs.columns:
+        return n_rows() if condition is None else count_when(condition)
+    weight = F.col("requests") if condition is None else F.when(condition, F.col("requests"))
+    return F.coalesce(F.sum(weight), F.lit(0)).cast("bigint")
+
+
+def took(logs: DataFrame, action: str) -> Column:
+    return tally(logs, F.col("action") == action)
+
+
+def last_time(logs: DataFrame) -> Column:
+    return F.max("last_timestamp" if "last_timestamp" in logs.columns else "timestamp")
+
+
 def summary(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Totals, counts per action, block rate, distinct clients and countries and
     the time range in one scan. Each distinct count is combined per value before
     the shuffle, so only distinct values travel."""
     totals = logs.groupBy(*keys).agg(
-        n_rows().alias("total_requests"),
-        acted("BLOCK").alias("blocked_requests"),
-        acted("ALLOW").alias("allowed_requests"),
-        acted("COUNT").alias("counted_requests"),
-        acted("CAPTCHA").alias("captcha_requests"),
-        acted("CHALLENGE").alias("challenge_requests"),
+        tally(logs).alias("total_requests"),
+        took(logs, "BLOCK").alias("blocked_requests"),
+        took(logs, "ALLOW").alias("allowed_requests"),
+        took(logs, "COUNT").alias("counted_requests"),
+        took(logs, "CAPTCHA").alias("captcha_requests"),
+        took(logs, "CHALLENGE").alias("challenge_requests"),
         F.countDistinct("client_ip").alias("unique_client_ips"),
         F.countDistinct(F.when(F.col("country") != UNKNOWN_COUNTRY, F.col("country"))).alias("unique_countries"),
         F.min("timestamp").alias("start_time"),
-        F.max("timestamp").alias("end_time"),
+        last_time(logs).alias("end_time"),
     )
     return totals.withColumn("block_rate_percent", pct2("blocked_requests", "total_requests"))
 
@@ -90,11 +108,11 @@ def rule_effectiveness(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
     rules = (
         logs.groupBy(*keys, "terminating_rule_id", "terminating_rule_type")
         .agg(
-            n_rows().alias("hit_count"),
+            tally(logs).alias("hit_count"),
             F.countDistinct("client_ip").alias("unique_ips"),
-            acted("BLOCK").alias("blocks"),
-            acted("ALLOW").alias("allows"),
-            acted("COUNT").alias("counts"),
+            took(logs, "BLOCK").alias("blocks"),
+            took(logs, "ALLOW").alias("allows"),
+            took(logs, "COUNT").alias("counts"),
         )
         .withColumnsRenamed({"terminating_rule_id": "rule_id", "terminating_rule_type": "rule_type"})
     )
@@ -108,9 +126,9 @@ def geo_distribution(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         known_country(logs)
         .groupBy(*keys, "country")
         .agg(
-            n_rows().alias("total_requests"),
-            acted("BLOCK").alias("blocked_requests"),
-            acted("ALLOW").alias("allowed_requests"),
+            tally(logs).alias("total_requests"),
+            took(logs, "BLOCK").alias("blocked_requests"),
+            took(logs, "ALLOW").alias("allowed_requests"),
             F.countDistinct("client_ip").alias("unique_ips"),
         )
         .withColumn("threat_score", pct2("blocked_requests", "total_requests"))
@@ -123,10 +141,10 @@ def blocked_ips(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         blocked(logs, also="client_ip")
         .groupBy(*keys, "client_ip", "country")
         .agg(
-            n_rows().alias("block_count"),
+            tally(logs).alias("block_count"),
             F.countDistinct("terminating_rule_id").alias("unique_rules_hit"),
             F.min("timestamp").alias("first_seen"),
-            F.max("timestamp").alias("last_seen"),
+            last_time(logs).alias("last_seen"),
         )
         .withColumnRenamed("client_ip", "ip")
     )
@@ -143,7 +161,7 @@ def top_blocked_ips(logs: DataFrame, n: int = 50) -> DataFrame:
 
 def attack_types(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Blocked requests per attack label: per rule first, labels on the few rules."""
-    per_rule = blocked(logs, also="terminating_rule_id").groupBy(*keys, "terminating_rule_id").agg(n_rows().alias("n"))
+    per_rule = blocked(logs, also="terminating_rule_id").groupBy(*keys, "terminating_rule_id").agg(tally(logs).alias("n"))
     labelled = per_rule.withColumn("attack_type", labels.attack_of_rule("terminating_rule_id"))
     return labelled.groupBy(*keys, "attack_type").agg(F.sum("n").cast("bigint").alias("count"))
 
@@ -151,7 +169,7 @@ def attack_types(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def hourly_patterns(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return (
         logs.groupBy(*keys, F.hour("timestamp").alias("hour"))
-        .agg(n_rows().alias("total_requests"), acted("BLOCK").alias("blocked"), acted("ALLOW").alias("allowed"))
+        .agg(tally(logs).alias("total_requests"), took(logs, "BLOCK").alias("blocked"), took(logs, "ALLOW").alias("allowed"))
         .withColumn("block_rate_percent", pct2("blocked", "total_requests"))
     )
 
@@ -160,9 +178,9 @@ def daily_trends(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return (
         logs.groupBy(*keys, F.to_date("timestamp").alias("date"))
         .agg(
-            n_rows().alias("total_requests"),
-            acted("BLOCK").alias("blocked"),
-            acted("ALLOW").alias("allowed"),
+            tally(logs).alias("total_requests"),
+            took(logs, "BLOCK").alias("blocked"),
+            took(logs, "ALLOW").alias("allowed"),
             F.countDistinct("client_ip").alias("unique_ips"),
         )
         .withColumn("block_rate_percent", pct2("blocked", "total_requests"))
@@ -183,13 +201,13 @@ def resources_by_type(resources: DataFrame) -> DataFrame:
 
 
 def bot_counts(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    return logs.groupBy(*keys).agg(
-        F.count("ja3_fingerprint").alias("requests_with_ja3"), F.count("ja4_fingerprint").alias("requests_with_ja4")
-    )
+    rolled = "ja3_requests" in logs.columns
+    counted = lambda j: F.coalesce(F.sum(f"{j}_requests"), F.lit(0)) if rolled else F.count(f"{j}_fingerprint")
+    return logs.groupBy(*keys).agg(counted("ja3").alias("requests_with_ja3"), counted("ja4").alias("requests_with_ja4"))
 
 
-def user_agents(logs: DataFrame) -> DataFrame:
-    return not_null(logs, "user_agent").groupBy("user_agent").agg(n_rows().alias("count"))
+def user_agents(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return not_null(logs, "user_agent").groupBy(*keys, "user_agent").agg(tally(logs).alias("count"))
 
 
 def top_user_agents(logs: DataFrame, n: int = 20) -> DataFrame:

@@ -125,13 +125,14 @@ def day(time: str = "timestamp") -> Column:
     return F.coalesce(F.date_format(time, "yyyy-MM-dd"), F.lit("undated"))
 
 
-def append_days(logs: DataFrame, path: str, version: int | None = None) -> int:
+def append_days(logs: DataFrame, path: str, version: int | None = None, days: DataFrame | None = None) -> int:
     """Store logs by day. Days that are there already are read and written again with the
-    new rows; others stay as they are."""
+    new rows; others stay as they are. `days` has the timestamps of the rows, where they can
+    be had with less work than the rows themselves."""
     spark = logs.sparkSession
     version = max(versions(spark, path), default=-1) + 1 if version is None else version
     before, row_schema = manifest(spark, path, version - 1)
-    touched = [r[0] for r in logs.select(day().alias("d")).distinct().collect()]
+    touched = [r[0] for r in (logs if days is None else days).select(day().alias("d")).distinct().collect()]
     known = {p: v for p, v in before.items() if p in touched}
     rows = _read(spark, path, known, row_schema).unionByName(logs) if known else logs
     replace_parts(spark, path, version, rows, day(), touched, before)

@@ -9,6 +9,7 @@ the joins that bring them together reuse that partitioning.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +26,9 @@ LIMITS = {"rules": 50, "hours": 24, "countries": 30, "ips": 30, "days": 30}
 CHARS_PER_TOKEN = 4
 
 DEFAULT_TEMPLATE = """# Request log review of {web_acl_name}
-Period: {time_period}
+Account: {account_name} ({account_id}), {region}
+Period: {time_period} ({timezone})
+{account_info}
 
 ## Configuration
 {web_acl_overview}
@@ -96,44 +99,104 @@ def second(c) -> Column:
     return F.coalesce(F.date_format(col(c), "yyyy-MM-dd HH:mm:ss"), F.lit("N/A"))
 
 
-def prompt_per_acl(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources: DataFrame, logging: DataFrame,
-                   template: str = DEFAULT_TEMPLATE) -> DataFrame:
-    """One filled prompt per ACL with its length and estimated tokens."""
+#: a list of a report is a line for each row, between brackets
+def list_lines(df: DataFrame, order: list, limit: int) -> DataFrame:
+    """ACL, position and line of the first `limit` rows of each ACL, as a JSON list."""
+    ranked = inventory.first_k(df, ACL, order, limit)
+    row = F.to_json(F.struct(*[c for c in df.columns if c != ACL]), {"ignoreNullFields": "false"})
+    last = F.lead("position").over(Window.partitionBy(ACL).orderBy("position")).isNull()
+    shown = F.concat(F.when(F.col("position") == 1, "[").otherwise(" "), row, F.when(last, "]").otherwise(","))
+    return ranked.select(ACL, "position", shown.alias("line"))
+
+
+def timed(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.date_format(n, "yyyy-MM-dd HH:mm:ss") for n in names})
+
+
+def compact_json(c: Column) -> Column:
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
+def prompt_lines(logs: DataFrame, acls: DataFrame, resources: DataFrame, logging: DataFrame,
+                 template: str = DEFAULT_TEMPLATE, account: dict[str, str] | None = None) -> DataFrame:
+    """Filled prompts line by line: ACL, name, line_no of the template, position in it, line.
+    A place for a list stands alone on its line and becomes a line for each row; a list
+    without rows is an empty one. `logs` is a log or a roll-up, which should be a stored one,
+    as each part reads it. Nothing is gathered but the agents of `bot_analysis`, 20 an ACL."""
+    from ..operators import rollup
+
     by = (ACL,)
-    parts = [
-        first_text(metrics.rule_effectiveness(logs, by), desc_by("hit_count", "rule_id", "rule_type"), LIMITS["rules"], "rules_json", as_json),
-        first_text(metrics.hourly_patterns(logs, by), ["hour"], LIMITS["hours"], "hours_json", as_json),
-        first_text(metrics.daily_trends(logs, by), ["date"], LIMITS["days"], "days_json", as_json),
-        first_text(metrics.geo_distribution(logs, by), desc_by("total_requests", "country"), LIMITS["countries"], "geo_json", as_json),
-        first_text(metrics.blocked_ips(logs, by), desc_by("block_count", "ip", "country"), LIMITS["ips"], "ips_json", as_json),
-        first_text(metrics.attack_types(logs, by), desc_by("count", "attack_type"), len(labels.ATTACKS_BY_RULE) + 1, "attacks_json", as_json),
-    ]
-    base = acls.join(metrics.summary(logs, by), ACL, "left").join(metrics.bot_counts(logs, by), ACL, "left")
-    for part in parts:
-        base = base.join(part, ACL, "left")
+    rolled = logs if "kind" in logs.columns else rollup.roll_up(logs)
+    logs, agents = rollup.requests(rolled), rollup.agents(rolled)
+    lists = {
+        "rule_effectiveness": lambda: (metrics.rule_effectiveness(logs, by), desc_by("hit_count", "rule_id", "rule_type"), LIMITS["rules"]),
+        "hourly_patterns": lambda: (metrics.hourly_patterns(logs, by), ["hour"], LIMITS["hours"]),
+        "daily_trends": lambda: (metrics.daily_trends(logs, by).withColumn("date", F.col("date").cast("string")), ["date"], LIMITS["days"]),
+        "geographic_distribution": lambda: (metrics.geo_distribution(logs, by), desc_by("total_requests", "country"), LIMITS["countries"]),
+        "top_blocked_ips": lambda: (timed(metrics.blocked_ips(logs, by), "first_seen", "last_seen"), desc_by("block_count", "ip", "country"), LIMITS["ips"]),
+        "attack_types": lambda: (metrics.attack_types(logs, by), desc_by("count", "attack_type"), len(labels.ATTACKS_BY_RULE) + 1),
+    }
+    lines = template.split("\n")
+    listed_at = [(k, lists[x[1:-1]]) for k, x in enumerate(lines) if x[:1] == "{" and x[1:-1] in lists]
+    base = acls.join(metrics.summary(logs, by), ACL, "left")
+    if "{bot_analysis}" in template:
+        heard = first_text(metrics.user_agents(agents, by), desc_by("count", "user_agent"), 20, "top_user_agents", lambda rows: rows)
+        base = base.join(metrics.bot_counts(logs, by), ACL, "left").join(heard, ACL, "left")
+    values = _facts(base.columns, acls, logging, resources, template, account or {})
+    place = {k for k, _ in listed_at}
+    plain = [F.struct(F.lit(k).alias("line_no"), fill(x, values).alias("line")) for k, x in enumerate(lines) if k not in place]
+    out = base.select(ACL, "name", F.explode(F.array(*plain)).alias("x")).select(ACL, "name", "x.line_no", F.lit(0).alias("position"), "x.line") if plain else None
+    for k, parts in listed_at:
+        # ACLs of the table only, and an empty list where one has no rows
+        known = acls.select(ACL, "name").join(list_lines(*parts()), ACL, "left")
+        rows = known.select(ACL, "name", F.lit(k).alias("line_no"), F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("line", F.lit("[]")).alias("line"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def _facts(columns: list[str], acls: DataFrame, logging: DataFrame, resources: DataFrame, template: str, account: dict[str, str]) -> dict[str, Column]:
+    """What stands in places inside lines, over one row per ACL."""
     acted = dict(zip(labels.ACTIONS, ("blocked_requests", "allowed_requests", "counted_requests", "captcha_requests", "challenge_requests")))
     shares = F.array(*[F.struct(F.lit(a).alias("action"), F.col(c).alias("count"), pct2(c, "total_requests").alias("percentage")) for a, c in acted.items()])
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    empty = F.lit("[]")
+    told = lambda name, other="N/A": F.lit(account.get(name, other))
     values = {
         "web_acl_name": F.col("name"),
+        "account_name": F.lit(account.get("account_alias", account.get("account_id", "N/A"))),
+        "account_id": told("account_id"), "region": told("region"), "timezone": told("timezone", "UTC"),
+        "account_info": F.lit(json.dumps(account, ensure_ascii=False)),
         "time_period": F.concat(second("start_time"), F.lit(" to "), second("end_time")),
-        "web_acl_overview": as_json(F.struct("name", "scope", "capacity", labels.default_action_label("default_action").alias("default_action"))),
-        "summary_metrics": as_json(F.struct(
+        "web_acl_overview": compact_json(F.struct("name", "scope", "capacity", labels.default_action_label("default_action").alias("default_action"))),
+        "summary_metrics": compact_json(F.struct(
             zero("total_requests"), zero("blocked_requests"), zero("allowed_requests"),
             F.coalesce("block_rate_percent", F.lit(0.0)).alias("block_rate_percent"), zero("unique_client_ips"), zero("unique_countries"),
         )),
-        "action_distribution": as_json(F.filter(shares, lambda s: s["count"] > 0)),
-        "rule_effectiveness": F.coalesce("rules_json", empty),
-        "daily_trends": F.coalesce("days_json", empty),
-        "hourly_patterns": F.coalesce("hours_json", empty),
-        "geographic_distribution": F.coalesce("geo_json", empty),
-        "top_blocked_ips": F.coalesce("ips_json", empty),
-        "attack_types": F.coalesce("attacks_json", empty),
-        "bot_analysis": as_json(F.struct(zero("requests_with_ja3"), zero("requests_with_ja4"))),
-        "web_acl_coverage": as_json(metrics.as_row(metrics.coverage(acls, logging, resources))),
+        "action_distribution": compact_json(F.coalesce(F.filter(shares, lambda s: s["count"] > 0), F.array().cast("array<struct<action:string,count:bigint,percentage:double>>"))),
     }
-    return sized(base.select(ACL, "name", fill(template, values).alias("prompt")))
+    if "top_user_agents" in columns:
+        none = F.array().cast("array<struct<user_agent:string,count:bigint>>")
+        values["bot_analysis"] = compact_json(F.struct(zero("requests_with_ja3"), zero("requests_with_ja4"), F.coalesce("top_user_agents", none).alias("top_user_agents")))
+    if "{web_acl_coverage}" in template:
+        kinds = metrics.resources_by_type(resources).agg(F.array_sort(F.collect_list(F.struct("resource_type", "count"))).alias("k"))
+        cover = metrics.as_row(metrics.coverage(acls, logging, resources))
+        fields = ["total_web_acls", "web_acls_with_logging", "total_protected_resources", "logging_coverage_percent"]
+        values["web_acl_coverage"] = compact_json(F.struct(*[cover[f].alias(f) for f in fields], F.map_from_entries(kinds.scalar()).alias("resources_by_type")))
+    return values
+
+
+def assembled(lines: DataFrame) -> DataFrame:
+    """One text per ACL of its prompt lines, with its length and estimated tokens. The
+    lines of a prompt are bounded by the report lengths and the template."""
+    row = F.struct("line_no", "position", "line")
+    whole = lines.groupBy(ACL, "name").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return sized(whole.select(ACL, "name", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("prompt")))
+
+
+def prompt_per_acl(logs: DataFrame, acls: DataFrame, rules: DataFrame, resources: DataFrame, logging: DataFrame,
+                   template: str = DEFAULT_TEMPLATE, account: dict[str, str] | None = None) -> DataFrame:
+    """One filled prompt per ACL with its length and estimated tokens, from a log or a
+    stored roll-up of it."""
+    return assembled(prompt_lines(logs, acls, resources, logging, template, account))
 
 
 # ---- texts over all ACLs -------------------------------------------------

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import sinks
+from ..operators import rollup, sinks
 from ..plans import prompts, responses
 from ..session import scratch_path
 from . import views as v
-from .registry import query
+from .metric_queries import COVERAGE, attack_case
+from .registry import n_sql, pct2_sql, query
 
 N = "CAST(count(*) AS BIGINT)"
 GRADES = ["Low", "Medium", "High"]
@@ -128,9 +129,94 @@ def inputs(s, d):
     return v.logs(s, d), v.acls(s, d), v.rules(s, d), v.resources(s, d), v.logging(s, d)
 
 
-@query("prompt_per_acl")
+ACCOUNT = {"account_id": "123456789012", "account_alias": "example", "region": "us-east-1"}
+
+
+def stored_rollup(s, d) -> DataFrame:
+    """The log rolled up in two batches, the second onto days that are there in part."""
+    path, logs = scratch_path(s, "rollup"), v.logs(s, d)
+    rollup.extend(logs.where("log_id % 3 = 0"), path)
+    rollup.extend(logs.where("log_id % 3 <> 0"), path)
+    return rollup.read(s, path)
+
+
+def _list_sql(place: str, body: str, row: str, order: str, limit: int) -> str:
+    """Lines of one list of the prompts, `body` giving its rows with web_acl_id."""
+    line = prompts.DEFAULT_TEMPLATE.split("\n").index("{" + place + "}")
+    return f"""SELECT a.web_acl_id, a.name, {line} AS line_no, CAST(coalesce(position, 0) AS INTEGER) AS position,
+      CASE WHEN position IS NULL THEN '[]' ELSE CASE position WHEN 1 THEN '[' ELSE ' ' END || CAST(to_json(row) AS VARCHAR) || CASE WHEN position = least(n, {limit}) THEN ']' ELSE ',' END END AS line
+    FROM v_acls a LEFT JOIN (SELECT web_acl_id, {row} AS row, row_number() OVER (PARTITION BY web_acl_id ORDER BY {order}) AS position, count(*) OVER (PARTITION BY web_acl_id) AS n
+      FROM ({body}) QUALIFY position <= {limit}) USING (web_acl_id)"""
+
+
+def _prompt_sql() -> str:
+    block, allow, limits = n_sql("action = 'BLOCK'"), n_sql("action = 'ALLOW'"), prompts.LIMITS
+    rate = lambda part, whole: pct2_sql(part, whole)
+    known, stamp = "country IS NOT NULL AND country <> '-'", "'%Y-%m-%d %H:%M:%S'"
+    lists = [
+        _list_sql("rule_effectiveness", f"""SELECT *, {rate('blocks', 'hit_count')} AS block_rate_percent FROM (SELECT *, {rate('hit_count', 'total')} AS hit_rate_percent FROM (
+            SELECT web_acl_id, terminating_rule_id AS rule_id, terminating_rule_type AS rule_type, {N} AS hit_count, count(DISTINCT client_ip) AS unique_ips, {block} AS blocks, {allow} AS allows,
+            {n_sql("action = 'COUNT'")} AS counts, CAST(sum(count(*)) OVER (PARTITION BY web_acl_id) AS BIGINT) AS total FROM v_logs GROUP BY 1, 2, 3) WHERE rule_id IS NOT NULL)""",
+            "{rule_id: rule_id, rule_type: rule_type, hit_count: hit_count, unique_ips: unique_ips, blocks: blocks, allows: allows, counts: counts, hit_rate_percent: hit_rate_percent, block_rate_percent: block_rate_percent}",
+            "hit_count DESC, rule_id, rule_type NULLS LAST", limits["rules"]),
+        _list_sql("hourly_patterns", f"""SELECT web_acl_id, CAST(extract(hour FROM timestamp) AS INTEGER) AS hour, {N} AS total_requests, {block} AS blocked, {allow} AS allowed, {rate(block, 'count(*)')} AS block_rate_percent
+            FROM v_logs GROUP BY 1, 2""", "{hour: hour, total_requests: total_requests, blocked: blocked, allowed: allowed, block_rate_percent: block_rate_percent}", "hour", limits["hours"]),
+        _list_sql("daily_trends", f"""SELECT web_acl_id, strftime(timestamp, '%Y-%m-%d') AS date, {N} AS total_requests, {block} AS blocked, {allow} AS allowed, count(DISTINCT client_ip) AS unique_ips,
+            {rate(block, 'count(*)')} AS block_rate_percent FROM v_logs GROUP BY 1, 2""",
+            "{date: date, total_requests: total_requests, blocked: blocked, allowed: allowed, unique_ips: unique_ips, block_rate_percent: block_rate_percent}", "date", limits["days"]),
+        _list_sql("geographic_distribution", f"""SELECT web_acl_id, country, {N} AS total_requests, {block} AS blocked_requests, {allow} AS allowed_requests, count(DISTINCT client_ip) AS unique_ips,
+            {rate(block, 'count(*)')} AS threat_score FROM v_logs WHERE {known} GROUP BY 1, 2""",
+            "{country: country, total_requests: total_requests, blocked_requests: blocked_requests, allowed_requests: allowed_requests, unique_ips: unique_ips, threat_score: threat_score}",
+            "total_requests DESC, country", limits["countries"]),
+        _list_sql("top_blocked_ips", f"""SELECT web_acl_id, client_ip AS ip, country, {N} AS block_count, count(DISTINCT terminating_rule_id) AS unique_rules_hit, strftime(min(timestamp), {stamp}) AS first_seen,
+            strftime(max(timestamp), {stamp}) AS last_seen FROM v_logs WHERE action = 'BLOCK' AND client_ip IS NOT NULL GROUP BY 1, 2, 3""",
+            "{ip: ip, country: country, block_count: block_count, unique_rules_hit: unique_rules_hit, first_seen: first_seen, last_seen: last_seen}",
+            "block_count DESC, ip, country NULLS LAST", limits["ips"]),
+        _list_sql("attack_types", f"""SELECT web_acl_id, {attack_case('terminating_rule_id')} AS attack_type, {N} AS count FROM v_logs WHERE action = 'BLOCK' AND terminating_rule_id IS NOT NULL GROUP BY 1, 2""",
+            "{attack_type: attack_type, count: count}", "count DESC, attack_type", 99),
+    ]
+    counted = ", ".join(f"{n_sql(f"action = '{a}'")} AS {a.lower()}s" for a in prompts.labels.ACTIONS)
+    shares = ", ".join(f"{{action: '{a}', count: {a.lower()}s, percentage: {rate(f'{a.lower()}s', 'total_requests')}}}" for a in prompts.labels.ACTIONS)
+    facts = f"""SELECT a.*, l.*, b.agents, coalesce(strftime(first, {stamp}), 'N/A') || ' to ' || coalesce(strftime(last, {stamp}), 'N/A') AS period
+      FROM v_acls a LEFT JOIN (SELECT web_acl_id AS acl, {N} AS total_requests, {counted}, count(DISTINCT client_ip) AS ips, count(DISTINCT country) FILTER ({known}) AS countries, min(timestamp) AS first,
+        max(timestamp) AS last, count(ja3_fingerprint) AS ja3, count(ja4_fingerprint) AS ja4 FROM v_logs GROUP BY 1) l ON a.web_acl_id = acl
+      LEFT JOIN (SELECT web_acl_id, list({{user_agent: user_agent, count: n}} ORDER BY n DESC, user_agent) AS agents FROM (SELECT web_acl_id, user_agent, {N} AS n FROM v_logs WHERE user_agent IS NOT NULL
+        GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY web_acl_id ORDER BY n DESC, user_agent) <= 20) GROUP BY 1) b ON a.web_acl_id = b.web_acl_id"""
+    values = {
+        "web_acl_name": "name", "account_name": "'example'", "account_id": "'123456789012'", "region": "'us-east-1'", "timezone": "'UTC'", "time_period": "period",
+        "account_info": """'{"account_id": "123456789012", "account_alias": "example", "region": "us-east-1"}'""",
+        "web_acl_overview": "to_json({name: name, scope: scope, capacity: capacity, default_action: default_label})",
+        "summary_metrics": f"""to_json({{total_requests: coalesce(total_requests, 0), blocked_requests: coalesce(blocks, 0), allowed_requests: coalesce(allows, 0),
+          block_rate_percent: {rate('coalesce(blocks, 0)', 'coalesce(total_requests, 0)')}, unique_client_ips: coalesce(ips, 0), unique_countries: coalesce(countries, 0)}})""",
+        "action_distribution": f"to_json(list_filter([{shares}], lambda x: x.count > 0))",
+        "bot_analysis": "to_json({requests_with_ja3: coalesce(ja3, 0), requests_with_ja4: coalesce(ja4, 0), top_user_agents: coalesce(agents, [])})",
+        "web_acl_coverage": f"""(SELECT to_json({{total_web_acls: total_web_acls, web_acls_with_logging: web_acls_with_logging, total_protected_resources: total_protected_resources,
+          logging_coverage_percent: {rate('web_acls_with_logging', 'total_web_acls')}, resources_by_type: (SELECT map_from_entries(list((resource_type, n) ORDER BY resource_type)) FROM (SELECT resource_type, {N} AS n FROM v_resources GROUP BY 1))}}) FROM ({COVERAGE}))""",
+    }
+    rows = []
+    for k, line in enumerate(prompts.DEFAULT_TEMPLATE.split("\n")):
+        if any(f" {k} AS line_no" in x for x in lists):
+            continue
+        text = "'" + line.replace("'", "''") + "'"
+        for name, sql in values.items():
+            text = text.replace("{" + name + "}", f"' || CAST({sql} AS VARCHAR) || '")
+        rows.append(f"SELECT f.web_acl_id, f.name, {k} AS line_no, 0 AS position, {text} AS line FROM facts f")
+    return f"SELECT * FROM (WITH facts AS ({facts}) {' UNION ALL '.join([*rows, *lists])})"
+
+
+PROMPT_LINES = _prompt_sql()
+
+
+@query("prompt_lines", PROMPT_LINES)
+def prompt_lines(s, d):
+    return prompts.prompt_lines(stored_rollup(s, d), v.acls(s, d), v.resources(s, d), v.logging(s, d), account=ACCOUNT)
+
+
+@query("prompt_per_acl", f"""SELECT web_acl_id, name, prompt, CAST(length(prompt) AS BIGINT) AS chars, CAST(length(prompt) // 4 AS BIGINT) AS tokens
+FROM (SELECT web_acl_id, name, string_agg(line, chr(10) ORDER BY line_no, position) AS prompt FROM ({PROMPT_LINES}) GROUP BY 1, 2)""")
 def prompt_per_acl(s, d):
-    return prompts.prompt_per_acl(*inputs(s, d))
+    _, *config = inputs(s, d)
+    return prompts.prompt_per_acl(stored_rollup(s, d), *config, account=ACCOUNT)
 
 
 HEAD = "{web_acl_name}: {time_period}"

@@ -157,3 +157,34 @@ def test_summary_reads_the_log_once(spark, data):
 def test_acl_filter_takes_values_not_text(spark, golden):
     assert filters.of_acls(golden, ["acl-1' OR '1'='1"]).count() == 0
     assert filters.of_acls(golden, None).count() == 159
+
+
+def test_metrics_of_a_stored_rollup_equal_those_of_the_log(spark, data, tmp_path):
+    """A roll-up stored in three batches, the days of which overlap, gives every report,
+    distinct clients too, and stays the same when a batch is stored again."""
+    from palisade.operators import rollup
+    from palisade.workload import views
+
+    logs, path = views.logs(spark, data), str(tmp_path / "rollup")
+    for part in range(3):
+        rollup.extend(logs.where(f"log_id % 3 = {part}"), path, version=part)
+    rollup.extend(logs.where("log_id % 3 = 2"), path, version=2)
+    rolled = rollup.read(spark, path)
+    by = ("web_acl_id",)
+    key = lambda df: sorted((tuple(r.asDict().values()) for r in df.select(*sorted(df.columns)).collect()), key=repr)
+    for frame in (rolled, rollup.compact(rolled)):
+        counted = rollup.requests(frame)
+        for metric in (metrics.summary, metrics.rule_effectiveness, metrics.geo_distribution, metrics.blocked_ips, metrics.attack_types,
+                       metrics.hourly_patterns, metrics.daily_trends, metrics.bot_counts):
+            assert key(metric(counted, by)) == key(metric(logs, by)) and key(metric(counted)) == key(metric(logs)), metric
+        assert key(metrics.user_agents(rollup.agents(frame), by)) == key(metrics.user_agents(logs, by))
+    assert rollup.compact(rolled).count() <= rolled.count()
+    assert rollup.roll_up(logs.where("false")).collect() == []
+
+
+def test_rollup_reads_the_log_once(spark, data):
+    from palisade.operators import rollup
+    from palisade.workload import views
+
+    plan = rollup.roll_up(views.logs(spark, data))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.split("Initial Plan")[0].count("lineitem.parquet") + plan.count("events.parquet") <= 2
