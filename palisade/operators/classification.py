@@ -110,25 +110,6 @@ def rule_review_flags(logs: DataFrame, unused: DataFrame) -> DataFrame:
     return flagged.where(F.col("flag").isNotNull()).unionByName(risky).unionByName(idle)
 
 
-def chart_series(logs: DataFrame) -> DataFrame:
-    """Inputs of the six charts in one long frame (chart, label, series, value)."""
-    def series(df: DataFrame, chart: str, label, values: dict[str, str]) -> DataFrame:
-        pairs = [F.struct(F.lit(n).alias("series"), F.col(c).cast("bigint").alias("value")) for n, c in values.items()]
-        return df.select(F.lit(chart).alias("chart"), label.cast("string").alias("label"), F.explode(F.array(*pairs)).alias("p")).select(
-            "chart", "label", "p.series", "p.value"
-        )
-
-    rules = metrics.rule_effectiveness(logs).groupBy("rule_id").agg(F.sum("hit_count").alias("hit_count"), F.sum("blocks").alias("blocks"))
-    return (
-        series(metrics.action_distribution(logs), "action_pie", F.col("action"), {"count": "count"})
-        .unionByName(series(metrics.daily_trends(logs), "daily_lines", F.col("date"), {"total": "total_requests", "blocked": "blocked", "allowed": "allowed"}))
-        .unionByName(series(metrics.top(metrics.blocked_by_country(logs), "blocked_requests", 15, "country"), "geo_bars", F.col("country"), {"blocked": "blocked_requests"}))
-        .unionByName(series(metrics.attack_types(logs), "attack_bars", F.col("attack_type"), {"count": "count"}))
-        .unionByName(series(metrics.hourly_patterns(logs), "hourly_bars", F.col("hour"), {"total": "total_requests", "blocked": "blocked"}))
-        .unionByName(series(metrics.top(rules, "hit_count", 15, "rule_id"), "rule_bars", F.col("rule_id"), {"hits": "hit_count", "blocks": "blocks"}))
-    )
-
-
 def optimized_rule_order(logs: DataFrame, n: int = 10) -> DataFrame:
     """The n most hit rules with the priority their rank suggests."""
     best = metrics.top(metrics.rule_effectiveness(logs), "hit_count", n, "rule_id", "rule_type")

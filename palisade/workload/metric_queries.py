@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, times
 from ..functions.numbers import share
 from ..operators import classification as cl
-from ..operators import filters, inventory, metrics
+from ..operators import filters, inventory, metrics, reports
 from . import views as v
 from .registry import n_sql, pct2_sql, query
 
@@ -230,15 +230,8 @@ WINDOWS = {
     f"SELECT '{k}' AS time_window, {N} AS requests, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM v_logs WHERE timestamp BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}'"
     for k, (a, b) in WINDOWS.items()))
 def time_window_filter(s, d):
-    logs = v.logs(s, d)
-    out = None
-    for kind in WINDOWS:
-        start, end = times.time_window(kind, AS_OF, datetime(2024, 1, 5, 6), datetime(2024, 1, 7, 18))
-        part = filters.in_window(logs, start, end).agg(
-            metrics.n_rows().alias("requests"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
-        ).select(F.lit(kind).alias("time_window"), "requests", "first_seen", "last_seen")
-        out = part if out is None else out.unionByName(part)
-    return out
+    custom = (datetime(2024, 1, 5, 6), datetime(2024, 1, 7, 18))
+    return reports.in_windows(v.logs(s, d), {kind: times.time_window(kind, AS_OF, *custom) for kind in WINDOWS})
 
 
 @query("business_hours", f"SELECT hour(timestamp) >= 9 AND hour(timestamp) < 17 AS in_business_hours, {N} AS requests, {n_sql(BLOCK)} AS blocked FROM v_logs GROUP BY 1")
@@ -310,25 +303,10 @@ def _report_sql() -> str:
 
 @query("topn_report", _report_sql())
 def topn_report(s, d):
-    logs = v.logs(s, d)
-    rules = metrics.rule_effectiveness(logs).groupBy("rule_id").agg(F.sum("hit_count").alias("hit_count"))
-    ips = filters.blocked(logs, also="client_ip").groupBy(F.col("client_ip").alias("ip")).agg(metrics.n_rows().alias("block_count"))
-    frames = {
-        "geo": (metrics.geo_distribution(logs), "country", "total_requests"),
-        "blocked_geo": (metrics.blocked_by_country(logs), "country", "blocked_requests"),
-        "rules": (rules, "rule_id", "hit_count"),
-        "ips": (ips, "ip", "block_count"),
-        "agents": (metrics.user_agents(logs), "user_agent", "count"),
-        "daily": (metrics.daily_trends(logs), "date", "total_requests"),
-        "hourly": (metrics.hourly_patterns(logs), "hour", "total_requests"),
-    }
-    out = None
+    lengths: dict[str, list[int]] = {}
     for name, cap in REPORT_CAPS:
-        frame, key, measure = frames[name]
-        ordered = frame.orderBy(key) if name in ("daily", "hourly") else frame.orderBy(F.desc(measure), key)
-        part = ordered.limit(cap).select(F.lit(f"{name}_{cap}").alias("report"), F.col(key).cast("string").alias("item"), F.col(measure).cast("bigint").alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        lengths.setdefault(name, []).append(cap)
+    return reports.top_reports(v.logs(s, d), lengths)
 
 
 @query("order_fixed", f"""SELECT * FROM (SELECT action, count, percentage,
@@ -435,7 +413,7 @@ UNION ALL SELECT 'hourly_bars', CAST(hour AS VARCHAR), unnest(['total', 'blocked
 UNION ALL SELECT 'rule_bars', rule_id, unnest(['hits', 'blocks']), unnest([hits, blocks]) FROM (SELECT rule_id, CAST(sum(hit_count) AS BIGINT) AS hits,
   CAST(sum(blocks) AS BIGINT) AS blocks FROM ({RULES}) GROUP BY 1 ORDER BY hits DESC, rule_id LIMIT 15)""")
 def chart_series(s, d):
-    return cl.chart_series(v.logs(s, d))
+    return reports.chart_series(v.logs(s, d))
 
 
 # calendars

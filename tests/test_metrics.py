@@ -188,3 +188,26 @@ def test_rollup_reads_the_log_once(spark, data):
 
     plan = rollup.roll_up(views.logs(spark, data))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Expand") == 1 and plan.split("Initial Plan")[0].count("lineitem.parquet") + plan.count("events.parquet") <= 2
+
+
+def test_reports_read_once_and_take_a_rollup(spark, data, tmp_path):
+    from palisade.operators import reports, rollup
+
+    logs, path = views.logs(spark, data), str(tmp_path / "rollup")
+    rollup.extend(logs, path)
+    rolled = rollup.read(spark, path)
+    lengths = {"geo": [3, 5], "rules": [2], "ips": [4, 9], "agents": [3], "daily": [2, 30], "hourly": [24], "blocked_geo": [4]}
+    windows = {"a": (datetime(2024, 1, 5), datetime(2024, 1, 9)), "b": (datetime(2024, 1, 5), datetime(2024, 1, 6)), "none": (datetime(1999, 1, 1), datetime(1999, 1, 2))}
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for made in (lambda t: reports.top_reports(t, lengths), reports.chart_series):
+        assert rows(made(logs)) == rows(made(rolled)) != []
+    got = {r.time_window: (r.requests, r.first_seen, r.last_seen) for r in reports.in_windows(logs, windows).collect()}
+    for name, (a, b) in windows.items():
+        inside = logs.where(F.col("timestamp").between(F.lit(a), F.lit(b))).agg(F.count("*"), F.min("timestamp"), F.max("timestamp")).first()
+        assert got[name] == tuple(inside)
+    logs.write.parquet(str(tmp_path / "stored"))
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    for made in (reports.top_reports(stored, lengths), reports.chart_series(stored), reports.in_windows(stored, windows)):
+        assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan parquet") == 1
+    empty = logs.where("false")
+    assert reports.top_reports(empty, lengths).collect() == [] and reports.chart_series(empty).collect() == []
