@@ -49,6 +49,58 @@ def test_field_learns_its_table_and_more(field):
         assert [text[a:b] for _, a, b in added] == [part]
 
 
+#: made up, none of it in the table that the field learns
+HELD_OUT = """
+please call {phone|(617) 555-0123} before noon
+her phone is {phone|718-555-0166} now
+tel {phone|0161 496 0753} at the desk
+mobile {phone|07700 900456} , office {phone|(089) 636480-10}
+ring {phone|1-888-555-0142} or {phone|404.555.0135} tonight
+fax {phone|646-555-0177} please
+call {phone|(305) 555-0190} for a table
+write to {mail|mary dot smith at example dot com} today
+mail {mail|tom (at) example (dot) org} please
+contact {mail|sales [at] example [dot] com} for prices
+reach {mail|lee9 at mail dot example dot net} now
+email {mail|office at example dot org} by noon
+ssn {number|219-45-6789} was given
+passport {number|X12Y34567} expired
+iban {number|FR76 3000 6000 0112 3456 7890 189} for fees
+iban {number|NL91 ABNA 0417 1643 00} is ours
+the year 2019 was short and 2003 too
+on 2023-11-12 at 08:45 we left
+version 3.2.1 came after 3.2.0
+it cost 4,500.00 or 12 in all
+pages 30-45 and 210-219 of 400
+they lost 2-5 and then 14-21
+room 118 , floor 7
+order 300-400 units at 20 each
+at 17:20 on 01/02/2021
+a dot on the chart at 12.5 by 44.1
+she was at work at 9 and at home at 6
+line 7654321 of 9999999
+THE## 6011000990139437## OF##
+in 1871-72 and 1939-45
+""".strip().splitlines()
+
+
+def test_field_on_a_held_out_table(field):
+    """Precision and recall of each kind over rows that it has not learnt."""
+    from collections import Counter
+
+    rows = personal_data.parse_labelled(HELD_OUT)
+    right, given, wanted = Counter(), Counter(), Counter()
+    for (_, spans), got in zip(rows, personal_data.field_spans([t for t, _ in rows], field), strict=True):
+        want = {(personal_data.ADDED[k], a, b) for k, a, b in spans}
+        for kind, a, b in got:
+            given[kind] += 1
+            right[kind] += (kind, a, b) in want
+        wanted.update(k for k, _, _ in want)
+    figures = {k: (right[k] / max(given[k], 1), right[k] / wanted[k]) for k in wanted}
+    print(figures)
+    assert set(figures) == set(personal_data.ADDED.values()) and all(p >= 0.9 and r >= 0.9 for p, r in figures.values()), figures
+
+
 def test_viterbi_finds_the_best_path(field):
     import itertools
 
@@ -112,6 +164,20 @@ def test_leaks(spark):
     assert {d for d, _, _ in leaks(spark, texts)} <= {0, 1, 2, 5}
 
 
+def test_texts_of_one_id_are_aligned_apart(spark):
+    """Two texts that hold half of an item each are no leak, whatever their ids."""
+    words = "the farmer walks along the river with seven old friends while singing songs about winter and counting every boat that passes under the wooden bridge".split()
+    item, half = " ".join(words), len(words) // 2
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    parts = [" ".join(words[: half - 1]) + " stops here for lunch", "after lunch " + " ".join(words[half + 1 :])]
+    for ids in ((None, None), (5, 5), (1, 2)):
+        docs = spark.createDataFrame(list(zip(ids, parts)), "doc_id bigint, text string")
+        assert decontamination.find_leaks(docs, items).collect() == []
+    docs = spark.createDataFrame([(None, parts[0]), (None, f"well {item}"), (7, f"well {item}"), (7, f"well {item}"), (7, parts[1]), (None, None)], "doc_id bigint, text string")
+    found = decontamination.find_leaks(docs, items).collect()
+    assert sorted(((r["doc_id"], r["matched"] == r["n_windows"], r["exact"]) for r in found), key=str) == [(7, True, True), (None, True, True)]
+
+
 def test_leaks_of_odd_tables(spark, odd, none):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert decontamination.find_leaks(none, items).collect() == [] and decontamination.find_leaks(odd, items.limit(0)).collect() == []
