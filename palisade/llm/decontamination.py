@@ -306,13 +306,17 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     each document and item of which the document holds COVER of the windows or more, with
     consistent placeholders; exact if no placeholder differs.
 
-    Null texts hold nothing. Repeated rows count once; documents with one doc_id and
-    different texts count as one, aligned each; a null doc_id is an id of its own. Items
-    with too few plain words for a window of their template are found where their words
-    stand as they are, however few they are. Empty tables give no rows; other columns are
-    ignored."""
-    found = leaks(matches(docs.select(F.col("doc_id").alias("row"), "text"), items))
-    return found.withColumnRenamed("row", "doc_id").withColumn("exact", F.col("changed") == 0)
+    Null texts hold nothing. Rows are known by doc_id and text, so different texts with one
+    doc_id, or without one, are aligned apart, and the best alignment of an id is given;
+    repeated rows count once. Texts of any length are read whole. Items with too few plain
+    words for a window of their template are found where their words stand as they are,
+    however few they are. Empty tables give no rows; other columns are ignored."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    found = write_through(leaks(matches(rows.select("row", "text"), items)), "leaks")
+    named = found.join(rows.select("row", "doc_id").distinct(), "row")
+    order = F.struct("matched", (-F.col("slips")).alias("order"), (-F.col("changed")).alias("same"), (-F.col("shift")).alias("place"))
+    best = F.max_by(F.struct("shift", "matched", "n_windows", "slots", "changed", "slips"), order).alias("x")
+    return named.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*").withColumn("exact", F.col("changed") == 0)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
