@@ -6,7 +6,6 @@ sparse, and probabilities are calibrated by a temperature on a part kept aside."
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +25,6 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 #: this share of the sample only sets the temperature
 KEPT_ASIDE = 0.2
 UNKNOWN = "und"
-HAS_LETTER = re.compile(r"[^\W\d_]")
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -39,6 +37,11 @@ def _letters() -> np.ndarray:
 _LETTER: np.ndarray | None = None
 
 
+def has_letter(text: str) -> bool:
+    """Letters proper; numbers that are written as letters or signs are none."""
+    return any(map(str.isalpha, text))
+
+
 def features(text: str) -> np.ndarray:
     """The feature of every n-gram of the text in lower case, where what lies between
     letters counts as one space."""
@@ -82,7 +85,7 @@ class Model:
         return self.weights[:, index] @ value + self.weights[:, FEATURES]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not HAS_LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         p = softmax(self.logits(*vector(text, self.idf)) / self.temperature)
         best = int(p.argmax())
@@ -218,7 +221,8 @@ def identify(docs: DataFrame) -> DataFrame:
     doc_id has no fold, is not held out and not learnt from. Text that is null or has no
     letter is `und` with score 0, and so is every text if there is nothing to learn from.
     Of equal probabilities the first language by name wins. Repeated rows are predicted
-    each; other columns are ignored."""
+    each; texts of any length are read whole; an empty table gives no rows; other columns
+    are ignored."""
     rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "text", "lang")
     learning = rows.where(~F.col("held_out") & F.col("doc_id").isNotNull())
     model = learn(learning.select(F.col("doc_id").alias("key"), "text", "lang"))

@@ -79,3 +79,13 @@ def test_quality_scores_of_odd_rows(spark, odd, none):
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
     assert quality_classifier.classify(none, labels).collect() == []
     assert quality_classifier.classify(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_numbers_that_look_like_letters_name_no_language(spark, small):
+    from palisade.llm import language_id
+
+    odd = [(-1, "\u00b2"), (-2, "\u00bd \u2460 \u2167"), (-3, "12 !"), (-4, None), (-5, ""), (-6, "\u00b2 der Hund"), (-7, "\U0001f600")]
+    docs = small.select("doc_id", "text", "lang").union(spark.createDataFrame([(i, t, None) for i, t in odd], "doc_id bigint, text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs).where("doc_id < 0").collect()}
+    assert {i for i, (lang, score) in got.items() if (lang, score) == ("und", 0.0)} == {-1, -2, -3, -4, -5, -7}
+    assert got[-6][0] != "und"
