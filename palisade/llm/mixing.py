@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..session import write_through
-from .base import number_within, word_array
+from .base import free_name, number_within, word_array
 
 BLOCK_WORDS = 64
 SHARDS = 16
@@ -157,22 +157,31 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     """The mix itself, in the columns of docs: one row for each document and pass that
     takes any of it. A document taken whole keeps its text; of others the words taken
     stay, in their order, with single spaces between them. n_chars, if there, follows the
-    text. Documents of which nothing is taken go."""
-    names = docs.columns
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.size(word_array(F.col("text"))).cast("long").alias("size"), F.col("source"))
-    key = [F.xxhash64("row.doc_id", F.lit(SEED)), F.col("row.doc_id"), F.xxhash64("row.text"), F.col("size")]
-    packed = write_through(pack(wide, key), "mix-texts")
+    text. Documents of which nothing is taken go, and null and empty texts with them; a
+    null source is a source of its own; an empty table gives no rows.
+
+    Rows are numbered and drawn by a key of their columns and their size, and texts, of any
+    length, are shuffled once, to what is drawn of them. Rows repeated in all columns are
+    drawn each; one of them stands for the texts of all."""
+    names, k = docs.columns, free_name(docs, "__mix_")
+    plain = [f"`{f.name}`" for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    keyed = docs.withColumn(f"{k}key", F.xxhash64(*[F.col(c) for c in plain]))
+    narrow = keyed.select(F.col(f"{k}key").alias("key"), "doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"))
+    packed = write_through(pack(narrow, [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"), F.col("key"), F.col("size")]).drop("doc_id"), "mix-packed")
     _, slots = plan_mix(packed.select("source", "size"))
-    cut = pieces(packed, ["start"]).alias("p")
+    cut = pieces(packed, ["key", "start", "size"]).alias("p")
     same = F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))
-    drawn = cut.join(slots.hint("merge").alias("t"), same).select("p.source", "p.start", "t.pass", F.struct("p.first", "p.n").alias("part"))
-    drawn = drawn.groupBy("source", "start", "pass").agg(F.array_sort(F.collect_list("part")).alias("parts")).alias("d")
-    full = packed.where("size > 0").alias("f")
-    joined = full.join(drawn, (F.col("f.start") == F.col("d.start")) & F.col("f.source").eqNullSafe(F.col("d.source")))
-    whole = F.aggregate("d.parts", F.lit(0).cast("long"), lambda a, x: a + x["n"]) == F.col("f.size")
-    words = word_array(F.col("f.row.text"))
-    some = F.array_join(F.flatten(F.transform("d.parts", lambda x: F.slice(words, (x["first"] + 1).cast("int"), x["n"].cast("int")))), " ")
-    text = F.when(whole, F.col("f.row.text")).otherwise(some)
-    out = joined.select("f.row", text.alias("__text"))
-    made = {"text": F.col("__text"), "n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
-    return out.select(*[(made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in names])
+    drawn = cut.join(slots.hint("merge").alias("t"), same).select("p.key", "p.source", "p.start", "p.size", "t.pass", F.struct("p.first", "p.n").alias("part"))
+    parts = drawn.groupBy("key", "source", "start", "size", "pass").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    repeats = packed.groupBy("key").agg((F.count("*") > 1).alias("repeated"))
+    whole = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["n"]) == F.col("size")
+    takes = parts.join(repeats, "key").select("key", F.when(~whole, F.col("parts")).alias("parts"), "repeated")
+    takes = write_through(takes.withColumnsRenamed({c: f"{k}{c}" for c in ("key", "parts", "repeated")}), "mix-drawn")
+    again = takes.where(f"{k}repeated")
+    once = keyed.join(again.select(f"{k}key").distinct(), f"{k}key", "left_semi").dropDuplicates([f"{k}key"])
+    joined = keyed.join(takes.where(f"not {k}repeated"), f"{k}key").unionByName(once.join(again, f"{k}key"))
+    words = word_array(F.col("text"))
+    some = F.array_join(F.flatten(F.transform(f"{k}parts", lambda x: F.slice(words, (x["first"] + 1).cast("int"), x["n"].cast("int")))), " ")
+    taken = joined.withColumn(f"{k}text", F.when(F.col(f"{k}parts").isNull(), F.col("text")).otherwise(some))
+    made = {"text": F.col(f"{k}text"), "n_chars": F.length(f"{k}text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
+    return taken.select(*[(made[c] if c in made else F.col(f"`{c}`")).alias(c) for c in names])

@@ -121,3 +121,20 @@ def test_weights_set_the_shares(spark):
     got = sharding.assign(spark.range(20000), "id", {0: 1.0, 1: 3.0, 2: 0.0, 5: 1.0}).groupBy("shard").count().collect()
     share = {r["shard"]: r["count"] / 20000 for r in got}
     assert set(share) == {0, 1, 5} and abs(share[1] - 0.6) < 0.02 and abs(share[0] - 0.2) < 0.02
+
+
+def test_mixed_texts_of_repeated_rows(spark):
+    """Rows repeated in all columns are drawn each: as many words come out as the mix of
+    the documents takes, and nothing of another text."""
+    rows = [(1, "alpha beta " * 40, "en", "a", 1)] * 30 + [(i, f"w{i} " * 50, "en", "b" if i % 2 else None, i) for i in range(2, 60)] + [(99, None, "en", "a", 0), (98, "", "en", "c", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
+    taken = {}
+    for r in mixing.mix_documents(docs).collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"]
+    got = {}
+    for r in mixing.mixed_texts(docs).collect():
+        words = r["text"].split()
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(words)
+        assert set(words) <= ({"alpha", "beta"} if r["doc_id"] == 1 else {f"w{r['doc_id']}"}) and r["n_chars"] == len(r["text"])
+    per_source = lambda found: {s: sum(n for d, n in found.items() if (1 if d == 1 else 2 + d % 2) == s) for s in (1, 2, 3)}
+    assert per_source(got) == per_source(taken)
