@@ -23,13 +23,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Give up the shuffle files of frames that are gone: Spark deletes them once the
+    driver's collectors find that nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back, and the shuffle files behind it given
-    up: Spark deletes them once the driver's collectors find that nothing refers to them."""
+    """df written to the shared folder and read back, and the shuffle files behind it given up."""
     out = write_through(df, label)
     del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
+    release(out.sparkSession)
     return out
 
 

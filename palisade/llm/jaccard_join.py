@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_through
-from .base import BYTE, arrow_map, bit_filter, free_name, mix64, passes, settle, span_hashes, text_bytes, window_hashes, word_spans
+from .base import BYTE, arrow_map, bit_filter, free_name, mix64, passes, release, settle, span_hashes, text_bytes, window_hashes, word_spans
 from .components import components
 
 WIDTH = 5
@@ -246,7 +246,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     words have none (null)."""
     place = F.xxhash64(*[c for c in docs.columns if c != "text"], "text")
     texts = docs.select(place.alias("place"), "text")
-    met = settle(meetings(texts, frequent_shingles(texts)), "meetings")
+    frequent = frequent_shingles(texts)
+    release(docs.sparkSession)
+    met = settle(meetings(texts, frequent), "meetings")
     sets = settle(set_table(texts, bit_filter(met, "place")), "sets")
     found = settle(set_components(met, sets).select(F.col("node").alias("set"), "component"), "set-components")
     rows = describe(docs).join(found, "set", "left")
