@@ -151,9 +151,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that quality_rules keeps, with all their columns, whatever their
-    names; null texts, repeated rows and empty tables as there. Texts are measured once for
-    the sketches, which are written, and once more for the verdict, so that no text is."""
+    names; null texts, repeated rows and empty tables as there. Rows are written with their
+    measures: computed in the filter instead, each measure would be computed many times."""
     q = free_name(docs, "__q_")
-    sketches = write_through(sketch(measure(docs.select("text", "lang", "source"), q), q), "quality-sketches")
-    fences = write_through(thresholds(sketches), "quality-fences")
-    return judge(measure(docs, q), fences, q, f"{q}kept").where(F.col(f"{q}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    measured = write_through(measure(docs, q), "quality-documents")
+    fences = write_through(thresholds(sketch(measured, q)), "quality-fences")
+    return judge(measured, fences, q, f"{q}kept").where(F.col(f"{q}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
