@@ -114,7 +114,11 @@ def parse_bucket_arn(s, d):
 
 
 # upserts: a dump is stored, then one with changed, new and repeated rows is merged into it
-FIRST, SECOND = F.timestamp_seconds(F.lit(1000)), F.timestamp_seconds(F.lit(2000))
+def loaded(version: int):
+    """The moment at which a dump is loaded."""
+    return F.timestamp_seconds(F.lit(1000 * version))
+
+
 LOADED = "to_timestamp(CASE WHEN {second} THEN 2000 ELSE 1000 END)::TIMESTAMP"
 
 
@@ -145,7 +149,7 @@ def upsert_web_acls(s, d):
     acls = v.acls(s, d)
     second = acls.where((k % 5 == 0) | (F.col("capacity") > 2000))
     changed = dump(second, 1, "", 0).unionByName(dump(second.where(k % 3 == 0), 2, ',"Description":"again"', 1))
-    return stored(s, "web_acls", upsert.acl_rows(dump(acls.where(k % 5 != 0), 0, "", 0), FIRST), upsert.acl_rows(changed, SECOND))
+    return stored(s, "web_acls", upsert.acl_rows(dump(acls.where(k % 5 != 0), 0, "", 0), loaded(1)), upsert.acl_rows(changed, loaded(2)))
 
 
 @query("upsert_rules", f"""SELECT web_acl_id || '_' || CASE WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE name END AS rule_id, web_acl_id, arg_max(CASE WHEN p_partkey % 7 = 0 THEN '' ELSE name END, o) AS name,
@@ -170,7 +174,7 @@ def upsert_rules(s, d):
 
     rules = v.rules(s, d)
     first, second = rules.where(k % 6 != 1), rules.where((k % 2 == 0) | (k % 6 == 1))
-    return stored(s, "rules", upsert.rule_rows(dump(first, 0), FIRST), upsert.rule_rows(dump(second, 1000), SECOND))
+    return stored(s, "rules", upsert.rule_rows(dump(first, 0), loaded(1)), upsert.rule_rows(dump(second, 1000), loaded(2)))
 
 
 @query("upsert_resources", f"""SELECT association_id, web_acl_id, resource_arn, CASE WHEN c_custkey % 3 = 0 THEN 'LB' ELSE resource_type END AS resource_type,
@@ -180,7 +184,7 @@ def upsert_resources(s, d):
     k = F.col("k")
     second = rows.where((k % 3 == 0) | (k % 4 == 0))
     repeated = second.unionByName(second.where(k % 3 == 0).withColumns({"resource_type": F.lit("LB"), "position": F.lit(1)}))
-    return stored(s, "resource_associations", upsert.resource_rows(rows.where(k % 4 != 0), FIRST), upsert.resource_rows(repeated, SECOND))
+    return stored(s, "resource_associations", upsert.resource_rows(rows.where(k % 4 != 0), loaded(1)), upsert.resource_rows(repeated, loaded(2)))
 
 
 REDACTED = '[{"SingleHeader":{"Name":"cookie"}}]'
@@ -193,7 +197,7 @@ def upsert_logging(s, d):
     k = F.substring("web_acl_id", 5, 20).cast("bigint")
     dump = v.logging_dump(s, d)
     second = dump.where((k % 2 == 0) | (k % 5 == 0)).withColumns({"log_format": F.lit("TEXT"), "redacted_fields": F.lit(REDACTED)})
-    return stored(s, "logging_configurations", upsert.logging_rows(dump.where(k % 5 != 0), FIRST), upsert.logging_rows(second.unionByName(second), SECOND))
+    return stored(s, "logging_configurations", upsert.logging_rows(dump.where(k % 5 != 0), loaded(1)), upsert.logging_rows(second.unionByName(second), loaded(2)))
 
 
 @query("table_stats", " UNION ALL ".join(f"SELECT '{n}' AS table_name, {N} AS row_count FROM {t}" for n, t in
