@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_through
@@ -22,12 +22,10 @@ from .components import components
 WIDTH = 5
 #: the similarity as a fraction of whole numbers
 PART, WHOLE = 4, 5
-#: a shingle that begins more than so many sets comes last in the order
+#: a shingle that more than so many texts hold comes last in the order
 FREQUENT = 64
-#: shingles are counted in this first part of each set in hash order
-COUNTED = 0.5
 #: rounds in which each tile compares its sets with one of them, before all that is left
-ROUNDS = 3
+ROUNDS = 2
 #: bitmaps have as many bits as the next power of two above the size, within these
 LEAST_BITS, MOST_BITS = 1 << 6, 1 << 16
 
@@ -65,12 +63,12 @@ def prefix_length(n: int) -> int:
     return n - -(-n * PART // WHOLE) + 1 if n else 0
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
-    p = prefix_length(len(tokens))
-    if frequent is None or not len(tokens):
-        return tokens[:p]
+def prefix(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles, frequent ones last, and how many in a thousand of all shingles
+    are not frequent."""
     late = passes(frequent, tokens)
-    return np.concatenate([tokens[~late], tokens[late]])[:p]
+    ordered = np.concatenate([tokens[~late], tokens[late]])[: prefix_length(len(tokens))]
+    return ordered, 1000 * int((~late).sum()) // max(1, len(tokens))
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -106,39 +104,55 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return overlap * WHOLE >= (len(x) + len(y) - overlap) * PART
 
 
-def _prefix_rows(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
-    """set, tokens, place: the first shingles of each text and, of a column `place` if
-    docs has one, its value. Without a filter of frequent ones, the part to be counted."""
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """A filter of the shingles that more than FREQUENT texts have. It only sets the order
+    of shingles, in which any other that passes may come late as well. Passages that many
+    texts share are late then, unless a text holds little else, and do not bring these
+    texts together."""
+
+    def run(batch: pa.RecordBatch):
+        tokens, n = np.unique(np.concatenate(shingle_sets(batch.column(0))), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n)], ["token", "n"])
+
+    counts = arrow_map(docs.select("text"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return bit_filter(counts.where(F.col("n") > FREQUENT).select("token"), "token")
+
+
+def first_shingles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """set, n, lone, tokens, place: each set's size, rare shingles in a thousand and first
+    shingles. Of documents with equal sets the smallest place stands for all."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
-    placed = "place" in docs.columns
 
     def run(batch: pa.RecordBatch):
         sets = shingle_sets(batch.column(0))
         some = [i for i, s in enumerate(sets) if len(s)]
-        columns = [pa.array([set_key(sets[i]) for i in some], pa.int64()), pa.array([sets[i][: int(np.ceil(len(sets[i]) * COUNTED))] if held.value is None else prefix(sets[i], held.value) for i in some], pa.list_(pa.int64()))]
-        columns += [batch.column(1).take(pa.array(some, pa.int64()))] if placed else []
-        yield pa.RecordBatch.from_arrays(columns, ["set", "tokens", "place"][: len(columns)])
+        firsts = [prefix(sets[i], held.value) for i in some]
+        columns = [pa.array([set_key(sets[i]) for i in some], pa.int64()), pa.array([len(sets[i]) for i in some], pa.int64()), pa.array([lone for _, lone in firsts], pa.int32()), pa.array([t for t, _ in firsts], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*columns, batch.column(1).take(pa.array(some, pa.int64()))], ["set", "n", "lone", "tokens", "place"])
 
-    schema = "set bigint, tokens array<bigint>" + ", place bigint" * placed
-    return arrow_map(docs.select("text", *["place"] * placed), run, schema)
+    rows = arrow_map(docs.select("text", "place"), run, "set bigint, n bigint, lone int, tokens array<bigint>, place bigint")
+    return rows.groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "lone", "tokens")], F.min("place").alias("place"))
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """A filter of the shingles that more than FREQUENT texts have in the part of them that
-    is counted. It only sets the order of shingles, in which any other that passes may come
-    late as well. Passages that many texts share are late then, unless a text holds little
-    else, and do not bring these texts together."""
-    counts = _prefix_rows(docs.select("text"), None).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    return bit_filter(counts.where(F.col("n") > FREQUENT).select("token"), "token")
+def meetings(sets: DataFrame) -> DataFrame:
+    """token, rank, set, n, lone, place: first shingles that two sets or more have in
+    common, and how many of the set's come before in the order. Only shingles are counted
+    across all sets; a filter of fixed size keeps most rows of others out of the join."""
+    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("times"))
+    shared = settle(counts.where("times > 1").select("token"), "shared-shingles")
+    held = sets.sparkSession.sparkContext.broadcast(bit_filter(shared, "token"))
 
+    def run(batch: pa.RecordBatch):
+        lists = batch.column(0)
+        tokens, offsets = lists.flatten().to_numpy(), np.asarray(lists.offsets)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        rank = np.arange(len(tokens)) - (offsets[:-1] - offsets[0])[row]
+        hit = passes(held.value, tokens)
+        others = [c.take(pa.array(row[hit])) for c in batch.columns[1:]]
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), pa.array(rank[hit], pa.int64()), *others], ["token", "rank", "set", "n", "lone", "place"])
 
-def meetings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """token, set, rank, place, n: first shingles that n sets, two or more, have in common,
-    and how many of the set's come before in the order. Of documents with equal sets the smallest place stands for all, before any exchange."""
-    sets = _prefix_rows(docs, frequent).groupBy("set").agg(F.first("tokens").alias("tokens"), F.min("place").alias("place"))
-    rows = sets.select("set", "place", F.posexplode("tokens").alias("rank", "token"))
-    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("token")))
-    return counted.where("n > 1")
+    rows = arrow_map(sets.select("tokens", "set", "n", "lone", "place"), run, "token bigint, rank bigint, set bigint, n bigint, lone int, place bigint")
+    return rows.join(shared, "token", "left_semi")
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -208,34 +222,46 @@ def verify(pairs: DataFrame, sets: DataFrame, signs: DataFrame) -> DataFrame:
     return settle(arrow_map(joined.select("a", "b", "a_tokens", "b_tokens"), by_shingles, "a bigint, b bigint"), "similar-sets")
 
 
+def may_reach(n: Column, rank: Column, m: Column, other: Column) -> Column:
+    """False if sets of n and m shingles cannot be similar although they have the one with
+    these ranks in common: when it is their first, each must still hold the whole overlap."""
+    left = F.least(n - rank, m - other)
+    return (left * (WHOLE + PART) >= (n + m) * PART) & (F.least(n, m) * WHOLE >= F.greatest(n, m) * PART)
+
+
 def set_components(met: DataFrame, sets: DataFrame) -> DataFrame:
     """node, component over sets. A pair that is already connected need not be compared.
     So each round takes one set of every token's meeting and compares with it all that are
-    not connected to it yet; the sets left unconnected in a meeting are then compared
-    pair by pair, split into bands of near sizes."""
+    not connected to it yet. The first round takes the set with the smallest share of rare
+    shingles, which is the middle of a group of near copies; the next takes any. The sets
+    left unconnected in a meeting are then compared pair by pair, split into bands of near
+    sizes, as far as their ranks let them reach the similarity."""
     signs = settle(sets.select("set", "n", "bits").dropDuplicates(["set"]), "set-signs")
     links = met.sparkSession.createDataFrame([], "a bigint, b bigint")
-    met = met.select("token", "set", "rank")
+    met = met.select("token", "set", "rank", "n", "lone")
     labelled = met.withColumn("component", F.col("set"))
     for turn in range(ROUNDS):
-        first = F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("o"), F.col("set").alias("leader"), F.col("component").alias("led"))).alias("x")
+        order = F.col("lone") if turn == 0 else F.xxhash64("component", F.lit(turn))
+        first = F.min(F.struct(order.alias("o"), F.col("set").alias("leader"), F.col("component").alias("led"), F.col("n").alias("m"), F.col("rank").alias("r"))).alias("x")
         leaders = labelled.groupBy("token").agg(first, F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = leaders.where("low < high").select("token", "x.leader", "x.led")
-        pairs = labelled.join(open_, "token").where("component <> led").select(F.col("set").alias("a"), F.col("leader").alias("b")).distinct()
+        open_ = leaders.where("low < high").select("token", "x.leader", "x.led", "x.m", "x.r")
+        near = may_reach(F.col("n"), F.col("rank"), F.col("m"), F.col("r"))
+        pairs = labelled.join(open_, "token").where((F.col("component") != F.col("led")) & near).select(F.col("set").alias("a"), F.col("leader").alias("b")).distinct()
         new = verify(pairs, sets, signs)
         if new.isEmpty():
             break
         links = write_through(links.union(new), "all-links")
         found = components(links).select(F.col("node").alias("set"), F.col("component").alias("c"))
-        labelled = settle(met.join(found, "set", "left").select("token", "set", "rank", F.coalesce("c", "set").alias("component")), "meetings")
+        labelled = settle(met.join(found, "set", "left").select(*met.columns, F.coalesce("c", "set").alias("component")), "meetings")
     kinds = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     band = F.floor(F.log(F.col("n")) / float(np.log(WHOLE / PART))).cast("int")
-    rows = settle(labelled.join(kinds, "token", "left_semi").join(signs.select("set", "n"), "set").withColumn("band", band), "open-meetings")
-    up = rows.select("token", F.col("set").alias("s"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("rank").alias("r"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    # from the first shingle in common on, each set must still hold the whole overlap
-    left = F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("r"))
-    near = (left * (WHOLE + PART) >= (F.col("n") + F.col("m")) * PART) & (F.least("n", "m") * WHOLE >= F.greatest("n", "m") * PART)
-    rest = rows.join(up, ["token", "band"]).where((F.col("component") != F.col("c")) & near)
+    rows = settle(labelled.join(kinds, "token", "left_semi").withColumn("band", band), "open-meetings")
+    # of two sets, the overlap is at least 8/9 of the smaller one: where no more can be left of it, it meets no larger one
+    small = rows.where((F.col("n") - F.col("rank")) * (WHOLE + PART) >= 2 * PART * F.col("n"))
+    up = small.select("token", F.col("set").alias("s"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("rank").alias("r"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    larger = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("set") > F.col("s")))
+    near = may_reach(F.col("n"), F.col("rank"), F.col("m"), F.col("r"))
+    rest = rows.join(up, ["token", "band"]).where((F.col("component") != F.col("c")) & larger & near)
     pairs = rest.select(F.least("set", "s").alias("a"), F.greatest("set", "s").alias("b")).distinct()
     return components(links.union(verify(pairs, sets, signs)))
 
@@ -248,7 +274,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     texts = docs.select(place.alias("place"), "text")
     frequent = frequent_shingles(texts)
     release(docs.sparkSession)
-    met = settle(meetings(texts, frequent), "meetings")
+    first = settle(first_shingles(texts, frequent), "first-shingles")
+    met = settle(meetings(first), "meetings")
     sets = settle(set_table(texts, bit_filter(met, "place")), "sets")
     found = settle(set_components(met, sets).select(F.col("node").alias("set"), "component"), "set-components")
     rows = describe(docs).join(found, "set", "left")

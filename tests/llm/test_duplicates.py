@@ -86,12 +86,32 @@ def test_prefixes_meet_and_bitmaps_bound():
         assert jaccard_join.linked(x, y) == similar
         late = np.zeros(1 << 21, np.uint8)
         late[rng.integers(0, 1 << 21, 1 << 20)] = 255
-        for frequent in (None, late):
-            meet = set(jaccard_join.prefix(x, frequent)) & set(jaccard_join.prefix(y, frequent))
+        for frequent in (np.zeros(1 << 21, np.uint8), late):
+            meet = set(jaccard_join.prefix(x, frequent)[0]) & set(jaccard_join.prefix(y, frequent)[0])
             assert meet or not similar
         assert jaccard_join.may_link(len(x), len(y), jaccard_join.bitmap(x), jaccard_join.bitmap(y)) or not similar
 
 
+def test_ranks_let_similar_sets_pass(spark):
+    """No similar pair is ruled out by the ranks of its first common shingle, and a set
+    whose ranks are too late meets no larger one."""
+    rng, rows, want = np.random.default_rng(8), [], []
+    for _ in range(400):
+        x = rng.permutation(200)[: int(rng.integers(2, 120))]
+        y = np.concatenate([x[rng.random(len(x)) > 0.08], 200 + np.arange(int(rng.integers(0, 12)))])
+        x, y = sorted(x.tolist()), sorted(y.tolist())
+        both = set(x) & set(y)
+        if both:
+            rows.append((len(x), x.index(min(both)), len(y), y.index(min(both))))
+            want.append(5 * len(both) >= 4 * len(set(x) | set(y)))
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, n bigint, r bigint, m bigint, q bigint")
+    got = got.withColumn("near", jaccard_join.may_reach(*[got[c] for c in "nrmq"])).orderBy("i").collect()
+    assert any(want) and all(g["near"] for g, w in zip(got, want, strict=True) if w)
+    for (n, r, m, q), w in zip(rows, want, strict=True):
+        k, rank = min((n, r), (m, q))
+        assert not w or 9 * (k - rank) >= 8 * k
+
+
 def test_one_of_each(odd, none):
     stay = jaccard_join.one_of_each(odd)
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in stay.collect())
