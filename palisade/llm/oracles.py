@@ -10,16 +10,31 @@ _LINES = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: rege
 
 
 def _quality_rules() -> str:
-    from .quality_rules import MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, REACH, RULES, WINDOW
+    from .quality_rules import BITS, GAP, LADDER, MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, NO_FENCE, REACH, RULES, WINDOW
 
     values = ", ".join(f"('{m}', {m})" for m in RULES)
-    slack = " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in RULES.items())
-    lower = ", ".join(f"'{m}'" for m, (_, two) in RULES.items() if two)
-    level = lambda name, keys: f"""{name} AS (  -- noqa
-        SELECT {''.join(k + ', ' for k in keys)}measure, max(total) AS total, min(bin) FILTER (4 * below >= total) AS q25, min(bin) FILTER (2 * below >= total) AS q50, min(bin) FILTER (4 * below >= 3 * total) AS q75
-        FROM (SELECT *, sum(n) OVER (PARTITION BY {''.join(k + ', ' for k in keys)}measure) AS total, sum(n) OVER (PARTITION BY {''.join(k + ', ' for k in keys)}measure ORDER BY bin) AS below
-              FROM (SELECT {''.join(k + ', ' for k in keys)}measure, bin, sum(n) AS n FROM bins GROUP BY ALL)) GROUP BY {''.join(k + ', ' for k in keys)}measure)""".replace("  -- noqa", "")
-    pick = lambda q: f"CASE WHEN g.total >= {MIN_GROUP} THEN g.{q} WHEN l.total >= {MIN_GROUP} THEN l.{q} ELSE a.{q} END"
+    kinds = " ".join(f"WHEN '{m}' THEN '{kind}'" for m, kind in RULES.items())
+    both = ", ".join(f"'{m}'" for m, kind in RULES.items() if kind == "both")
+    shares = [250, *LADDER]
+    spread = lambda t: f"least({t}.q500 - {t}.q250, {t}.q750 - {t}.q500)"
+
+    def level(name: str, keys: list[str], bins: str) -> str:
+        k = "".join(f"{x}, " for x in keys)
+        at = ", ".join(f"min(bin) FILTER (1000 * below >= {x} * total) AS q{x}" for x in shares)
+        return f"""{name} AS (SELECT {k}measure, max(total) AS total, {at}
+            FROM (SELECT *, sum(n) OVER (PARTITION BY {k}measure) AS total, sum(n) OVER (PARTITION BY {k}measure ORDER BY bin) AS below
+                  FROM (SELECT {k}measure, bin, sum(n) AS n FROM {bins} GROUP BY ALL)) GROUP BY {k}measure)"""
+
+    def chosen(name: str, mark: str, flat: bool) -> str:
+        usable = lambda t: f"{t}.total >= {MIN_GROUP}" + (f" AND NOT (f.measure IN ({both}) AND {spread(t)} = 0)" if flat else "")
+        picks = ", ".join(f"CASE WHEN {usable('g')} THEN g.q{x} WHEN {usable('l')} THEN l.q{x} ELSE a.q{x} END AS q{x}" for x in shares)
+        return f"""{name} AS (SELECT f.lang, f.source, f.measure, {picks} FROM (SELECT DISTINCT lang, source, measure FROM bins) f
+            LEFT JOIN {mark}g g ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source AND f.measure = g.measure
+            LEFT JOIN {mark}l l ON f.lang IS NOT DISTINCT FROM l.lang AND f.measure = l.measure LEFT JOIN {mark}a a ON f.measure = a.measure)"""
+
+    tables = [level(f"{mark}{name}", keys, bins) for mark, bins in (("w", "bins"), ("s", "some_bins")) for name, keys in (("g", ["lang", "source"]), ("l", ["lang"]), ("a", []))]
+    steps = ", ".join(f"{{'ratio': (q{y} + 1) // (q{x} + 1), 'fence': floor(sqrt((q{x} + 1) * (q{y} + 1)))}}" for x, y in zip(LADDER, LADDER[1:], strict=False))
+    width = lambda c: f"{c} // {1 << (BITS - 1)} + 1"
     return f"""
     WITH words AS (SELECT row_number() OVER () AS r, doc_id, text, lang, source, {_WORDS} AS w, {_LINES} AS ln FROM documents),
     spots AS (SELECT r, len(w) AS n, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM words WHERE len(w) > {WINDOW}),
@@ -32,14 +47,17 @@ def _quality_rules() -> str:
         CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS word_length, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS symbol_rate,
         CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_line_rate, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeat_rate FROM base),
     vals AS (SELECT r, lang, source, measure, v FROM m CROSS JOIN LATERAL (VALUES {values}) AS x(measure, v) WHERE NOT base_failed),
-    bins AS (SELECT lang, source, measure, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) AS bin, count(*) AS n FROM vals GROUP BY ALL),
-    {level('g', ['lang', 'source'])}, {level('l', ['lang'])}, {level('a', [])},
-    q AS (SELECT f.lang, f.source, f.measure, {pick('q25')} AS q25, {pick('q50')} AS q50, {pick('q75')} AS q75
-        FROM (SELECT DISTINCT lang, source, measure FROM bins) f JOIN g ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source AND f.measure = g.measure
-        JOIN l ON f.lang IS NOT DISTINCT FROM l.lang AND f.measure = l.measure JOIN a ON f.measure = a.measure),
-    fences AS (SELECT lang, source, measure, greatest(CASE measure {slack} END, {REACH} * least(q50 - q25, q75 - q50)) AS wide, q50 FROM q),
+    bins AS (SELECT lang, source, measure, (v >> greatest(0, length(bin(v)) - {BITS})) << greatest(0, length(bin(v)) - {BITS}) AS bin, count(*) AS n FROM vals GROUP BY ALL),
+    some_bins AS (SELECT * FROM bins WHERE bin > 0),
+    {', '.join(tables)}, {chosen('whole', 'w', True)}, {chosen('few', 's', False)},
+    marks AS (SELECT w.*, CASE w.measure {kinds} END AS kind, {spread('w')} AS spread, list_max([{steps}]) AS step FROM whole w),
+    fences AS (SELECT m.lang, m.source, m.measure, CASE WHEN kind = 'both' THEN m.q500 - greatest({REACH} * spread, {width('m.q500')}) ELSE -1 END AS low,
+        CASE WHEN kind = 'both' THEN m.q500 + greatest({REACH} * spread, {width('m.q500')}) WHEN spread > 0 THEN m.q500 + {REACH} * spread
+            WHEN kind = 'apart' THEN CASE WHEN step.ratio >= {GAP} THEN step.fence ELSE {NO_FENCE} END
+            ELSE coalesce(s.q500 + greatest({REACH} * {spread('s')}, {width('s.q500')}), {NO_FENCE}) END AS high
+        FROM marks m LEFT JOIN few s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source AND m.measure = s.measure),
     bad AS (SELECT DISTINCT r FROM vals v JOIN fences f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.measure = f.measure
-        WHERE v.v > q50 + wide OR (v.measure IN ({lower}) AND v.v < q50 - wide))
+        WHERE v.v > high OR v.v < low)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept, n_lines, word_length, symbol_rate, dup_line_rate, repeat_rate FROM m
     """
 

@@ -16,14 +16,22 @@ from .base import free_name, let, word_array
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: bins keep the first so many bits of a value, so they are at most 1/32 wide
-BITS = 6
+#: bins keep the first so many bits of a value, so they are at most 1/128 wide
+BITS = 8
 #: a group needs so many documents for a sketch of its own
 MIN_GROUP = 100
-#: fences lie so many half-spreads away from the median
-REACH = 6
-#: measure: (least distance of the fence from the median, has a lower fence too)
-RULES = {"word_length": (200, True), "symbol_rate": (150, False), "dup_line_rate": (400, False), "repeat_rate": (250, False)}
+#: fences lie so many half-spreads away from the median: about eight standard deviations
+REACH = 12
+#: values so many times as large as those below stand apart
+GAP = 20
+#: what sets a measure's fence where half of all documents have one value: "both" asks a
+#: wider group, "apart" looks for values that stand apart, "steps" takes the spread of the
+#: documents that have any, as rates of lines and windows come in large steps
+RULES = {"word_length": "both", "symbol_rate": "apart", "dup_line_rate": "steps", "repeat_rate": "steps"}
+#: quantiles that are compared with each other to find values that stand apart, in a thousand
+LADDER = [500, 750, 900, 950, 980, 990, 995, 999]
+#: fence of a measure in which nothing stands out
+NO_FENCE = 1 << 62
 #: values measured for every document
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -89,39 +97,73 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, measure, total, q25, q50, q75: the smallest bin with that share of the count
-    at or below it. Bins of one group are few, whatever its size."""
+    """keys, measure, total, q250 and those of LADDER: the smallest bin with that share of
+    the count, in a thousand, at or below it. Bins of one group are few, whatever its size."""
     group = Window.partitionBy(*keys, "measure")
     ranked = sketches.withColumns({"total": F.sum("n").over(group), "below": F.sum("n").over(group.orderBy("bin"))})
-    at = lambda percent: F.min(F.when(100 * F.col("below") >= percent * F.col("total"), F.col("bin")))
-    return ranked.groupBy(*keys, "measure", "total").agg(at(25).alias("q25"), at(50).alias("q50"), at(75).alias("q75"))
-
-
-def thresholds(sketches: DataFrame) -> DataFrame:
-    """lang, source and for each measure lower and upper fence. A group with fewer than
-    MIN_GROUP documents takes its language's merged sketch, and a language with fewer that
-    of all documents. Only the inner half of a distribution sets a fence: its distance from
-    the median is REACH times the lower half-spread, so a share of bad documents above the
-    median does not move it."""
-    fine = sketches.groupBy("lang", "source", "measure").agg(F.sum("n").alias("own")).alias("f")
-    levels = {"g": ["lang", "source"], "l": ["lang"], "a": []}
-    out = fine
-    for name, keys in levels.items():
-        side = quantiles(merge(sketches, keys), keys).alias(name)
+    at = lambda share: F.min(F.when(1000 * F.col("below") >= share * F.col("total"), F.col("bin")))
+    return ranked.groupBy(*keys, "measure", "total").agg(*[at(x).alias(f"q{x}") for x in (250, *LADDER)])
+
+
+def levels(sketches: DataFrame, groups: DataFrame, two_sided: bool) -> DataFrame:
+    """groups (lang, source, measure) with the quantiles of their own sketch, or of their
+    language's merged sketch where they have fewer than MIN_GROUP documents, or else of all
+    documents. With two_sided, a sketch of "both" that has no spread is passed over too, as
+    in a source that is mostly copies of one text."""
+    out = groups.alias("f")
+    names = ["q250", *[f"q{x}" for x in LADDER]]
+    for name, keys in {"g": ["lang", "source"], "l": ["lang"], "a": []}.items():
         on = F.col("f.measure") == F.col(f"{name}.measure")
         for k in keys:
             on = on & F.col(f"f.{k}").eqNullSafe(F.col(f"{name}.{k}"))
-        out = out.join(side, on, "left")
-    pick = lambda c: F.when(F.col("g.total") >= MIN_GROUP, F.col(f"g.{c}")).when(F.col("l.total") >= MIN_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
-    chosen = out.select("f.lang", "f.source", "f.measure", *[pick(c).alias(c) for c in ("q25", "q50", "q75")])
-    spread = F.least(F.col("q50") - F.col("q25"), F.col("q75") - F.col("q50"))
-    wide = lambda slack: F.greatest(F.lit(slack).cast("long"), REACH * spread)
+        out = out.join(quantiles(merge(sketches, keys), keys).alias(name), on, "left")
+
+    def usable(name: str) -> Column:
+        enough = F.col(f"{name}.total") >= MIN_GROUP
+        flat = F.col("f.measure").isin([m for m, kind in RULES.items() if kind == "both"]) & (half_spread(f"{name}.") == 0)
+        return enough & ~flat if two_sided else enough
+
+    pick = lambda c: F.when(usable("g"), F.col(f"g.{c}")).when(usable("l"), F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
+    return out.select("f.lang", "f.source", "f.measure", *[pick(c).alias(c) for c in names])
+
+
+def half_spread(prefix: str = "") -> Column:
+    """The smaller distance of a quartile from the median: a share of bad documents on one
+    side of the median does not move it."""
+    q25, q50, q75 = (F.col(f"{prefix}{c}") for c in ("q250", "q500", "q750"))
+    return F.least(q50 - q25, q75 - q50)
+
+
+def apart() -> Column:
+    """The geometric middle of the widest step between neighbours of the LADDER, if that is
+    at least GAP-fold; else no fence."""
+    steps = []
+    for low, high in zip(LADDER, LADDER[1:], strict=False):
+        x, y = F.col(f"q{low}") + 1, F.col(f"q{high}") + 1
+        steps.append(F.struct(F.floor(y / x).alias("ratio"), F.floor(F.sqrt(x * y)).alias("fence")))
+    return let(F.array_max(F.array(*steps)), lambda s: F.when(s["ratio"] >= GAP, s["fence"]).otherwise(NO_FENCE))
+
+
+def thresholds(sketches: DataFrame) -> DataFrame:
+    """lang, source and for each measure lower and upper fence. Where the inner half of a
+    distribution has a spread, fences lie REACH half-spreads from the median. Where it has
+    none, the kind of the measure (RULES) says what sets the fence. The width of a bin is
+    the least distance, as quantiles are known up to that."""
+    groups = sketches.select("lang", "source", "measure").distinct()
+    width = lambda c: F.shiftright(c, BITS - 1) + 1
+    whole = levels(sketches, groups, True)
+    some = levels(sketches.where("bin > 0"), groups, False)
+    some = some.withColumn("some", F.col("q500") + F.greatest(REACH * half_spread(), width("q500"))).select(F.col("lang").alias("some_lang"), F.col("source").alias("some_source"), F.col("measure").alias("some_measure"), "some")
+    same = F.col("lang").eqNullSafe(F.col("some_lang")) & F.col("source").eqNullSafe(F.col("some_source")) & (F.col("measure") == F.col("some_measure"))
+    wide, spread = REACH * half_spread(), half_spread() > 0
     fences = []
-    for m, (slack, lower) in RULES.items():
+    for m, kind in RULES.items():
         mine = F.col("measure") == m
-        fences.append(F.max(F.when(mine, F.col("q50") + wide(slack))).alias(f"{m}_upper"))
-        fences.append(F.max(F.when(mine, (F.col("q50") - wide(slack)) if lower else F.lit(-1).cast("long"))).alias(f"{m}_lower"))
-    return chosen.groupBy("lang", "source").agg(*fences)
+        upper = {"both": F.col("q500") + F.greatest(wide, width("q500")), "apart": F.when(spread, F.col("q500") + wide).otherwise(apart()), "steps": F.when(spread, F.col("q500") + wide).otherwise(F.coalesce("some", F.lit(NO_FENCE)))}[kind]
+        lower = F.col("q500") - F.greatest(wide, width("q500")) if kind == "both" else F.lit(-1)
+        fences.append(F.max(F.when(mine, upper.cast("long"))).alias(f"{m}_upper"))
+        fences.append(F.max(F.when(mine, lower.cast("long"))).alias(f"{m}_lower"))
+    return whole.join(some, same, "left").groupBy("lang", "source").agg(*fences)
 
 
 def judge(measured: DataFrame, fences: DataFrame, prefix: str = "", name: str = "kept") -> DataFrame:
@@ -143,9 +185,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty and fails; null language or source is a group of its own.
     Repeated rows are judged each; an empty table gives no rows; other columns of docs are
-    ignored. The measures, a few numbers a document, are written once and read twice."""
+    ignored. The measures, a few numbers a document, are written once and read
+    twice; the sketches, whose bins do not grow with the documents, are written as well."""
     measured = write_through(measure(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality-measures")
-    fences = write_through(thresholds(sketch(measured)), "quality-fences")
+    bins = write_through(sketch(measured), "quality-sketches")
+    fences = write_through(thresholds(bins), "quality-fences")
     return judge(measured, fences).select("doc_id", *BASE, "base_failed", "kept", "n_lines", *RULES)
 
 
@@ -155,5 +199,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     measures: computed in the filter instead, each measure would be computed many times."""
     q = free_name(docs, "__q_")
     measured = write_through(measure(docs, q), "quality-documents")
-    fences = write_through(thresholds(sketch(measured, q)), "quality-fences")
+    bins = write_through(sketch(measured, q), "quality-sketches")
+    fences = write_through(thresholds(bins), "quality-fences")
     return judge(measured, fences, q, f"{q}kept").where(F.col(f"{q}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -49,9 +49,47 @@ def test_sketches_merge_and_bound_quantiles(spark):
     fine = binned.groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
     got = quality_rules.quantiles(quality_rules.merge(fine, ["lang"]), ["lang"]).first()
     ordered = np.sort(values)
-    for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+    for name, q in (("q250", 0.25), ("q500", 0.5), ("q750", 0.75), ("q990", 0.99)):
         true = ordered[int(np.ceil(q * len(ordered))) - 1]
-        assert true * 31 / 32 - 1 <= got[name] <= true
+        assert true * 127 / 128 - 1 <= got[name] <= true
+
+
+def measured(spark, rows):
+    """Documents as measure gives them: (lang, source, word_length, symbol_rate, dup_line_rate, repeat_rate)."""
+    table = [(i, *r, False) for i, r in enumerate(rows)]
+    return spark.createDataFrame(table, "doc_id bigint, lang string, source string, word_length bigint, symbol_rate bigint, dup_line_rate bigint, repeat_rate bigint, base_failed boolean")
+
+
+def fences_of(spark, rows):
+    return {(r["lang"], r["source"]): r for r in quality_rules.thresholds(quality_rules.sketch(measured(spark, rows))).collect()}
+
+
+def test_fences_follow_their_source(spark):
+    prose = [("en", "prose", 480 + i % 41, 0, 0, 0) for i in range(380)] + [("en", "prose", 500, 450 + i, 0, 0) for i in range(20)]
+    code = [("en", "code", 600 + i % 201, 250 + i % 401, 0, 0) for i in range(400)]
+    got = fences_of(spark, prose + code)
+    a, b = got["en", "prose"], got["en", "code"]
+    # the same symbols pass in one source and not in the other, so no fixed cutoff gives both verdicts
+    assert a["symbol_rate_upper"] < 450 < b["symbol_rate_upper"]
+    assert a["word_length_upper"] < 800 < b["word_length_upper"] and a["word_length_lower"] > 300
+    verdicts = quality_rules.judge(measured(spark, prose + code), quality_rules.thresholds(quality_rules.sketch(measured(spark, prose + code)))).groupBy("source", "kept").count().collect()
+    assert {(r["source"], r["kept"]): r["count"] for r in verdicts} == {("prose", True): 380, ("prose", False): 20, ("code", True): 400}
+
+
+def test_fences_without_spread(spark):
+    lines = [("en", "a", 500 + i % 9, i % 2 if i % 20 == 0 else 0, 50 + i % 120 if i % 3 == 0 else 0, 0) for i in range(600)]
+    copies = [("en", "copies", 507, 0, 0, 0) for _ in range(300)]
+    got = fences_of(spark, lines + copies + [("fr", None, 900, 0, 0, 0)])
+    a, b, c = got["en", "a"], got["en", "copies"], got["fr", None]
+    assert 170 < a["dup_line_rate_upper"] < 1000 and a["symbol_rate_upper"] == quality_rules.NO_FENCE
+    # a source of copies takes the spread of its language, a small group that of all documents
+    assert b["word_length_upper"] - b["word_length_lower"] > 2 * quality_rules.REACH and c["word_length_upper"] < 900
+    assert b["repeat_rate_upper"] == quality_rules.NO_FENCE
+
+
+def test_stray_symbols_do_not_stand_apart(spark):
+    rows = [("en", "a", 500 + i % 9, 0 if i % 10 else i % 7, 0, 0) for i in range(970)] + [("en", "a", 500, 900, 0, 0) for _ in range(30)]
+    assert 7 < fences_of(spark, rows)["en", "a"]["symbol_rate_upper"] < 900
 
 
 def test_targets():
