@@ -17,6 +17,7 @@ def _quality_rules() -> str:
     both = ", ".join(f"'{m}'" for m, kind in RULES.items() if kind == "both")
     shares = [250, *LADDER]
     spread = lambda t: f"least({t}.q500 - {t}.q250, {t}.q750 - {t}.q500)"
+    either = lambda t: f"CASE WHEN {spread(t)} = 0 THEN greatest({t}.q500 - {t}.q250, {t}.q750 - {t}.q500) ELSE {spread(t)} END"
 
     def level(name: str, keys: list[str], bins: str) -> str:
         k = "".join(f"{x}, " for x in keys)
@@ -26,7 +27,7 @@ def _quality_rules() -> str:
                   FROM (SELECT {k}measure, bin, sum(n) AS n FROM {bins} GROUP BY ALL)) GROUP BY {k}measure)"""
 
     def chosen(name: str, mark: str, flat: bool) -> str:
-        usable = lambda t: f"{t}.total >= {MIN_GROUP}" + (f" AND NOT (f.measure IN ({both}) AND {spread(t)} = 0)" if flat else "")
+        usable = lambda t: f"{t}.total >= {MIN_GROUP}" + (f" AND NOT (f.measure IN ({both}) AND {either(t)} = 0)" if flat else "")
         picks = ", ".join(f"CASE WHEN {usable('g')} THEN g.q{x} WHEN {usable('l')} THEN l.q{x} ELSE a.q{x} END AS q{x}" for x in shares)
         return f"""{name} AS (SELECT f.lang, f.source, f.measure, {picks} FROM (SELECT DISTINCT lang, source, measure FROM bins) f
             LEFT JOIN {mark}g g ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source AND f.measure = g.measure
@@ -51,10 +52,10 @@ def _quality_rules() -> str:
     some_bins AS (SELECT * FROM bins WHERE bin > 0),
     {', '.join(tables)}, {chosen('whole', 'w', True)}, {chosen('few', 's', False)},
     marks AS (SELECT w.*, CASE w.measure {kinds} END AS kind, {spread('w')} AS spread, list_max([{steps}]) AS step FROM whole w),
-    fences AS (SELECT m.lang, m.source, m.measure, CASE WHEN kind = 'both' THEN m.q500 - greatest({REACH} * spread, {width('m.q500')}) ELSE -1 END AS low,
-        CASE WHEN kind = 'both' THEN m.q500 + greatest({REACH} * spread, {width('m.q500')}) WHEN spread > 0 THEN m.q500 + {REACH} * spread
+    fences AS (SELECT m.lang, m.source, m.measure, CASE WHEN kind = 'both' THEN m.q500 - greatest({REACH} * ({either('m')}), {width('m.q500')}) ELSE -1 END AS low,
+        CASE WHEN kind = 'both' THEN m.q500 + greatest({REACH} * ({either('m')}), {width('m.q500')}) WHEN spread > 0 THEN m.q500 + {REACH} * spread
             WHEN kind = 'apart' THEN CASE WHEN step.ratio >= {GAP} THEN step.fence ELSE {NO_FENCE} END
-            ELSE coalesce(s.q500 + greatest({REACH} * {spread('s')}, {width('s.q500')}), {NO_FENCE}) END AS high
+            ELSE coalesce(s.q500 + greatest({REACH} * ({either('s')}), {width('s.q500')}), {NO_FENCE}) END AS high
         FROM marks m LEFT JOIN few s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source AND m.measure = s.measure),
     bad AS (SELECT DISTINCT r FROM vals v JOIN fences f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.measure = f.measure
         WHERE v.v > high OR v.v < low)

@@ -120,18 +120,20 @@ def levels(sketches: DataFrame, groups: DataFrame, two_sided: bool) -> DataFrame
 
     def usable(name: str) -> Column:
         enough = F.col(f"{name}.total") >= MIN_GROUP
-        flat = F.col("f.measure").isin([m for m, kind in RULES.items() if kind == "both"]) & (half_spread(f"{name}.") == 0)
+        flat = F.col("f.measure").isin([m for m, kind in RULES.items() if kind == "both"]) & (half_spread(f"{name}.", True) == 0)
         return enough & ~flat if two_sided else enough
 
     pick = lambda c: F.when(usable("g"), F.col(f"g.{c}")).when(usable("l"), F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
     return out.select("f.lang", "f.source", "f.measure", *[pick(c).alias(c) for c in names])
 
 
-def half_spread(prefix: str = "") -> Column:
+def half_spread(prefix: str = "", either: bool = False) -> Column:
     """The smaller distance of a quartile from the median: a share of bad documents on one
-    side of the median does not move it."""
+    side of the median does not move it. With either, the larger one where that is 0, as
+    copies of one text may fill a quarter."""
     q25, q50, q75 = (F.col(f"{prefix}{c}") for c in ("q250", "q500", "q750"))
-    return F.least(q50 - q25, q75 - q50)
+    least = F.least(q50 - q25, q75 - q50)
+    return F.when(least == 0, F.greatest(q50 - q25, q75 - q50)).otherwise(least) if either else least
 
 
 def apart() -> Column:
@@ -153,14 +155,15 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     width = lambda c: F.shiftright(c, BITS - 1) + 1
     whole = levels(sketches, groups, True)
     some = levels(sketches.where("bin > 0"), groups, False)
-    some = some.withColumn("some", F.col("q500") + F.greatest(REACH * half_spread(), width("q500"))).select(F.col("lang").alias("some_lang"), F.col("source").alias("some_source"), F.col("measure").alias("some_measure"), "some")
+    some = some.withColumn("some", F.col("q500") + F.greatest(REACH * half_spread(either=True), width("q500"))).select(F.col("lang").alias("some_lang"), F.col("source").alias("some_source"), F.col("measure").alias("some_measure"), "some")
     same = F.col("lang").eqNullSafe(F.col("some_lang")) & F.col("source").eqNullSafe(F.col("some_source")) & (F.col("measure") == F.col("some_measure"))
     wide, spread = REACH * half_spread(), half_spread() > 0
+    distance = F.greatest(REACH * half_spread(either=True), width("q500"))
     fences = []
     for m, kind in RULES.items():
         mine = F.col("measure") == m
-        upper = {"both": F.col("q500") + F.greatest(wide, width("q500")), "apart": F.when(spread, F.col("q500") + wide).otherwise(apart()), "steps": F.when(spread, F.col("q500") + wide).otherwise(F.coalesce("some", F.lit(NO_FENCE)))}[kind]
-        lower = F.col("q500") - F.greatest(wide, width("q500")) if kind == "both" else F.lit(-1)
+        upper = {"both": F.col("q500") + distance, "apart": F.when(spread, F.col("q500") + wide).otherwise(apart()), "steps": F.when(spread, F.col("q500") + wide).otherwise(F.coalesce("some", F.lit(NO_FENCE)))}[kind]
+        lower = F.col("q500") - distance if kind == "both" else F.lit(-1)
         fences.append(F.max(F.when(mine, upper.cast("long"))).alias(f"{m}_upper"))
         fences.append(F.max(F.when(mine, lower.cast("long"))).alias(f"{m}_lower"))
     return whole.join(some, same, "left").groupBy("lang", "source").agg(*fences)
