@@ -187,7 +187,8 @@ def bit_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray
     top = F.shiftrightunsigned(key, 64 - bits)
     set_bits = keys.select(F.shiftright(top, part).cast("int").alias("part"), (top % (1 << part)).cast("int").alias("bit")).distinct()
     out = np.zeros((1 << 10, 1 << part), bool)
-    for r in set_bits.groupBy("part").agg(F.collect_set("bit").alias("bits")).toLocalIterator():
+    # each partition is a job of its own there, so there are few
+    for r in set_bits.groupBy("part").agg(F.collect_set("bit").alias("bits")).coalesce(8).toLocalIterator():
         out[r["part"], r["bits"]] = True
     return np.packbits(out.reshape(-1), bitorder="little")
 

@@ -24,6 +24,8 @@ WIDTH = 5
 PART, WHOLE = 4, 5
 #: a shingle that more than so many texts hold comes last in the order
 FREQUENT = 64
+#: shingles are counted in so many parts, by their first bits, and told apart by the next 32
+PARTS = 1 << 12
 #: rounds in which each tile compares its sets with one of them, before all that is left
 ROUNDS = 2
 #: bitmaps have as many bits as the next power of two above the size, within these
@@ -104,38 +106,61 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return overlap * WHOLE >= (len(x) + len(y) - overlap) * PART
 
 
+def dealt_shingles(docs: DataFrame) -> DataFrame:
+    """part, tokens: the shingles of a batch of texts by their first bits, four bytes each.
+    One that more than FREQUENT texts of the batch hold is there FREQUENT + 1 times, others
+    as often as texts hold them."""
+    bits = PARTS.bit_length() - 1
+
+    def run(batch: pa.RecordBatch):
+        tokens, n = np.unique(np.concatenate(shingle_sets(batch.column(0))).view(np.uint64), return_counts=True)
+        tokens = np.repeat(tokens, np.minimum(n, FREQUENT + 1))
+        if len(tokens):
+            parts, starts = np.unique((tokens >> np.uint64(64 - bits)).astype(np.int32), return_index=True)
+            rest = (tokens >> np.uint64(32 - bits)).astype(np.uint32)
+            offsets = np.append(starts, len(tokens)).astype(np.int32) * 4
+            packed = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(offsets), pa.py_buffer(rest)])
+            yield pa.RecordBatch.from_arrays([pa.array(parts), packed], ["part", "tokens"])
+
+    return arrow_map(docs.select("text"), run, "part int, tokens binary")
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """A filter of the shingles that more than FREQUENT texts have. It only sets the order
     of shingles, in which any other that passes may come late as well. Passages that many
     texts share are late then, unless a text holds little else, and do not bring these
-    texts together."""
+    texts together. All shingles of all texts are counted; they travel packed, a row for a
+    batch and part, and not in a row each."""
+    bits = PARTS.bit_length() - 1
 
-    def run(batch: pa.RecordBatch):
-        tokens, n = np.unique(np.concatenate(shingle_sets(batch.column(0))), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n)], ["token", "n"])
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        rest, n = np.unique(np.frombuffer(b"".join(rows["tokens"].to_pylist()), np.uint32), return_counts=True)
+        first = np.uint64(key[0].as_py()) << np.uint64(64 - bits)
+        tokens = first | (rest[n > FREQUENT].astype(np.uint64) << np.uint64(32 - bits))
+        return pa.table({"token": pa.array(tokens.view(np.int64))})
 
-    counts = arrow_map(docs.select("text"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    return bit_filter(counts.where(F.col("n") > FREQUENT).select("token"), "token")
+    return bit_filter(dealt_shingles(docs).groupBy("part").applyInArrow(count, "token bigint"), "token")
 
 
 def first_shingles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """set, n, lone, tokens, place: each set's size, rare shingles in a thousand and first
-    shingles. Of documents with equal sets the smallest place stands for all."""
+    """set, n, lone, bits, tokens, place: each set's size, rare shingles in a thousand,
+    bitmap and first shingles. Of documents with equal sets the smallest place stands for
+    all."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batch: pa.RecordBatch):
         sets = shingle_sets(batch.column(0))
         some = [i for i, s in enumerate(sets) if len(s)]
         firsts = [prefix(sets[i], held.value) for i in some]
-        columns = [pa.array([set_key(sets[i]) for i in some], pa.int64()), pa.array([len(sets[i]) for i in some], pa.int64()), pa.array([lone for _, lone in firsts], pa.int32()), pa.array([t for t, _ in firsts], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*columns, batch.column(1).take(pa.array(some, pa.int64()))], ["set", "n", "lone", "tokens", "place"])
+        columns = [pa.array([set_key(sets[i]) for i in some], pa.int64()), pa.array([len(sets[i]) for i in some], pa.int64()), pa.array([lone for _, lone in firsts], pa.int32()), pa.array([bitmap(sets[i]) for i in some], pa.binary()), pa.array([t for t, _ in firsts], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*columns, batch.column(1).take(pa.array(some, pa.int64()))], ["set", "n", "lone", "bits", "tokens", "place"])
 
-    rows = arrow_map(docs.select("text", "place"), run, "set bigint, n bigint, lone int, tokens array<bigint>, place bigint")
-    return rows.groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "lone", "tokens")], F.min("place").alias("place"))
+    rows = arrow_map(docs.select("text", "place"), run, "set bigint, n bigint, lone int, bits binary, tokens array<bigint>, place bigint")
+    return rows.groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "lone", "bits", "tokens")], F.min("place").alias("place"))
 
 
 def meetings(sets: DataFrame) -> DataFrame:
-    """token, rank, set, n, lone, place: first shingles that two sets or more have in
+    """token, rank, set, n, lone: first shingles that two sets or more have in
     common, and how many of the set's come before in the order. Only shingles are counted
     across all sets; a filter of fixed size keeps most rows of others out of the join."""
     counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("times"))
@@ -149,9 +174,9 @@ def meetings(sets: DataFrame) -> DataFrame:
         rank = np.arange(len(tokens)) - (offsets[:-1] - offsets[0])[row]
         hit = passes(held.value, tokens)
         others = [c.take(pa.array(row[hit])) for c in batch.columns[1:]]
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), pa.array(rank[hit], pa.int64()), *others], ["token", "rank", "set", "n", "lone", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), pa.array(rank[hit], pa.int64()), *others], ["token", "rank", "set", "n", "lone"])
 
-    rows = arrow_map(sets.select("tokens", "set", "n", "lone", "place"), run, "token bigint, rank bigint, set bigint, n bigint, lone int, place bigint")
+    rows = arrow_map(sets.select("tokens", "set", "n", "lone"), run, "token bigint, rank bigint, set bigint, n bigint, lone int")
     return rows.join(shared, "token", "left_semi")
 
 
@@ -168,57 +193,47 @@ def describe(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(*others, "text"), run, schema)
 
 
-def set_table(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """set, n, bits, tokens of the documents (place, text) whose place passes the filter:
-    sizes, bitmaps and sorted shingles. Only rows that repeat can give a set twice."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+def set_table(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """set, tokens of the texts (place, text) whose place passes the filter: sorted
+    shingles. Only rows that repeat can give a set twice."""
+    held = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batch: pa.RecordBatch):
         hit = batch.filter(pa.array(passes(held.value, batch.column(0).to_numpy())))
         if hit.num_rows:
             sets = [s for s in shingle_sets(hit.column(1)) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
-                ["set", "n", "bits", "tokens"],
-            )
-
-    return arrow_map(docs.select("place", "text"), run, "set bigint, n bigint, bits binary, tokens array<bigint>")
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["set", "tokens"])
 
+    return arrow_map(texts.select("place", "text"), run, "set bigint, tokens array<bigint>")
 
-def _only(sets: DataFrame, wanted: np.ndarray, name: str) -> DataFrame:
-    """name and name_tokens of the sets that pass the filter, one row each."""
-    held = sets.sparkSession.sparkContext.broadcast(wanted)
 
-    def run(batch: pa.RecordBatch):
-        hit = batch.filter(pa.array(passes(held.value, batch.column(0).to_numpy())))
-        if hit.num_rows:
-            yield pa.RecordBatch.from_arrays(hit.columns, [name, f"{name}_tokens"])
-
-    return arrow_map(sets.select("set", "tokens"), run, f"{name} bigint, {name}_tokens array<bigint>").dropDuplicates([name])
-
-
-def verify(pairs: DataFrame, sets: DataFrame, signs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, signs: DataFrame) -> DataFrame:
     """a, b: the pairs of sets that are similar. First sizes and bitmaps, a few bytes a
-    set, rule out most of the others; then each pair's shingles are joined and intersected,
-    those of b first, which may be few. Sets in no pair left are not shuffled. A set in
-    many pairs is a skewed join key, which Spark splits."""
-    side = lambda name: signs.select(F.col("set").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
+    set, rule out most of the others. The sets of the pairs left, far fewer than those that
+    meet, are made from their texts again and written; then each pair's shingles are joined
+    and intersected. A set in many pairs is a skewed
+    join key, which Spark splits."""
+    side = lambda name: signs.select(F.col("set").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "bits", "place")])
     tiles = pairs.join(side("a"), "a").join(side("b"), "b")
     near = F.least("a_n", "b_n") * WHOLE >= F.greatest("a_n", "b_n") * PART
 
     def by_bits(batch: pa.RecordBatch):
-        a, b, n, x, m, y = batch.to_pydict().values()
+        n, x, m, y = batch.select([4, 5, 6, 7]).to_pydict().values()
         keep = [may_link(*p) for p in zip(n, m, x, y, strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
-    close = settle(arrow_map(tiles.where(near).select("a", "b", "a_n", "a_bits", "b_n", "b_bits"), by_bits, "a bigint, b bigint"), "close-sets")
+    columns = ["a", "b", "a_place", "b_place"]
+    close = settle(arrow_map(tiles.where(near).select(*columns, "a_n", "a_bits", "b_n", "b_bits"), by_bits, ", ".join(f"{c} bigint" for c in columns)), "close-sets")
+    places = close.select(F.explode(F.array("a_place", "b_place")).alias("place"))
+    sets = settle(set_table(texts, bit_filter(places, "place")), "sets")
 
     def by_shingles(batch: pa.RecordBatch):
         x, y = batch.column(2), batch.column(3)
         keep = [linked(x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(batch.num_rows)]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = close.join(_only(sets, bit_filter(close, "b"), "b"), "b").join(_only(sets, bit_filter(close, "a"), "a"), "a")
+    whole = lambda name: sets.select(F.col("set").alias(name), F.col("tokens").alias(f"{name}_tokens")).dropDuplicates([name])
+    joined = close.select("a", "b").join(whole("b"), "b").join(whole("a"), "a")
     return settle(arrow_map(joined.select("a", "b", "a_tokens", "b_tokens"), by_shingles, "a bigint, b bigint"), "similar-sets")
 
 
@@ -229,16 +244,14 @@ def may_reach(n: Column, rank: Column, m: Column, other: Column) -> Column:
     return (left * (WHOLE + PART) >= (n + m) * PART) & (F.least(n, m) * WHOLE >= F.greatest(n, m) * PART)
 
 
-def set_components(met: DataFrame, sets: DataFrame) -> DataFrame:
+def set_components(met: DataFrame, texts: DataFrame, signs: DataFrame) -> DataFrame:
     """node, component over sets. A pair that is already connected need not be compared.
     So each round takes one set of every token's meeting and compares with it all that are
     not connected to it yet. The first round takes the set with the smallest share of rare
     shingles, which is the middle of a group of near copies; the next takes any. The sets
     left unconnected in a meeting are then compared pair by pair, split into bands of near
     sizes, as far as their ranks let them reach the similarity."""
-    signs = settle(sets.select("set", "n", "bits").dropDuplicates(["set"]), "set-signs")
     links = met.sparkSession.createDataFrame([], "a bigint, b bigint")
-    met = met.select("token", "set", "rank", "n", "lone")
     labelled = met.withColumn("component", F.col("set"))
     for turn in range(ROUNDS):
         order = F.col("lone") if turn == 0 else F.xxhash64("component", F.lit(turn))
@@ -247,7 +260,7 @@ def set_components(met: DataFrame, sets: DataFrame) -> DataFrame:
         open_ = leaders.where("low < high").select("token", "x.leader", "x.led", "x.m", "x.r")
         near = may_reach(F.col("n"), F.col("rank"), F.col("m"), F.col("r"))
         pairs = labelled.join(open_, "token").where((F.col("component") != F.col("led")) & near).select(F.col("set").alias("a"), F.col("leader").alias("b")).distinct()
-        new = verify(pairs, sets, signs)
+        new = verify(pairs, texts, signs)
         if new.isEmpty():
             break
         links = write_through(links.union(new), "all-links")
@@ -263,7 +276,7 @@ def set_components(met: DataFrame, sets: DataFrame) -> DataFrame:
     near = may_reach(F.col("n"), F.col("rank"), F.col("m"), F.col("r"))
     rest = rows.join(up, ["token", "band"]).where((F.col("component") != F.col("c")) & larger & near)
     pairs = rest.select(F.least("set", "s").alias("a"), F.greatest("set", "s").alias("b")).distinct()
-    return components(links.union(verify(pairs, sets, signs)))
+    return components(links.union(verify(pairs, texts, signs)))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -276,8 +289,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     first = settle(first_shingles(texts, frequent), "first-shingles")
     met = settle(meetings(first), "meetings")
-    sets = settle(set_table(texts, bit_filter(met, "place")), "sets")
-    found = settle(set_components(met, sets).select(F.col("node").alias("set"), "component"), "set-components")
+    signs = first.select("set", "n", "bits", "place")
+    found = settle(set_components(met, texts, signs).select(F.col("node").alias("set"), "component"), "set-components")
     rows = describe(docs).join(found, "set", "left")
     return rows.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set")))
 

@@ -72,6 +72,41 @@ def test_shared_passage_and_large_group(spark):
     assert answer(docs) == brute_components(rows)
 
 
+def test_frequent_shingles_are_counted_packed(spark, monkeypatch):
+    """Every shingle of every text is counted, also where one batch or several hold it just
+    often enough, but a batch of texts is shuffled as a row a part."""
+    monkeypatch.setattr(jaccard_join, "PARTS", 1 << 4)
+    rare, often = [f"r{i} a b c d" for i in range(50)], [f"f{i} a b c d" for i in range(50)]
+    texts = [t for t in rare for _ in range(jaccard_join.FREQUENT)] + [t for t in often for _ in range(jaccard_join.FREQUENT + 1)]
+    texts += ["always a b c d"] * 1500 + [" ".join(f"l{i}" for i in range(5000)), None, "", " "]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    token = lambda t: jaccard_join.shingle_sets(pa.array([t]))[0]
+    held = jaccard_join.frequent_shingles(docs)
+    assert all(jaccard_join.passes(held, token(t)).all() for t in [*often, "always a b c d"])
+    assert not any(jaccard_join.passes(held, token(t)).any() for t in rare)
+    dealt = jaccard_join.dealt_shingles(docs).collect()
+    assert len(dealt) <= 16 * 12 and sum(len(r["tokens"]) for r in dealt) <= 4 * (5000 + 50 * 64 + 50 * 65 + 65 * 12)
+    assert not jaccard_join.frequent_shingles(docs.limit(0)).any() and not jaccard_join.frequent_shingles(docs.where("text is null")).any()
+
+
+def test_only_sets_that_may_be_similar_are_written(spark, monkeypatch):
+    """Texts that share a first shingle meet; the shingles of those whose sizes or bitmaps
+    rule each other out are never written."""
+    written = {}
+
+    def settle(df, label, real=jaccard_join.settle):
+        out = real(df, label)
+        written[label] = written.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "settle", settle)
+    rows = [(i, " ".join([f"s{i // 2}n{k}" for k in range(18)] + [f"u{i}n{k}" for k in range(16)])) for i in range(80)]
+    rows += [(1000, "a b c d e f g h i j k l m n"), (1001, "a b c d e f g h i j k l m n o")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert answer(docs) == brute_components(rows)
+    assert written["first-shingles"] == 82 and 0 < written["meetings"] and written["sets"] <= 20
+
+
 def test_prefixes_meet_and_bitmaps_bound():
     rng = np.random.default_rng(5)
     for _ in range(300):
