@@ -64,7 +64,8 @@ def scan_jsonl(s, d):
 @query("scan_concat_json", NORM)
 def scan_concat_json(s, d):
     """Objects over many lines, the next one right behind the last brace, with
-    broken text between some of them, indented more and less than they are."""
+    broken text between some of them, indented more and less than they are. One in ten is
+    in plain files, which are read in blocks, the others are packed."""
     k = F.col("k")
     lines = F.replace("value", F.lit(',"'), F.lit(',\n  "'))
     broken = (
@@ -72,8 +73,12 @@ def scan_concat_json(s, d):
         .when(k % 10 == 6, " \n\n").when(k % 10 == 7, '\n    {"open": [\n        {"x": 1,\n')
         .when(k % 10 == 8, '\n{"list": [\n  {"y": \n]\n').otherwise("")
     )
-    path = text_files(s, v.raw_logs(s, d).select(F.concat(lines, broken).alias("value")), "concat", lineSep=" ")
-    return normalized(raw.decode_lines(concatenated.scan_concatenated(s, path, "part-*")))
+    rows, split = v.raw_logs(s, d), F.coalesce(k < 10, F.lit(False))
+    plain, packed = (
+        text_files(s, rows.where(chosen).select(F.concat(lines, broken).alias("value")), "concat", lineSep=" ", maxRecordsPerFile=100_000, compression=how)
+        for chosen, how in ((split, "none"), (~split, "gzip"))
+    )
+    return normalized(raw.decode_lines(concatenated.scan_concatenated(s, [plain, packed], "part-*")))
 
 
 @query("scan_indented_json", NORM)

@@ -163,6 +163,41 @@ def test_concatenated_over_many_blocks(spark, lines):
     assert got == list(range(400))
 
 
+def test_concatenated_shuffles_values_once(spark, lines):
+    """Lines are read where they are: one exchange, of values, and nothing is gathered behind it."""
+    folder = lines({"a.log": "".join(json.dumps({"n": n, "l": [n]}, indent=1) + "\n" for n in range(300))})
+    values = concatenated.scan_concatenated(spark, folder)
+    plan = values._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and plan.count("RepartitionByExpression") + plan.count("Exchange") == 1
+    opened = concatenated.units(spark, folder, "*.log").mapInArrow(concatenated.read_blocks, "path string, spread int, place bigint, position bigint, flags int, text string")
+    assert opened.where("place is null").count() == 300 and opened.where("place is not null").count() == 1
+
+
+def test_open_lines_wait_in_a_file():
+    held = concatenated.Held()
+    units = [(n, n % 4, f"é {n} " + "x" * 1000) for n in range(2 * concatenated.HELD_CHARS // 1000)]
+    for unit in units:
+        held.add(*unit)
+    assert held.file is not None and len(held.units) < len(units) and list(held.take()) == units and not held
+
+
+def test_packed_concatenation_is_small(spark, data):
+    """The files of the query are packed but for one record in ten."""
+    import glob
+    import os
+
+    from palisade.session import shared_dir
+    from palisade.workload import all_queries
+    from palisade.workload import views as v
+
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/concat-*"))
+    rows = all_queries()["scan_concat_json"](spark, data).count()
+    written = sum(os.path.getsize(f) for d in set(glob.glob(f"{root}/concat-*")) - before for f in glob.glob(f"{d}/part-*"))
+    texts = v.raw_logs(spark, data).agg(F.count("value").alias("n"), F.sum(F.length("value")).alias("chars")).first()
+    assert rows == texts.n and written < texts.chars / 3
+
+
 def test_indented_fast_path(spark, lines):
     text = "".join(json.dumps(dict(RECORD, n=i), indent=2) + "\n" for i in range(3))
     folder = lines({"a.json": text, "b.json.gz": gzip.compress(text.encode())})
