@@ -268,6 +268,15 @@ def test_prompts(spark, data):
     assert sheets["rule_effectiveness"].count("\n- ") == 10
 
 
+def test_many_small_documents_are_written_by_many_tasks(spark, tmp_path):
+    docs = spark.range(64).select(F.concat(F.lit("d"), "id").alias("folder"), F.concat(F.lit("text "), "id").alias("text"))
+    sinks.write_each(docs, str(tmp_path / "out"), "text", "folder")
+    read = sinks.read_documents(spark, str(tmp_path / "out"))
+    assert sorted((r.folder, r.value) for r in read.collect()) == sorted((f"d{n}", f"text {n}") for n in range(64))
+    files = [f.name for f in (tmp_path / "out").rglob("part-*")]
+    assert len(files) == 64 and len({f.split("-")[1] for f in files}) > 4
+
+
 def test_values_are_not_places(spark):
     row = spark.range(1).select(prompts.fill("{a} {b} {c}", {"a": F.lit("{b}"), "b": F.lit(None)}).alias("x")).first()
     assert row.x == "{b} null {c}"
