@@ -277,6 +277,32 @@ def test_many_small_documents_are_written_by_many_tasks(spark, tmp_path):
     assert len(files) == 64 and len({f.split("-")[1] for f in files}) > 4
 
 
+def test_long_lists_stay_out_of_the_driver(spark, data):
+    """Configuration tables are put together piece by piece by the executors, and read as before."""
+    from palisade.workload import text_queries as t
+
+    logs, acls, rules, resources, logging = t.inputs(spark, data)
+    _, _, texts = prompts.legacy_values(logs, acls, rules, resources, logging)
+    for name in ("current_rules", "waf_config", "logging_config", "protected_resources"):
+        assert isinstance(texts[name], prompts.Long)
+    table = rules.select("web_acl_id", "name", "priority", "rule_type")
+    order = ["web_acl_id", "priority", "name"]
+    whole = spark.range(1).select(prompts.json_list(table, order).alias("x")).first().x
+    before, prompts.PIECE_CHARS = prompts.PIECE_CHARS, 100
+    try:
+        rows, none = prompts.long_json(table, order), prompts.long_json(table.where("false"), order)
+        assert rows.pieces.count() > 10
+        fixed = spark.sql("SELECT * FROM VALUES ('a', 0, 0L, '<é'), ('a', 2, 0L, '|'), ('a', 4, 0L, '>'), ('b', 0, 0L, '') AS t(template, part, at, text)")
+        at = lambda x, name, part: x.pieces.select(F.lit(name).alias("template"), F.lit(part).alias("part"), "at", "text")
+        pieces = fixed.union(at(rows, "a", 1)).union(at(none, "a", 3)).union(at(rows, "b", 1))
+        kinds = {"a": [None, rows[1:], None, none[1:], None], "b": [None, rows[1:]]}
+        got = {r.template: r for r in prompts.gathered(pieces, kinds).collect()}
+    finally:
+        prompts.PIECE_CHARS = before
+    assert got["a"].prompt == f"<é{whole}|[ ]>" and got["b"].prompt == whole
+    assert all(r.chars == len(r.prompt) and r.tokens == r.chars // 4 for r in got.values())
+
+
 def test_values_are_not_places(spark):
     row = spark.range(1).select(prompts.fill("{a} {b} {c}", {"a": F.lit("{b}"), "b": F.lit(None)}).alias("x")).first()
     assert row.x == "{b} null {c}"
